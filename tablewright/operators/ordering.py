@@ -16,48 +16,49 @@ ONE_TASK_ROWS = 4_000_000
 ROWS_PER_BUCKET = 1_000_000
 
 
-def running_total(counts: DataFrame, value: str, weight: str, n_rows: int, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """Add `before`: the sum of `weight` over all rows with a smaller `value`.
+def running_total(
+    counts: DataFrame, group: str, value: str, weight: str, n_rows: int, one_task_rows: int = ONE_TASK_ROWS
+) -> DataFrame:
+    """Add `before`: the sum of `weight` over the rows of the same group with a smaller `value`.
 
-    `value` must be unique and `n_rows` an upper bound of the row count. Small inputs take one
-    window. Larger ones are range-partitioned, the partition number is written down, and each
-    partition adds up its own rows on top of the totals of the partitions before it.
+    (group, value) must be unique and `n_rows` an upper bound of the rows of one group. Small
+    inputs take one window per group. Larger ones are range-partitioned, the partition number
+    is written down, and each partition adds up its own rows on top of the totals of the
+    partitions before it.
     """
+    so_far = (
+        Window.partitionBy(group, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     if n_rows <= one_task_rows:
         local = counts.withColumn("__part", F.lit(0))
-    else:
-        parts = max(2, math.ceil(n_rows / min(one_task_rows, ROWS_PER_BUCKET)))
-        local = cut_lineage(
-            counts.repartitionByRange(min(parts, 100_000), F.col(value)).withColumn("__part", F.spark_partition_id())
-        )
-    so_far = Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = local.withColumn("before", F.sum(weight).over(so_far) - F.col(weight))
-    if n_rows <= one_task_rows:
-        return local.drop("__part")
-    totals = local.groupBy("__part").agg(F.sum(weight).alias("__total"))
-    # one row per partition, so a single window over it is small
-    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = totals.select("__part", (F.sum("__total").over(earlier) - F.col("__total")).alias("__offset"))
+        return local.withColumn("before", F.sum(weight).over(so_far) - F.col(weight)).drop("__part")
+    parts = max(2, math.ceil(n_rows / min(one_task_rows, ROWS_PER_BUCKET)))
+    local = cut_lineage(
+        counts.repartitionByRange(min(parts, 100_000), F.col(group), F.col(value)).withColumn("__part", F.spark_partition_id())
+    )
+    totals = local.groupBy(group, "__part").agg(F.sum(weight).alias("__total"))
+    # one row per group and partition it touches
+    earlier = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = totals.select(group, "__part", (F.sum("__total").over(earlier) - F.col("__total")).alias("__offset"))
     return (
-        local.join(F.broadcast(offsets), "__part")
+        local.withColumn("before", F.sum(weight).over(so_far) - F.col(weight))
+        .join(F.broadcast(offsets), [group, "__part"])
         .withColumn("before", F.col("before") + F.col("__offset"))
         .drop("__part", "__offset")
     )
 
 
-def average_ranks(df: DataFrame, value: Column, n_rows: int, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """(value, rank): the average rank of each distinct value; ties are counted, not sorted."""
-    counts = df.select(value.alias("value")).where(F.col("value").isNotNull()).groupBy("value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    placed = running_total(counts, "value", "n", n_rows, one_task_rows)
-    return placed.select("value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
+def average_ranks(counts: DataFrame, n_rows: int, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """(column, value, rank) from (column, value, n): equal values share their average rank."""
+    placed = running_total(counts, "column", "value", "n", n_rows, one_task_rows)
+    return placed.select("column", "value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def label_positions(df: DataFrame, label: str, n_rows: int, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """(label, position): distinct labels in sorted order, numbered from 0."""
     labels = df.select(present(df, label).alias("label")).where(F.col("label").isNotNull()).distinct()
-    placed = running_total(labels.withColumn("one", F.lit(1)), "label", "one", n_rows, one_task_rows)
+    marked = labels.select(F.lit(0).alias("all"), "label", F.lit(1).alias("one"))
+    placed = running_total(marked, "all", "label", "one", n_rows, one_task_rows)
     return placed.select("label", F.col("before").cast("bigint").alias("position"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col, present, strength
+from ..session import cut_lineage, spread
 from .frequency import union_all
 from .ordering import ONE_TASK_ROWS, average_ranks
 from .profile import GROUP_TYPES, NUMERIC_TYPES, Profile, profile_of
@@ -17,30 +18,32 @@ def all_pairs(columns: list[str]) -> list[Pair]:
     return [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
 
 
-def _correlate(df: DataFrame, pairs: list[tuple[str, str, str, str]], out: str) -> DataFrame:
-    """(col_a, col_b, n, out): `pairs` names the output columns and the two value columns.
+# Pairs per aggregate: few enough for the JVM to compile the generated code. Each aggregate
+# reads only its own columns.
+PAIRS_PER_PASS = 12
 
-    Each row is unfolded into its pairs inside the task and summed up there, so one pass and
-    one tiny shuffle serve any number of pairs.
-    """
-    unfolded = df.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("pair"), col(x).cast("double").alias("x"), col(y).cast("double").alias("y"))
-                    for i, (_, _, x, y) in enumerate(pairs)
-                ]
-            )
+
+def _correlate(df: DataFrame, pairs: list[tuple[str, str, str, str]], out: str) -> DataFrame:
+    """(pair, col_a, col_b, n, out): `pairs` names the output columns and the two value columns."""
+    schema = f"struct<pair:int,col_a:string,col_b:string,n:bigint,{out}:double>"
+    parts = []
+    numbered = list(enumerate(pairs))
+    for start in range(0, len(numbered), PAIRS_PER_PASS):
+        chunk = numbered[start : start + PAIRS_PER_PASS]
+        row = df.agg(
+            *[
+                F.struct(
+                    F.lit(i), F.lit(a), F.lit(b), F.count_if(col(x).isNotNull() & col(y).isNotNull()), F.corr(col(x), col(y))
+                ).cast(schema).alias(f"p{i}")
+                for i, (a, b, x, y) in chunk
+            ]
         )
-    ).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    rates = unfolded.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias(out))
-    names = df.sparkSession.createDataFrame(
-        [(i, a, b) for i, (a, b, _, _) in enumerate(pairs)], "pair int, col_a string, col_b string"
-    )
-    return names.join(F.broadcast(rates), "pair", "left").select(
-        "pair", "col_a", "col_b", F.coalesce("n", F.lit(0)).alias("n"), F.when(~F.isnan(out), F.col(out)).alias(out)
-    )
+        parts.append(row.select(F.inline(F.array(*[F.col(f"p{i}") for i, _ in chunk]))))
+    return union_all(parts).withColumn(out, F.when(~F.isnan(out), F.col(out)))
+
 
+# A rank table of up to this many distinct values is broadcast (16 bytes each).
+FEW_VALUES = 50_000
 
 EMPTY_PAIRS = "pair int, col_a string, col_b string, n bigint, {} double"
 
@@ -59,9 +62,12 @@ def spearman(
 ) -> DataFrame:
     """Rank correlation of column pairs, average ranks for ties, over complete pairs.
 
-    A column is ranked through its value counts and the ranks are joined back by value; ties
-    are never gathered. Columns without gaps are ranked once. A pair in which a column has
-    gaps ranks its own complete rows.
+    A column is ranked through its value counts, so ties are never gathered. Ranks of columns
+    with few distinct values (counted first) are broadcast. The other columns are unfolded
+    into (row, column, value), get their ranks in one join by value and are folded back by
+    row. The row number is written down before that, as it must not change when a task runs
+    again. Columns without gaps are ranked once; a pair in which a column has gaps ranks its
+    own complete rows.
     """
     if not pairs:
         return df.sparkSession.createDataFrame([], EMPTY_PAIRS.format("spearman_r"))
@@ -79,19 +85,43 @@ def spearman(
         return ranked.setdefault(key, f"v{len(ranked)}")
 
     views = [(a, b, view(a, b), view(b, a)) for a, b in pairs]
-    wide = numbers.select(
-        *[
-            (col(c) if other is None else F.when(col(other).isNotNull(), col(c))).alias(name)
-            for (c, other), name in ranked.items()
-        ]
+    wide = cut_lineage(
+        spread(numbers).select(
+            F.monotonically_increasing_id().alias("row"),
+            *[
+                (col(c) if other is None else F.when(col(other).isNotNull(), col(c))).alias(name)
+                for (c, other), name in ranked.items()
+            ],
+        )
     )
-    ranks = wide
-    for name in ranked.values():
-        table = average_ranks(wide, F.col(name), n_rows, one_task_rows).select(
-            F.col("value").alias(f"{name}_value"), F.col("rank").alias(f"{name}_rank")
+    names = list(ranked.values())
+
+    def unfolded(indexes: list[int]) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(names[i]).alias("value")) for i in indexes])
+        return wide.select("row", F.inline(cells)).where(F.col("value").isNotNull())
+
+    every = list(range(len(names)))
+    counts = unfolded(every).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranks = cut_lineage(average_ranks(counts, n_rows, one_task_rows))
+    sizes = {r["column"]: r["count"] for r in ranks.groupBy("column").count().collect()}
+    few = [i for i in every if sizes.get(i, 0) <= FEW_VALUES]
+    many = [i for i in every if i not in few]
+    frame = wide
+    for i in few:
+        table = ranks.where(F.col("column") == i).select(F.col("value").alias("__value"), F.col("rank").alias("__rank"))
+        frame = (
+            frame.join(F.broadcast(table), F.col(names[i]) == F.col("__value"), "left")
+            .withColumn(names[i], F.col("__rank")).drop("__value", "__rank")
+        )
+    if many:
+        folded = (
+            unfolded(many)
+            .join(ranks, ["column", "value"])
+            .groupBy("row")
+            .agg(*[F.max(F.when(F.col("column") == i, F.col("rank"))).alias(names[i]) for i in many])
         )
-        ranks = ranks.join(table, F.col(name) == F.col(f"{name}_value"), "left").drop(f"{name}_value")
-    return _correlate(ranks, [(a, b, f"{x}_rank", f"{y}_rank") for a, b, x, y in views], "spearman_r")
+        frame = frame.drop(*[names[i] for i in many]).join(folded, "row", "left")
+    return _correlate(cut_lineage(frame.drop("row")), views, "spearman_r")
 
 
 FINDING = {
