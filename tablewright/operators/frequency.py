@@ -109,10 +109,13 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return union_all(parts)
 
 
-def approximate_distinct_counts(df: DataFrame, columns: list[str], rsd: float = 0.01) -> DataFrame:
+def approximate_distinct_counts(df: DataFrame, columns: list[str], rsd: float = 0.02) -> DataFrame:
     """Sketch-based stand-in for `distinct_counts` on very wide tables (opt-in)."""
-    row = df.agg(*[F.approx_count_distinct(present(df, c), rsd).alias(c) for c in columns])
-    return row.unpivot([], [col(c) for c in columns], "column", "n_unique")
+    parts = [
+        df.agg(F.approx_count_distinct(present(df, c), rsd).alias("n_unique")).select(F.lit(c).alias("column"), "n_unique")
+        for c in columns
+    ]
+    return union_all(parts)
 
 
 def leading_values_of(df: DataFrame, k: int = 10, columns: list[str] | None = None) -> DataFrame:
