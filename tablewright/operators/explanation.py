@@ -102,10 +102,10 @@ def confusion_cells(predictions: DataFrame, classes: list[str]) -> DataFrame:
     seen = predictions.groupBy("label", F.element_at(names, (F.col("prediction") + 1).cast("int")).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    grid = predictions.sparkSession.createDataFrame(
-        [(a, b) for a in classes for b in classes], "label string, predicted string"
+    grid = predictions.sparkSession.createDataFrame([(c,) for c in classes], "label string").withColumn(
+        "predicted", F.explode(names)
     )
-    return grid.join(F.broadcast(seen), ["label", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return grid.join(seen, ["label", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def positive_class(counts: DataFrame) -> DataFrame:

@@ -275,9 +275,16 @@ def filled(frame: DataFrame, plan: Plan, fills: dict) -> DataFrame:
     return frame.withColumns({c: F.coalesce(col(c), F.lit(v)) for c, v in fills.items()}) if fills else frame
 
 
+# A classifier keeps one output per class; a target with more labels is no class target.
+MAX_CLASSES = 10_000
+
+
 def class_labels(frame: DataFrame) -> list[str]:
-    """Class labels in order; a model keeps one output per class, so they fit the driver."""
-    return [r["label"] for r in frame.select("label").distinct().orderBy("label").collect()]
+    """Class labels in order."""
+    rows = frame.select("label").distinct().orderBy("label").limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"The target has more than {MAX_CLASSES} classes.")
+    return [r["label"] for r in rows]
 
 
 def fit_model(

@@ -107,11 +107,12 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact, linearly interpolated quantiles of many columns.
 
-    Like `DataFrame.approxQuantile` this runs at once and returns plain numbers. A column with
-    few present values goes through `percentile`. Otherwise each wanted order statistic is
-    closed in by quantile sketches: every round keeps only the values between two sketch
-    bounds, checks by counting that the wanted rank lies inside, and repeats until what is left
-    is small. Each round is a scan with tiny aggregates; nothing is shuffled or sorted whole.
+    Like `DataFrame.approxQuantile` this runs at once and returns plain numbers. The values of
+    columns with few present rows are counted and go through `percentile`. Otherwise each
+    wanted order statistic is closed in by quantile sketches: every round keeps only the values
+    between two sketch bounds, checks by counting that the wanted rank lies inside, and repeats
+    until what is left is small. Each round is a scan with tiny aggregates; nothing is shuffled
+    or sorted whole.
     """
     numbers = df.select(*[present(df, c).cast("double").alias(c) for c in probabilities])
     names = list(probabilities)
@@ -120,11 +121,23 @@ def exact_quantiles(
         *[F.min(col(c)).alias(f"a{i}") for i, c in enumerate(names)],
         *[F.max(col(c)).alias(f"b{i}") for i, c in enumerate(names)],
     ).first()
+    result: dict[str, list[float | None]] = {c: [None] * len(probabilities[c]) for c in names}
+    few = [c for i, c in enumerate(names) if 0 < head[f"n{i}"] <= one_task_rows]
+    if few:
+        wanted = sorted({p for c in few for p in probabilities[c]})
+        counts = (
+            numbers.unpivot([], [col(c) for c in few], "column", "value").where(F.col("value").isNotNull())
+            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        )
+        found = counts.groupBy("column").agg(F.percentile("value", F.array(*[F.lit(p) for p in wanted]), F.col("n")).alias("q"))
+        for r in found.collect():
+            place = dict(zip(wanted, r["q"]))
+            result[r["column"]] = [place[p] for p in probabilities[r["column"]]]
 
     open_targets, known = [], {}
     for i, c in enumerate(names):
         n = head[f"n{i}"]
-        if n == 0:
+        if n <= one_task_rows:
             continue
         for p in probabilities[c]:
             low = math.floor((n - 1) * p)
@@ -209,14 +222,12 @@ def exact_quantiles(
                     t.update(low=lower["next"], inside=t["inside"] - (lower["upto"] - t["below"]), below=lower["upto"])
         open_targets = wide
 
-    result: dict[str, list[float | None]] = {}
     for i, c in enumerate(names):
         n = head[f"n{i}"]
+        if n <= one_task_rows:
+            continue
         values: list[float | None] = []
         for p in probabilities[c]:
-            if n == 0:
-                values.append(None)
-                continue
             spot = (n - 1) * p
             low = math.floor(spot)
             lower, upper = known[c, low], known[c, min(low + 1, n - 1)]

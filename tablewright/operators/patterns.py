@@ -81,7 +81,8 @@ def spearman(
     ranked: dict[tuple[str, str | None], str] = {}
 
     def view(c: str, partner: str) -> str:
-        key = (c, partner if partner in columns_with_gaps or c in columns_with_gaps else None)
+        # only gaps of the partner take rows away
+        key = (c, partner if partner in columns_with_gaps else None)
         return ranked.setdefault(key, f"v{len(ranked)}")
 
     views = [(a, b, view(a, b), view(b, a)) for a, b in pairs]
