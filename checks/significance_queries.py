@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tablewright.operators import significance
 from tablewright.operators.profile import Profile
 
-from .pattern_queries import ALL_FINDINGS, pearson_sql, spearman_sql
+from .pattern_queries import ALL_FINDINGS, PAIRS, pearson_sql, spearman_sql
 from .relations import LABELS, ORDERS, PLANTED, Relation, query
 
 CORRELATION_PAIRS = [("l_extendedprice", "net"), ("l_quantity", "l_tax"), ("net", "gap")]
@@ -189,8 +189,42 @@ def _all_tests(spark, sf_dir):
     return significance.significance_tests(PLANTED.read(spark, sf_dir), "halves")
 
 
-@query("significance_tests")
+# statistics of every test the findings of PLANTED can call for
+CORRELATION_STATS = f"""SELECT 'pearson_correlation' AS test_kind, col_a, col_b, n, round(r, 4) AS statistic, round(r, 4) AS effect_value
+FROM ({pearson_sql(PLANTED, PAIRS)})"""
+GROUP_STATS = " UNION ALL ".join(
+    [
+        f"SELECT 't_test' AS test_kind, col_a, col_b, n, statistic, effect_value FROM {welch_sql(PLANTED, 'l_quantity', g)}"
+        for g in ("halves", "mostly", "l_linestatus")
+    ]
+    + [
+        f"SELECT 'anova', col_a, col_b, n, statistic, effect_value FROM {anova_sql(PLANTED, 'l_quantity', g)}"
+        for g in ("thirds", "l_returnflag")
+    ]
+)
+CHI_STATS = " UNION ALL ".join(
+    f"SELECT 'chi_square' AS test_kind, col_a, col_b, n, statistic, effect_value FROM {chi_square_sql(PLANTED, a, 'halves')}"
+    for a in ("l_returnflag", "l_linestatus", "thirds", "mostly")
+)
+ALL_TESTS = f"""WITH chosen AS ({CHOSEN}), stats AS ({CORRELATION_STATS} UNION ALL {GROUP_STATS})
+SELECT s.* FROM chosen c LEFT JOIN stats s ON s.col_a = c.col_a AND s.col_b = c.col_b
+UNION ALL {CHI_STATS}"""
+
+
+def flat(tests):
+    return tests.select(
+        "test_kind", "col_a", "col_b", "n", F.round("statistic", 4).alias("statistic"),
+        F.round("effect_value", 4).alias("effect_value"),
+    )
+
+
+@query("significance_tests", ALL_TESTS)
 def significance_tests(spark, sf_dir):
+    return flat(_all_tests(spark, sf_dir))
+
+
+@query("p_values_and_verdicts")
+def p_values(spark, sf_dir):
     return _all_tests(spark, sf_dir)
 
 
@@ -211,6 +245,6 @@ def significant(spark, sf_dir):
     return significance.significant_tests(_all_tests(spark, sf_dir))
 
 
-@query("tests_of_one_kind")
+@query("tests_of_one_kind", CHI_STATS)
 def one_kind(spark, sf_dir):
-    return significance.tests_of_kind(_all_tests(spark, sf_dir), "chi_square")
+    return flat(significance.tests_of_kind(_all_tests(spark, sf_dir), "chi_square"))
