@@ -1,13 +1,15 @@
 """Registered queries with their SQL counterparts."""
 
-import importlib
-
+from . import (  # noqa: F401  (importing a module registers its queries)
+    health_queries,
+    model_queries,
+    pattern_queries,
+    profile_queries,
+    significance_queries,
+    source_queries,
+    suggestion_queries,
+    transform_queries,
+)
 from .relations import REGISTRY
 
-for _module in ("profile", "health", "pattern", "significance", "suggestion", "transform", "source", "model"):
-    try:
-        importlib.import_module(f"{__name__}.{_module}_queries")
-    except ModuleNotFoundError:
-        pass
-
 __all__ = ["REGISTRY"]

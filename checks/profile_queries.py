@@ -16,7 +16,6 @@ from .relations import (
     PART,
     Relation,
     levels_sql,
-    pct,
     profile_cte,
     query,
 )

@@ -7,7 +7,7 @@ from tablewright.session import scratch_folder
 from tablewright.sources import history, tables, versions
 
 from .health_queries import ISSUE_COLUMNS, ISSUE_SQL, issues_cte
-from .relations import LABELS, LINEITEM, ORDERS, PART, Relation, query
+from .relations import LABELS, ORDERS, PART, Relation, query
 
 CSV_TOKENS = Relation(
     "orders", ["o_orderkey", "o_orderstatus", "o_orderdate"],

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col, normal_label, pct_of, present
 from .frequency import duplicate_rows, leading_values, spell_out, union_all, value_counts
-from .profile import NUMERIC_TYPES, Profile, profile_of
+from .profile import Profile, profile_of
 
 # Penalty per issue, and the order in which severities are shown.
 SEVERITY_WEIGHT = {"info": 0.0, "low": 2.0, "medium": 6.0, "high": 12.0, "critical": 25.0}

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalar import NUMERIC, TEMPORAL, col, present, to_number
 from .ordering import ONE_TASK_ROWS, exact_quantiles, label_positions
@@ -273,8 +270,3 @@ def apply_transform(df: DataFrame, transform: str, columns: list[str], evidence:
     function, reads = TRANSFORMS[transform]
     given = {reads[k]: v for k, v in (evidence or {}).items() if k in reads and v is not None}
     return function(df, columns, **given)
-
-
-def base_name(name: str) -> str:
-    """A dataset name without its version suffix."""
-    return re.sub(r"_v\d+$", "", name)
