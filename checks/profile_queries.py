@@ -36,7 +36,7 @@ def profile_select_sql(rel: Relation) -> str:
 SELECT position, col AS "column", semantic_type, n_total, n_missing, missing_pct, n_unique, unique_pct,
   {stat('min')} AS min, {stat('max')} AS max, {stat('round(mean, 4)')} AS mean, {stat('round(q50, 4)')} AS median,
   {stat('round(coalesce(std, 0.0), 4)')} AS std, {stat('round(q25, 4)')} AS q25, {stat('round(q75, 4)')} AS q75,
-  {stat('round(skew, 4)')} AS skew,
+  {stat('CASE WHEN round(skew, 4) = 0 THEN 0.0::DOUBLE ELSE round(skew, 4) END')} AS skew,
   CASE WHEN kind = 's' AND semantic_type IN ('identifier', 'text') THEN round(avg_length, 1) END AS avg_char_length,
   CASE WHEN semantic_type = 'datetime' THEN earliest END AS earliest,
   CASE WHEN semantic_type = 'datetime' THEN latest END AS latest
@@ -127,7 +127,7 @@ def numeric_summary_events(spark, sf_dir):
 @query(
     "exact_quantiles",
     " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", {p} AS p, quantile_cont({c}, {p})::DOUBLE AS value FROM {MESSY.sql}"""
+        f"""SELECT '{c}' AS "column", {p}::DOUBLE AS p, quantile_cont({c}, {p})::DOUBLE AS value FROM {MESSY.sql}"""
         for c in ("gap", "l_extendedprice", "price_level", "l_quantity") for p in (0.01, 0.25, 0.5, 0.75, 0.99)
     ),
 )
