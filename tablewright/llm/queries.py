@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .mixing import weighted_fair_mix
 from .sharding import assign_shards
+from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 
 SHARDS = 40
 
@@ -17,6 +19,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "n_spans"
+    )
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_documents(spark, sf_dir), keep_first=False).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256")
+    )
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_documents(spark, sf_dir).select("doc_id", "text"), SHARDS).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
@@ -31,6 +45,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op8_sharding": op8_sharding,
     "op10_mixing": op10_mixing,
 }

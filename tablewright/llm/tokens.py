@@ -103,7 +103,7 @@ class Rolling:
         n = len(x) - width + 1
         if n <= 0:
             return np.zeros(0, np.uint64)
-        return mix((prefix[width:] - prefix[:-width]) * self.inverses[:n] + np.uint64(width) * _ODD)
+        return mix((prefix[width:] - prefix[:-width]) * self.inverses[:n] + np.uint64(width * int(_ODD) % 2**64))
 
 
 def list_array(lengths: list[int] | np.ndarray, values: pa.Array) -> pa.ListArray:
