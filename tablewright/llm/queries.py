@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import find_contamination
 from .mixing import weighted_fair_mix
+from .quality_rules import quality_rules
 from .sharding import assign_shards
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -25,12 +27,23 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_documents(spark, sf_dir)).drop("key", "removed")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_documents(spark, sf_dir), keep_first=False).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256")
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return find_contamination(_documents(spark, sf_dir), benchmark).select(
+        "doc_id", "item_id", "start", "n_aligned", "n_equal", "item_words"
+    )
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_documents(spark, sf_dir).select("doc_id", "text"), SHARDS).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
@@ -46,7 +59,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_sharding": op8_sharding,
     "op10_mixing": op10_mixing,
 }
