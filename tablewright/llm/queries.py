@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_contamination
 from .jaccard_join import jaccard_join
+from .language_model import score, train, training_split
 from .mixing import weighted_fair_mix
 from .quality_rules import quality_rules
 from .sharding import assign_shards
@@ -55,6 +56,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = training_split(_documents(spark, sf_dir).select("doc_id", "text"))
+    model = train(docs.where("not held_out"))
+    scored = score(docs, model)
+    return training_split(scored).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity"
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "source", "text")
     return weighted_fair_mix(docs, keep_text=False).select(
@@ -69,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_sharding": op8_sharding,
+    "op9_language_model": op9_language_model,
     "op10_mixing": op10_mixing,
 }
 
