@@ -7,12 +7,30 @@ as Parquet to the shared folder and the next stage reads them from there.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tablewright.llm.decontaminate import decontaminate
+from tablewright.llm.jaccard_join import keep_one_of_each
 from tablewright.llm.mixing import mixed_stream, weighted_fair_mix
+from tablewright.llm.quality_rules import apply_quality_rules
 from tablewright.llm.sharding import assign_shards
 from tablewright.session import cut_lineage
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, without the lines that too many documents of their host share."""
+    kept = apply_quality_rules(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    return keep_one_of_each(docs, percent=80, shingle=5)
+
+
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the table `benchmark`."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +44,9 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", reject_low_quality),
+    ("near_copies", drop_near_copies),
+    ("benchmark", drop_benchmark_copies),
     ("mixing", mix_sources),
     ("sharding", shard),
 ]

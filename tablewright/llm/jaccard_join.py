@@ -157,30 +157,8 @@ def _verified_rows(shingle: int, percent: int):
     return rows
 
 
-def jaccard_join(
-    df: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3
-) -> DataFrame:
-    """Components of the documents linked by similar shingle sets: 100 * shared >= `percent` * united.
-
-    Words are split at blanks, A-Z are lower-cased, a set holds the distinct runs of `shingle` words; a text with
-    fewer words has one, a text without words none and no links. Documents with equal sets form one class, compared once.
-
-    Sets are put in a global order, rare shingles first: by the frequency of the shingle's place in a table counted over all
-    texts, then by hash. Similar sets share a shingle among their first ones (`prefix_length`), so postings of prefixes are
-    joined. A pair is kept if the sizes allow it (length filter) and what stands behind the shared
-    shingle can still reach the threshold (positional filter). Pairs are made distinct, the suffix filter splits both sets in
-    halves, and what passes is verified once on the texts. The filters count all shared shingles of two prefixes
-    (`common_grams`), which drops pairs that share one by chance.
-
-    The result needs components, not all links of a group of copies. So `rounds` times each posting list
-    proposes only pairs with one of its classes, another one each time; links join components. In the last round every
-    remaining pair is proposed whose classes lie in different components, which makes the components
-    exact: lists whose classes are all in one component propose nothing.
-
-    One row for each row of `df`: id, n_shingles, class_id (smallest id with an equal set), component_id
-    (smallest id that links reach, itself included). A missing id counts as larger than any other and shows as missing; other
-    columns are not read. Shingles are compared by 64-bit hashes.
-    """
+def _members(df: DataFrame, percent: int, shingle: int, id_col: str, text_col: str, rounds: int) -> DataFrame:
+    """(doc, th, n, class_doc, first): `first` is the (doc, th) that comes first in the component."""
     spark = df.sparkSession
     texts = df.select(order_id(id_col).alias("doc"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
     table = spark.sparkContext.broadcast(shingle_frequencies(texts, shingle))
@@ -188,14 +166,13 @@ def jaccard_join(
     # classes of equal sets; a document without shingles is a class of its own
     alone = F.when(F.col("n") == 0, F.struct("doc", "th"))
     first = sets.groupBy("n", "sig", "sig2", alone.alias("alone")).agg(F.min(F.struct("doc", "th", "prefix")).alias("f"))
+    # a written number is the same in every later read
     classes = cut_lineage(
-        first.select(
-            F.xxhash64("n", "sig", "sig2", "alone").alias("cls"), "n", "sig", "sig2", "f.doc", "f.th", "f.prefix"
-        )
+        first.select(F.monotonically_increasing_id().alias("cls"), "n", "sig", "sig2", "f.doc", "f.th", "f.prefix")
     )
     grams = F.lit(1) + F.least(F.lit(3), F.floor(F.col("n") / 50))  # common_grams
     postings = classes.where("n > 0").select("cls", "n", F.posexplode("prefix").alias("at", "gram"))
-    shared = postings.groupBy("gram").agg(F.count("*").alias("many")).where("many > 1").select("gram")
+    shared = cut_lineage(postings.groupBy("gram").agg(F.count("*").alias("many")).where("many > 1").select("gram"))
     # a class that shares too few shingles with all others together has no links
     postings = cut_lineage(postings.join(shared, "gram"))
     linked = postings.groupBy("cls").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= grams).select("cls")
@@ -237,10 +214,10 @@ def jaccard_join(
     for k in range(rounds + 1):
         lists = postings.join(labels, "cls")
         # lists within one component have nothing to add
-        mixed = lists.groupBy("gram").agg(
+        mixed = cut_lineage(lists.groupBy("gram").agg(
             F.min("label").alias("a"), F.max("label").alias("b"),
             F.min_by(F.struct("cls", "n", "at", "label"), F.xxhash64(F.lit(k), "cls")).alias("pivot"),
-        ).where("a <> b")
+        ).where("a <> b"))
         if k < rounds:
             pairs = cut_lineage(candidates(lists, mixed.select("gram", "pivot.*").select("gram", *other)))
         else:
@@ -250,15 +227,68 @@ def jaccard_join(
             continue
         links = cut_lineage(links.union(verified(pairs)))
         labels = connected_components(links, classes.select("cls"))
-    members = classes.select("cls", "n", "sig", "sig2", "doc", "th").join(labels, "cls")
-    smallest = members.groupBy("label").agg(F.min("doc").alias("component_id"))
-    named = members.join(smallest, "label").select(
-        "n", "sig", "sig2", F.when(F.col("n") == 0, F.struct("doc", "th")).alias("alone"), F.col("doc").alias("class_id"), "component_id"
+    # written, so the join below can split a component that holds many rows
+    firsts = cut_lineage(
+        classes.join(labels, "cls").groupBy("label").agg(F.min(F.struct("doc", "th")).alias("first"))
     )
-    rows = sets.select("doc", "n", "sig", "sig2", alone.alias("alone"))
-    kind = dict(df.dtypes)[id_col]
-    shown = lambda c: F.when(F.col(c) != 2**63 - 1, F.col(c)).cast(kind)
+    named = cut_lineage(
+        classes.join(labels, "cls").join(firsts, "label").select("n", "sig", "sig2", alone.alias("alone"), F.col("doc").alias("class_doc"), "first")
+    )
+    rows = sets.select("doc", "th", "n", "sig", "sig2", alone.alias("alone"))
     same = [rows[c].eqNullSafe(named[c]) for c in ("n", "sig", "sig2", "alone")]
-    return rows.join(named, same[0] & same[1] & same[2] & same[3]).select(
-        shown("doc").alias(id_col), rows["n"].cast("long").alias("n_shingles"), shown("class_id").alias("class_id"), shown("component_id").alias("component_id")
+    return rows.join(named, same[0] & same[1] & same[2] & same[3]).select(rows["doc"], rows["th"], rows["n"], "class_doc", "first")
+
+
+def _shown(column: str, kind: str):
+    return F.when(F.col(column) != 2**63 - 1, F.col(column)).cast(kind)
+
+
+def jaccard_join(
+    df: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3
+) -> DataFrame:
+    """Components of the documents linked by similar shingle sets: 100 * shared >= `percent` * united.
+
+    Words are split at blanks, A-Z are lower-cased, a set holds the distinct runs of `shingle` words; a text with
+    fewer words has one, a text without words none and no links. Documents with equal sets form one class, compared once.
+
+    Sets are put in a global order, rare shingles first: by the frequency of the shingle's place in a table counted over all
+    texts, then by hash. Similar sets share a shingle among their first ones (`prefix_length`), so postings of prefixes are
+    joined. A pair is kept if the sizes allow it (length filter) and what stands behind the shared
+    shingle can still reach the threshold (positional filter). Pairs are made distinct, the suffix filter splits both sets in
+    halves, and what passes is verified once on the texts. The filters count all shared shingles of two prefixes
+    (`common_grams`), which drops pairs that share one by chance.
+
+    The result needs components, not all links of a group of copies. So `rounds` times each posting list
+    proposes only pairs with one of its classes, another one each time; links join components. In the last round every
+    remaining pair is proposed whose classes lie in different components, which makes the components
+    exact: lists whose classes are all in one component propose nothing.
+
+    One row for each row of `df`: id, n_shingles, class_id (smallest id with an equal set), component_id
+    (smallest id that links reach, itself included). A missing id counts as larger than any other and shows as missing; other
+    columns are not read. Shingles are compared by 64-bit hashes.
+    """
+    kind = dict(df.dtypes)[id_col]
+    return _members(df, percent, shingle, id_col, text_col, rounds).select(
+        _shown("doc", kind).alias(id_col), F.col("n").cast("long").alias("n_shingles"),
+        _shown("class_doc", kind).alias("class_id"), _shown("first.doc", kind).alias("component_id"),
+    )
+
+
+def keep_one_of_each(df: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
+    """The rows of `df` without near copies: of each component of `jaccard_join` the row with the smallest id.
+
+    Texts without words are copies of nothing but of rows equal in id and text. Columns as in `df`.
+    """
+    kept = (
+        _members(df, percent, shingle, id_col, text_col, rounds)
+        .where(F.struct("doc", "th") == F.col("first"))
+        .select(F.col("doc").alias("__doc"), F.col("th").alias("__th"))
+        .distinct()
+    )
+    return (
+        df.withColumns({"__doc": order_id(id_col), "__th": text_hash(text_col)})
+        .join(kept, ["__doc", "__th"])
+        .groupBy("__doc", "__th")
+        .agg(F.min_by(F.struct(*df.columns), F.xxhash64(*[c for c in df.columns if c != text_col])).alias("row"))
+        .select("row.*")
     )

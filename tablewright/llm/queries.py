@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_quotes import link_quotes
 from .decontaminate import find_contamination
 from .jaccard_join import jaccard_join
 from .language_model import score, train, training_split
 from .mixing import weighted_fair_mix
 from .quality_rules import quality_rules
+from .secret_scan import secret_scan
 from .sharding import assign_shards
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -37,12 +39,20 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir)).drop("key", "removed")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(_documents(spark, sf_dir))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_documents(spark, sf_dir), keep_first=False).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256")
     )
 
 
+def op6_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return find_contamination(_documents(spark, sf_dir), benchmark).select(
@@ -76,7 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
+    "op4_secret_scan": op4_secret_scan,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_chat_quotes": op6_chat_quotes,
     "op7_decontamination": op7_decontamination,
     "op8_sharding": op8_sharding,
     "op9_language_model": op9_language_model,

@@ -207,7 +207,8 @@ def repeated_spans(
     texts = df.select(order_id(id_col).alias("doc"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
     anchors = texts.mapInArrow(_anchor_rows(unit, window, gram), ANCHORS)
     # 1. anchors that occur once are dropped; the counts are formed before the shuffle
-    shared = (
+    # written, so the join has shuffles of its own and a frequent anchor can be split among tasks
+    shared = cut_lineage(
         anchors.groupBy("anchor")
         .agg(F.count("*").alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("block").alias("a"), F.max("block").alias("b"))
         .where("low < high" if by_document else "n > 1")
@@ -245,7 +246,9 @@ def repeated_spans(
     closed = verdicts.where("not open").select("anchor", "block", F.explode(F.arrays_zip("lows", "highs")).alias("z")).select("anchor", "block", "z.lows", "z.highs")
     opened = verdicts.where("open").select("anchor", "block", "doc", "again", F.posexplode("windows").alias("offset", "value"))
     mine = F.struct("doc", "block", "offset") if not by_document else F.col("doc")
-    totals = opened.groupBy("anchor", "value").agg(F.min(mine).alias("low"), F.count("*").alias("n"), F.max("again").alias("any"))
+    totals = cut_lineage(
+        opened.groupBy("anchor", "value").agg(F.min(mine).alias("low"), F.count("*").alias("n"), F.max("again").alias("any"))
+    )
     repeated = (mine > F.col("low")) if earlier_only else ((F.col("n") > 1) | F.col("any"))
     late = opened.join(totals, ["anchor", "value"]).where(repeated).select("anchor", "block", "offset", F.col("offset") + 1)
     some = closed.union(late).groupBy("anchor", "block").agg(F.collect_set(F.struct("lows", "highs")).alias("ranges"))
