@@ -160,11 +160,11 @@ def quality_rules(
 def _cleaned_rows(columns: list[str], text_at: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, out = batch.column("removed"), []
+            removed, out = batch.column("__removed"), []
             for i, text in enumerate(batch.column(text_at)):
                 gone = {h % 2**64 for h in removed[i].as_py()}
                 text = text.as_py()
-                if gone:
+                if gone and text:
                     lines = text.split("\n")
                     text = "\n".join(x for x in lines if xxhash.xxh3_64_intdigest(normal_line(x.encode())) not in gone)
                 out.append(text)
@@ -184,7 +184,7 @@ def apply_quality_rules(
         .where("kept")
         .groupBy("key")
         .agg(F.first("removed").alias("removed"))
-        .withColumnsRenamed({"key": "__key"})
+        .withColumnsRenamed({"key": "__key", "removed": "__removed"})
     )
     joined = df.withColumn("__key", row_key(id_col, host_col, text_col)).join(verdicts, "__key").drop("__key")
     schema = df.select(*[F.col(c) for c in df.columns]).schema

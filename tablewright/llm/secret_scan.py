@@ -127,7 +127,7 @@ def place_features() -> dict[str, Column]:
         "slashes": F.regexp_count("value", F.lit("/")).cast("double"),
         "doubtful_path": yes(F.col("path").rlike(r"(?i)(test|example|sample|doc|vendor|fixture)")),
         "telling_before": yes(before.rlike(TELLING)),
-        "assigned": yes(before.rlike(r"[=:]\s{0,3}[\"']?$")),
+        "assigned": yes(before.rlike(r"(?<!http)(?<!https)[=:]\s{0,3}[\"']?$")),
         "quoted": yes(before.rlike(r"[\"']$") & F.col("after").rlike(r"^[\"']")),
         "placeholder": yes(F.concat_ws(" ", "before", "value", "after").rlike(PLACEHOLDER)),
     }
@@ -145,7 +145,7 @@ def rule_labels(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn(
         "label",
         F.when(F.col("value").rlike(KNOWN) | (telling & mixed & ~fake), 1.0)
-        .when(F.col("value").rlike("^[0-9]+$") | fake | F.col("before").rlike(r"(://\S*|[/@])$"), 0.0),
+        .when(F.col("value").rlike("^[0-9]+$|^/|//") | fake | F.col("before").rlike(r"(://\S*|[/@])$"), 0.0),
     )
 
 
