@@ -195,7 +195,7 @@ SELECT fold::INT AS fold, round(sum(auc * p) / sum(p), 6) AS roc_auc FROM a GROU
 )
 def ranking_scores(spark, sf_dir):
     df = guesses(spark, sf_dir)
-    return modelling.ranking_scores(df, CLASSES, df.count()).withColumn("roc_auc", F.round("roc_auc", 6))
+    return modelling.ranking_scores(df, CLASSES).withColumn("roc_auc", F.round("roc_auc", 6))
 
 
 @query(

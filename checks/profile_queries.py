@@ -136,7 +136,7 @@ def exact_quantiles(spark, sf_dir):
     wanted = [0.01, 0.25, 0.5, 0.75, 0.99]
     df = MESSY.read(spark, sf_dir)
     found = ordering.exact_quantiles(
-        df, {c: wanted for c in ("gap", "l_extendedprice", "price_level", "l_quantity")}, one_task_rows=2_000
+        df, {c: wanted for c in ("gap", "l_extendedprice", "price_level", "l_quantity")}, gathered=50
     )
     return spark.createDataFrame(
         [(c, p, v) for c, values in found.items() for p, v in zip(wanted, values)], "column string, p double, value double"

@@ -58,9 +58,18 @@ def normal_label(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
 
 
+# Blanks around a number are allowed; a letter after it, as in 12d or 1F, makes it a text.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+INFINITY = r"^\s*[+-]?(?i)inf(inity)?\s*$"
+
+
+def reads_as_number(text: Column) -> Column:
+    return text.rlike(NUMBER) | text.rlike(INFINITY)
+
+
 def to_number(c: Column) -> Column:
     """A double, or NULL where the value does not read as a number."""
-    number = c.try_cast("double")
+    number = F.when(reads_as_number(c.cast("string")), c.try_cast("double"))
     return F.when(~F.isnan(number), number)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import col
 from ..session import cut_lineage
-from .frequency import leading_values, value_counts
+from .frequency import leading_values, spell_out, value_counts
 from .modelling import Experiment, FittedModel, Plan, class_scores, fit_model, regression_scores
 from .ordering import exact_quantiles, hash_sample
 
@@ -235,7 +235,7 @@ def typical_values(frame: DataFrame, numeric: list[str], labels: list[str]) -> d
     if numeric:
         found |= {c: v[0] for c, v in exact_quantiles(frame, {c: [0.5] for c in numeric}).items()}
     if labels:
-        leaders = leading_values(value_counts(frame, labels, "label"), 1).collect()
+        leaders = spell_out(frame, leading_values(value_counts(frame, labels, "label"), 1), labels).collect()
         found |= {r["column"]: r["value"] for r in leaders}
     return found
 

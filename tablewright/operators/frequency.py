@@ -109,12 +109,18 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return union_all(parts)
 
 
+# Columns per aggregate, so that the JVM can compile the generated code; each pass reads its own columns.
+COLUMNS_PER_PASS = 24
+
+
 def approximate_distinct_counts(df: DataFrame, columns: list[str], rsd: float = 0.02) -> DataFrame:
     """Sketch-based stand-in for `distinct_counts` on very wide tables (opt-in)."""
-    parts = [
-        df.agg(F.approx_count_distinct(present(df, c), rsd).alias("n_unique")).select(F.lit(c).alias("column"), "n_unique")
-        for c in columns
-    ]
+    parts = []
+    for start in range(0, len(columns), COLUMNS_PER_PASS):
+        chunk = columns[start : start + COLUMNS_PER_PASS]
+        facts = [F.struct(F.lit(c).alias("column"), F.approx_count_distinct(present(df, c), rsd).alias("n_unique")) for c in chunk]
+        row = df.agg(*[f.alias(f"f{i}") for i, f in enumerate(facts)])
+        parts.append(row.select(F.inline(F.array(*[F.col(f"f{i}") for i in range(len(chunk))]))))
     return union_all(parts)
 
 

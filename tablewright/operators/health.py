@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import col, normal_label, pct_of, present
+from ..functions.scalar import col, group_key, normal_label, pct_of, present
+from ..session import cut_lineage
 from .frequency import duplicate_rows, leading_values, spell_out, union_all, value_counts
 from .profile import Profile, profile_of
 
@@ -143,20 +144,26 @@ LEVELS_SCHEMA = "column string, raw_levels bigint, normal_levels bigint, n_rare
 def level_summary(df: DataFrame, columns: list[str], n_rows: int, max_rare: int = 2, min_share: float = 0.02) -> DataFrame:
     """Per categorical column: levels, levels after clean-up, rare levels, levels under a share of all rows.
 
-    One table of value counts, regrouped by the cleaned label, answers all four. Labels longer
-    than the grouping key are cleaned before they are shortened.
+    One scan and one shuffle count the labels, with the cleaned label beside each; both sides of the result read those
+    counts. Labels longer than the grouping key are cleaned before they are shortened.
     """
     if not columns:
         return df.sparkSession.createDataFrame([], LEVELS_SCHEMA)
     text = df.select(*[present(df, c).cast("string").alias(c) for c in columns])
-    raw = value_counts(text, columns, "label")
-    clean = value_counts(text.select(*[normal_label(col(c)).alias(c) for c in columns]), columns, "label")
-    per_column = raw.groupBy("column").agg(
+    cells = [
+        F.struct(F.lit(c).alias("column"), group_key(col(c)).alias("raw"), group_key(normal_label(col(c))).alias("clean"))
+        for c in columns
+    ]
+    counts = cut_lineage(
+        text.select(F.inline(F.array(*cells))).where(F.col("raw").isNotNull())
+        .groupBy("column", "raw", "clean").agg(F.count(F.lit(1)).alias("n"))
+    )
+    per_column = counts.groupBy("column").agg(
         F.count(F.lit(1)).alias("raw_levels"),
         F.count_if(F.col("n") <= max_rare).alias("n_rare"),
         F.count_if(F.col("n") / F.lit(n_rows) < min_share).alias("n_small"),
     )
-    cleaned = clean.groupBy("column").agg(F.count_if(F.col("n") > 0).alias("normal_levels"))
+    cleaned = counts.select("column", "clean").distinct().groupBy("column").agg(F.count(F.lit(1)).alias("normal_levels"))
     return per_column.join(F.broadcast(cleaned), "column").select("column", "raw_levels", "normal_levels", "n_rare", "n_small")
 
 

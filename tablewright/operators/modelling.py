@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import col, present
 from ..session import cut_lineage, spread
-from .frequency import leading_values, union_all, value_counts
+from .frequency import leading_values, spell_out, union_all, value_counts
 from .ordering import exact_quantiles, positions_within, running_total
 from .profile import GROUP_TYPES, NUMERIC_TYPES, Profile, profile_of
 
@@ -244,7 +244,7 @@ def gap_fills(train: DataFrame, plan: Plan, columns_with_gaps: set[str]) -> dict
     if numeric:
         fills |= {c: v[0] for c, v in exact_quantiles(train, {c: [0.5] for c in numeric}).items() if v[0] is not None}
     if labels:
-        leaders = leading_values(value_counts(train, labels, "label"), 1).collect()
+        leaders = spell_out(train, leading_values(value_counts(train, labels, "label"), 1), labels).collect()
         fills |= {r["column"]: r["value"] for r in leaders}
     return fills
 
@@ -275,16 +275,9 @@ def filled(frame: DataFrame, plan: Plan, fills: dict) -> DataFrame:
     return frame.withColumns({c: F.coalesce(col(c), F.lit(v)) for c, v in fills.items()}) if fills else frame
 
 
-# A classifier keeps one output per class; a target with more labels is no class target.
-MAX_CLASSES = 10_000
-
-
 def class_labels(frame: DataFrame) -> list[str]:
-    """Class labels in order."""
-    rows = frame.select("label").distinct().orderBy("label").limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"The target has more than {MAX_CLASSES} classes.")
-    return [r["label"] for r in rows]
+    """Class labels in order; a classifier keeps one output for each of them."""
+    return [r["label"] for r in frame.select("label").distinct().orderBy("label").collect()]
 
 
 def fit_model(
@@ -379,7 +372,7 @@ def class_scores(predictions: DataFrame, keys: list[str], classes: list[str]) ->
     )
 
 
-def ranking_scores(predictions: DataFrame, classes: list[str], n_rows: int) -> DataFrame:
+def ranking_scores(predictions: DataFrame, classes: list[str]) -> DataFrame:
     """(fold, roc_auc): rank-sum AUC; with more than two classes, one against the rest by class share.
 
     Scores are tallied before they are ranked, so tied scores cost one row.
@@ -392,7 +385,7 @@ def ranking_scores(predictions: DataFrame, classes: list[str], n_rows: int) -> D
     tallies = unfolded.groupBy((F.col("fold") * len(classes) + F.col("class")).alias("group"), "score").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("actual") == F.col("class")).alias("positives")
     )
-    placed = running_total(tallies, "group", "score", "n", n_rows)
+    placed = running_total(tallies, "group", "score", "n")
     p, n = F.sum("positives"), F.sum("n")
     rank_sum = F.sum(F.col("positives") * (F.col("before") + (F.col("n") + 1) / 2))
     per_class = placed.groupBy("group").agg(
@@ -412,7 +405,7 @@ def fold_scores(predictions: DataFrame, plan: Plan, classes: list[str]) -> DataF
     else:
         wide = class_scores(predictions, ["fold"], classes)
         if "roc_auc" in plan.metrics:
-            wide = wide.join(ranking_scores(predictions, classes, predictions.count()), "fold", "left")
+            wide = wide.join(ranking_scores(predictions, classes), "fold", "left")
     return wide.unpivot(["fold"], [m for m in plan.metrics if m in wide.columns], "metric", "value")
 
 

@@ -10,56 +10,46 @@ from pyspark.sql import functions as F
 from ..functions.scalar import col, present
 from ..session import cut_lineage
 
-# Up to this many rows (checked before planning) one task may hold the distinct values of one
-# column. Beyond it the range-partitioned or bracketed forms below are used.
-ONE_TASK_ROWS = 4_000_000
 ROWS_PER_BUCKET = 1_000_000
+# Values that are gathered for one order statistic; more are narrowed down first.
+GATHERED = 4_000
+# Order statistics per aggregate: few enough for the JVM to compile the generated code.
+TARGETS_PER_PASS = 6
 
 
-def running_total(
-    counts: DataFrame, group: str, value: str, weight: str, n_rows: int, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def running_total(counts: DataFrame, group: str, value: str, weight: str) -> DataFrame:
     """Add `before`: the sum of `weight` over the rows of the same group with a smaller `value`.
 
-    (group, value) must be unique and `n_rows` an upper bound of the rows of one group. Small
-    inputs take one window per group. Larger ones are range-partitioned, the partition number
-    is written down, and each partition adds up its own rows on top of the totals of the
-    partitions before it.
+    (group, value) must be unique. Rows are range-partitioned into as many partitions as the session
+    shuffles into, the partition number is written down, and each partition adds up its own rows
+    on top of the totals of the partitions before it.
     """
     so_far = (
         Window.partitionBy(group, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    if n_rows <= one_task_rows:
-        local = counts.withColumn("__part", F.lit(0))
-        return local.withColumn("before", F.sum(weight).over(so_far) - F.col(weight)).drop("__part")
-    parts = max(2, math.ceil(n_rows / min(one_task_rows, ROWS_PER_BUCKET)))
-    local = cut_lineage(
-        counts.repartitionByRange(min(parts, 100_000), F.col(group), F.col(value)).withColumn("__part", F.spark_partition_id())
-    )
+    local = cut_lineage(counts.repartitionByRange(F.col(group), F.col(value)).withColumn("__part", F.spark_partition_id()))
     totals = local.groupBy(group, "__part").agg(F.sum(weight).alias("__total"))
     # one row per group and partition it touches
     earlier = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = totals.select(group, "__part", (F.sum("__total").over(earlier) - F.col("__total")).alias("__offset"))
     return (
         local.withColumn("before", F.sum(weight).over(so_far) - F.col(weight))
-        .join(F.broadcast(offsets), [group, "__part"])
+        .join(offsets, [group, "__part"])
         .withColumn("before", F.col("before") + F.col("__offset"))
         .drop("__part", "__offset")
     )
 
 
-def average_ranks(counts: DataFrame, n_rows: int, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def average_ranks(counts: DataFrame) -> DataFrame:
     """(column, value, rank) from (column, value, n): equal values share their average rank."""
-    placed = running_total(counts, "column", "value", "n", n_rows, one_task_rows)
+    placed = running_total(counts, "column", "value", "n")
     return placed.select("column", "value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def label_positions(df: DataFrame, label: str, n_rows: int, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """(label, position): distinct labels in sorted order, numbered from 0."""
-    labels = df.select(present(df, label).alias("label")).where(F.col("label").isNotNull()).distinct()
-    marked = labels.select(F.lit(0).alias("all"), "label", F.lit(1).alias("one"))
-    placed = running_total(marked, "all", "label", "one", n_rows, one_task_rows)
-    return placed.select("label", F.col("before").cast("bigint").alias("position"))
+def label_positions(labels: DataFrame) -> DataFrame:
+    """(column, label, position) from distinct (column, label): labels of a column in sorted order, numbered from 0."""
+    placed = running_total(labels.select("column", "label", F.lit(1).alias("one")), "column", "label", "one")
+    return placed.select("column", "label", F.col("before").cast("bigint").alias("position"))
 
 
 def positions_within(
@@ -102,82 +92,63 @@ def hash_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFr
     return df.orderBy(draw, *[col(k) for k in key]).limit(n)
 
 
-def exact_quantiles(
-    df: DataFrame, probabilities: dict[str, list[float]], one_task_rows: int = ONE_TASK_ROWS
-) -> dict[str, list[float | None]]:
+def _in_passes(df: DataFrame, expressions: list[Column]) -> list:
+    """The values of many aggregates, a few of them per pass; each pass reads only its own columns."""
+    values = []
+    for start in range(0, len(expressions), TARGETS_PER_PASS):
+        chunk = expressions[start : start + TARGETS_PER_PASS]
+        values += list(df.agg(*[e.alias(f"v{i}") for i, e in enumerate(chunk)]).first())
+    return values
+
+
+def exact_quantiles(df: DataFrame, probabilities: dict[str, list[float]], gathered: int = GATHERED) -> dict[str, list[float | None]]:
     """Exact, linearly interpolated quantiles of many columns.
 
-    Like `DataFrame.approxQuantile` this runs at once and returns plain numbers. The values of
-    columns with few present rows are counted and go through `percentile`. Otherwise each
-    wanted order statistic is closed in by quantile sketches: every round keeps only the values
-    between two sketch bounds, checks by counting that the wanted rank lies inside, and repeats
-    until what is left is small. Each round is a scan with tiny aggregates; nothing is shuffled
-    or sorted whole.
+    Like `DataFrame.approxQuantile` this runs at once and returns plain numbers. Each wanted order
+    statistic is closed in by quantile sketches: every round keeps only the values between two
+    sketch bounds, checks by counting that the wanted rank lies inside, and repeats until at most
+    `gathered` values are left, which a last pass picks from. Each round is a scan with
+    small aggregates, of a size that does not depend on the table; nothing is shuffled or sorted whole.
     """
     numbers = df.select(*[present(df, c).cast("double").alias(c) for c in probabilities])
     names = list(probabilities)
-    head = numbers.agg(
-        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)],
-        *[F.min(col(c)).alias(f"a{i}") for i, c in enumerate(names)],
-        *[F.max(col(c)).alias(f"b{i}") for i, c in enumerate(names)],
-    ).first()
-    result: dict[str, list[float | None]] = {c: [None] * len(probabilities[c]) for c in names}
-    few = [c for i, c in enumerate(names) if 0 < head[f"n{i}"] <= one_task_rows]
-    if few:
-        wanted = sorted({p for c in few for p in probabilities[c]})
-        counts = (
-            numbers.unpivot([], [col(c) for c in few], "column", "value").where(F.col("value").isNotNull())
-            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-        )
-        found = counts.groupBy("column").agg(F.percentile("value", F.array(*[F.lit(p) for p in wanted]), F.col("n")).alias("q"))
-        for r in found.collect():
-            place = dict(zip(wanted, r["q"]))
-            result[r["column"]] = [place[p] for p in probabilities[r["column"]]]
-
-    open_targets, known = [], {}
-    for i, c in enumerate(names):
-        n = head[f"n{i}"]
-        if n <= one_task_rows:
-            continue
-        for p in probabilities[c]:
-            low = math.floor((n - 1) * p)
-            for rank in {low, min(low + 1, n - 1)}:
-                if (c, rank) not in {(t["column"], t["rank"]) for t in open_targets}:
-                    open_targets.append(
-                        {"column": c, "rank": rank, "low": head[f"a{i}"], "high": head[f"b{i}"], "below": 0, "inside": n}
-                    )
+    head = _in_passes(numbers, [F.struct(F.count(col(c)), F.min(col(c)), F.max(col(c))) for c in names])
+    sizes = {c: h[0] for c, h in zip(names, head)}
+    targets, known = [], {}
+    for c, (n, low, high) in zip(names, head):
+        ranks = {r for p in probabilities[c] if n for r in (math.floor((n - 1) * p), min(math.floor((n - 1) * p) + 1, n - 1))}
+        targets += [{"column": c, "rank": r, "low": low, "high": high, "below": 0, "inside": n} for r in sorted(ranks)]
 
     def inside(t):
         c = col(t["column"])
         return F.when((c >= F.lit(t["low"])) & (c <= F.lit(t["high"])), c)
 
-    while open_targets:
-        ready = [t for t in open_targets if t["low"] == t["high"] or t["inside"] <= one_task_rows]
-        wide = [t for t in open_targets if t not in ready]
-        for t in ready:
+    while targets:
+        for t in targets:
             if t["low"] == t["high"]:
                 known[t["column"], t["rank"]] = t["low"]
-        small = [t for t in ready if t["low"] != t["high"]]
-        if small:
-            # the k-th of m values is the smallest one whose share of values reaches (k + 0.5) / m
-            picked = numbers.agg(
-                *[
-                    F.expr(
-                        f"percentile_disc({(t['rank'] - t['below'] + 0.5) / t['inside']!r}D) "
-                        f"WITHIN GROUP (ORDER BY CASE WHEN `{t['column'].replace('`', '``')}` BETWEEN "
-                        f"{t['low']!r}D AND {t['high']!r}D THEN `{t['column'].replace('`', '``')}` END)"
-                    ).alias(f"v{i}")
-                    for i, t in enumerate(small)
-                ]
-            ).first()
-            for i, t in enumerate(small):
-                known[t["column"], t["rank"]] = picked[f"v{i}"]
-        if not wide:
-            break
+        targets = [t for t in targets if t["low"] != t["high"]]
+        small = [t for t in targets if t["inside"] <= gathered]
+        # the k-th of m values is the smallest one whose share of values reaches (k + 0.5) / m
+        picked = _in_passes(
+            numbers,
+            [
+                F.expr(
+                    f"percentile_disc({(t['rank'] - t['below'] + 0.5) / t['inside']!r}D) "
+                    f"WITHIN GROUP (ORDER BY CASE WHEN `{t['column'].replace('`', '``')}` BETWEEN "
+                    f"{t['low']!r}D AND {t['high']!r}D THEN `{t['column'].replace('`', '``')}` END)"
+                )
+                for t in small
+            ],
+        )
+        for t, value in zip(small, picked):
+            known[t["column"], t["rank"]] = value
+        targets = [t for t in targets if t["inside"] > gathered]
         accuracy = 10_000
         slack = 2.0 / accuracy
-        sketched = numbers.agg(
-            *[
+        bounds = _in_passes(
+            numbers,
+            [
                 F.percentile_approx(
                     inside(t),
                     [
@@ -185,30 +156,30 @@ def exact_quantiles(
                         min(1.0, (t["rank"] - t["below"] + 1) / t["inside"] + slack),
                     ],
                     accuracy,
-                ).alias(f"s{i}")
-                for i, t in enumerate(wide)
-            ]
-        ).first()
-        for i, t in enumerate(wide):
-            t["new_low"], t["new_high"] = sketched[f"s{i}"]
-        # Three counts per target: a hot value may sit on either bound of the bracket.
-        counted = numbers.agg(
-            *[F.count_if(col(t["column"]) < F.lit(t["new_low"])).alias(f"l{i}") for i, t in enumerate(wide)],
-            *[
-                F.count_if((col(t["column"]) >= F.lit(t["new_low"])) & (col(t["column"]) <= F.lit(t["new_high"]))).alias(f"m{i}")
-                for i, t in enumerate(wide)
+                )
+                for t in targets
+            ],
+        )
+        # Four counts per target: a hot value may sit on either bound of the bracket.
+        counted = _in_passes(
+            numbers,
+            [
+                F.struct(
+                    F.count_if(col(t["column"]) < F.lit(low)),
+                    F.count_if((col(t["column"]) >= F.lit(low)) & (col(t["column"]) <= F.lit(high))),
+                    F.count_if(col(t["column"]) == F.lit(low)),
+                    F.count_if(col(t["column"]) == F.lit(high)),
+                )
+                for t, (low, high) in zip(targets, bounds)
             ],
-            *[F.count_if(col(t["column"]) == F.lit(t["new_low"])).alias(f"p{i}") for i, t in enumerate(wide)],
-            *[F.count_if(col(t["column"]) == F.lit(t["new_high"])).alias(f"q{i}") for i, t in enumerate(wide)],
-        ).first()
-        for i, t in enumerate(wide):
-            below, middle, at_low, at_high = (counted[f"{k}{i}"] for k in "lmpq")
+        )
+        for t, (new_low, new_high), (below, middle, at_low, at_high) in zip(targets, bounds, counted):
             if below <= t["rank"] < below + at_low:
-                t["high"] = t["low"] = t["new_low"]
+                t["high"] = t["low"] = new_low
             elif below + middle - at_high <= t["rank"] < below + middle:
-                t["high"] = t["low"] = t["new_high"]
+                t["high"] = t["low"] = new_high
             elif below <= t["rank"] < below + middle and middle < t["inside"]:
-                t.update(low=t["new_low"], high=t["new_high"], below=below, inside=middle)
+                t.update(low=new_low, high=new_high, below=below, inside=middle)
             else:
                 # no progress: halve the value range and keep the half that holds the rank
                 middle_value = t["low"] / 2 + t["high"] / 2
@@ -220,18 +191,13 @@ def exact_quantiles(
                     t.update(high=middle_value, inside=lower["upto"] - t["below"])
                 else:
                     t.update(low=lower["next"], inside=t["inside"] - (lower["upto"] - t["below"]), below=lower["upto"])
-        open_targets = wide
-
-    for i, c in enumerate(names):
-        n = head[f"n{i}"]
-        if n <= one_task_rows:
-            continue
-        values: list[float | None] = []
-        for p in probabilities[c]:
-            spot = (n - 1) * p
-            low = math.floor(spot)
-            lower, upper = known[c, low], known[c, min(low + 1, n - 1)]
-            part = spot - low
-            values.append(lower if part == 0 else (1 - part) * lower + part * upper)
-        result[c] = values
-    return result
+
+    def quantile(c: str, p: float) -> float | None:
+        if not sizes[c]:
+            return None
+        spot = (sizes[c] - 1) * p
+        low = math.floor(spot)
+        lower, upper = known[c, low], known[c, min(low + 1, sizes[c] - 1)]
+        return lower if spot == low or lower == upper else (low + 1 - spot) * lower + (spot - low) * upper
+
+    return {c: [quantile(c, p) for p in probabilities[c]] for c in names}

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col, present, strength
 from ..session import cut_lineage, spread
 from .frequency import union_all
-from .ordering import ONE_TASK_ROWS, average_ranks
+from .ordering import average_ranks
 from .profile import GROUP_TYPES, NUMERIC_TYPES, Profile, profile_of
 
 Pair = tuple[str, str]
@@ -18,28 +23,62 @@ def all_pairs(columns: list[str]) -> list[Pair]:
     return [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
 
 
-# Pairs per aggregate: few enough for the JVM to compile the generated code. Each aggregate
-# reads only its own columns.
-PAIRS_PER_PASS = 12
+MOMENTS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+
+def _moment_rows(columns: list[str], centres: list[float], wanted: list[tuple[int, int]]):
+    """Sums of a task for all wanted pairs, from one product of matrices for each kind of sum."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(columns)
+        n, s, q, x = (np.zeros((size, size)) for _ in range(4))
+        for batch in batches:
+            values = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
+            there = ~np.isnan(values)
+            centred = np.where(there, values - centres, 0.0)
+            mask = there.astype(float)
+            n += mask.T @ mask
+            s += centred.T @ mask
+            q += (centred * centred).T @ mask
+            x += centred.T @ centred
+        i, j = (np.array(k, dtype=int) for k in zip(*wanted))
+        sums = [n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], x[i, j]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(wanted), dtype=np.int32)), *[pa.array(v) for v in sums]], ["pair", *MOMENTS]
+        )
+
+    return rows
 
 
 def _correlate(df: DataFrame, pairs: list[tuple[str, str, str, str]], out: str) -> DataFrame:
-    """(pair, col_a, col_b, n, out): `pairs` names the output columns and the two value columns."""
-    schema = f"struct<pair:int,col_a:string,col_b:string,n:bigint,{out}:double>"
-    parts = []
-    numbered = list(enumerate(pairs))
-    for start in range(0, len(numbered), PAIRS_PER_PASS):
-        chunk = numbered[start : start + PAIRS_PER_PASS]
-        row = df.agg(
-            *[
-                F.struct(
-                    F.lit(i), F.lit(a), F.lit(b), F.count_if(col(x).isNotNull() & col(y).isNotNull()), F.corr(col(x), col(y))
-                ).cast(schema).alias(f"p{i}")
-                for i, (a, b, x, y) in chunk
-            ]
-        )
-        parts.append(row.select(F.inline(F.array(*[F.col(f"p{i}") for i, _ in chunk]))))
-    return union_all(parts).withColumn(out, F.when(~F.isnan(out), F.col(out)))
+    """(pair, col_a, col_b, n, out): `pairs` names the output columns and the two value columns.
+
+    One pass for a middle value of each column, one for the sums of all pairs around those values, over the
+    rows where both values of a pair are present. A task sends one row of six sums for each pair.
+    """
+    columns = list(dict.fromkeys(c for p in pairs for c in p[2:]))
+    place = {c: i for i, c in enumerate(columns)}
+    # a value that the column holds, so that one without spread is exactly zero around it
+    found = df.agg(*[F.percentile_approx(col(c).cast("double"), 0.5, 100).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    centres = [0.0 if v is None or not math.isfinite(v) else v for v in found]
+    named = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    wanted = [(place[x], place[y]) for _, _, x, y in pairs]
+    moments = named.mapInArrow(
+        _moment_rows(named.columns, centres, wanted), "pair int, " + ", ".join(f"{m} double" for m in MOMENTS)
+    )
+    sums = moments.groupBy("pair").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    # what rounding leaves of a column without spread is no spread
+    spread_x, spread_y = (
+        F.when(F.col(q) - F.col(s) * F.col(s) / n > 1e-11 * F.col(q), F.col(q) - F.col(s) * F.col(s) / n)
+        for s, q in (("sx", "sxx"), ("sy", "syy"))
+    )
+    r = (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(spread_x * spread_y)
+    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b, _, _) in enumerate(pairs)], "pair int, col_a string, col_b string")
+    return names.join(F.broadcast(sums), "pair", "left").select(
+        "pair", "col_a", "col_b", F.coalesce("n", F.lit(0.0)).cast("bigint").alias("n"),
+        F.when(r.isNotNull() & ~F.isnan(r), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias(out),
+    )
 
 
 # A rank table of up to this many distinct values is broadcast (16 bytes each).
@@ -58,7 +97,7 @@ def pearson(df: DataFrame, pairs: list[Pair]) -> DataFrame:
 
 
 def spearman(
-    df: DataFrame, pairs: list[Pair], columns_with_gaps: set[str] | None = None, one_task_rows: int = ONE_TASK_ROWS
+    df: DataFrame, pairs: list[Pair], columns_with_gaps: set[str] | None = None
 ) -> DataFrame:
     """Rank correlation of column pairs, average ranks for ties, over complete pairs.
 
@@ -73,10 +112,9 @@ def spearman(
         return df.sparkSession.createDataFrame([], EMPTY_PAIRS.format("spearman_r"))
     used = list(dict.fromkeys(c for p in pairs for c in p))
     numbers = df.select(*[present(df, c).cast("double").alias(c) for c in used])
-    n_rows = numbers.count()
     if columns_with_gaps is None:
-        found = numbers.agg(*[F.count(col(c)).alias(c) for c in used]).first()
-        columns_with_gaps = {c for c in used if found[c] < n_rows}
+        found = numbers.agg(F.count(F.lit(1)), *[F.count(col(c)) for c in used]).first()
+        columns_with_gaps = {c for c, n in zip(used, found[1:]) if n < found[0]}
 
     ranked: dict[tuple[str, str | None], str] = {}
 
@@ -103,7 +141,7 @@ def spearman(
 
     every = list(range(len(names)))
     counts = unfolded(every).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranks = cut_lineage(average_ranks(counts, n_rows, one_task_rows))
+    ranks = cut_lineage(average_ranks(counts))
     sizes = {r["column"]: r["count"] for r in ranks.groupBy("column").count().collect()}
     few = [i for i in every if sizes.get(i, 0) <= FEW_VALUES]
     many = [i for i in every if i not in few]
@@ -150,20 +188,21 @@ def _order(profile: Profile, c: Column) -> Column:
     return F.create_map(*pairs)[c]
 
 
-def correlations(df: DataFrame, profile: Profile | None = None, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def correlations(df: DataFrame, profile: Profile | None = None) -> DataFrame:
     """Both coefficients of every numeric pair."""
     profile = profile_of(df, profile)
     pairs = all_pairs(profile.columns(*NUMERIC_TYPES))
     r = pearson(df, pairs)
-    rho = spearman(df, pairs, _gaps(profile), one_task_rows).select("pair", "spearman_r")
+    rho = spearman(df, pairs, _gaps(profile)).select("pair", "spearman_r")
     return r.join(F.broadcast(rho), "pair")
 
 
 def correlation_findings(
-    df: DataFrame, profile: Profile | None = None, min_abs_r: float = 0.3, one_task_rows: int = ONE_TASK_ROWS
+    df: DataFrame, profile: Profile | None = None, min_abs_r: float = 0.3, both: DataFrame | None = None
 ) -> DataFrame:
+    """Correlated pairs of numbers; `both` is what `correlations` found, if it is known."""
     profile = profile_of(df, profile)
-    both = correlations(df, profile, one_task_rows).where("pearson_r IS NOT NULL AND spearman_r IS NOT NULL")
+    both = (correlations(df, profile) if both is None else both).where("pearson_r IS NOT NULL AND spearman_r IS NOT NULL")
     score = F.greatest(F.abs("pearson_r"), F.abs("spearman_r"))
     return both.where(score >= min_abs_r).select(
         *_finding(
@@ -282,9 +321,12 @@ def dominant_findings(profile: DataFrame, dominance_pct: float = 90.0) -> DataFr
 
 
 def target_findings(
-    df: DataFrame, target: str, profile: Profile | None = None, min_score: float = 0.25, one_task_rows: int = ONE_TASK_ROWS
+    df: DataFrame, target: str, profile: Profile | None = None, min_score: float = 0.25, both: DataFrame | None = None
 ) -> DataFrame:
-    """Features related to a target: by rank correlation, or by the spread over its classes."""
+    """Features related to a target: by rank correlation, or by the spread over its classes.
+
+    `both` is what `correlations` found; it holds the rank correlations with the target too.
+    """
     profile = profile_of(df, profile)
     row = profile.named(target)
     numeric = [c for c in profile.columns(*NUMERIC_TYPES) if c != target]
@@ -292,7 +334,11 @@ def target_findings(
     if row is None:
         return empty
     if row["semantic_type"] in NUMERIC_TYPES:
-        rho = spearman(df, [(c, target) for c in numeric], _gaps(profile), one_task_rows)
+        if both is None:
+            rho = spearman(df, [(c, target) for c in numeric], _gaps(profile))
+        else:
+            other = F.when(F.col("col_a") == target, F.col("col_b")).otherwise(F.col("col_a"))
+            rho = both.where((F.col("col_a") == target) | (F.col("col_b") == target)).withColumn("col_a", other)
         score = F.abs("spearman_r")
         return rho.where(score >= min_score).select(
             *_finding(
@@ -318,14 +364,15 @@ def target_findings(
 def findings(df: DataFrame, target: str | None = None, profile: Profile | None = None) -> DataFrame:
     """Everything that stands out, strongest first."""
     profile = profile_of(df, profile)
+    both = cut_lineage(correlations(df, profile))
     parts = [
-        correlation_findings(df, profile),
+        correlation_findings(df, profile, both=both),
         group_difference_findings(df, profile),
         skew_findings(profile.frame),
         dominant_findings(profile.frame),
     ]
     if target is not None:
-        parts.append(target_findings(df, target, profile))
+        parts.append(target_findings(df, target, profile, both=both))
     return ranked_findings(union_all(parts))
 
 

@@ -19,14 +19,12 @@ from ..functions.scalar import (
 )
 from .frequency import (
     approximate_distinct_counts,
-    columns_by_kind,
     distinct_counts,
     duplicate_rows,
     leading_values_of,
     union_all,
-    value_counts,
 )
-from .ordering import ONE_TASK_ROWS, exact_quantiles
+from .ordering import exact_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
 NUMERIC_TYPES = ("numeric_continuous", "numeric_discrete")
@@ -100,39 +98,18 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
 
 
-def quantile_table(
-    df: DataFrame, columns: list[str], probabilities: list[float], n_rows: int, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
-    """(column, quantiles): exact and interpolated, as an array in the order asked for.
-
-    Up to `one_task_rows` rows the value counts feed `percentile`; larger tables go through
-    `exact_quantiles`, which never gathers a column.
-    """
-    spark = df.sparkSession
-    if not columns:
-        return spark.createDataFrame([], "column string, quantiles array<double>")
-    if n_rows > one_task_rows:
-        found = exact_quantiles(df, {c: probabilities for c in columns}, one_task_rows)
-        return spark.createDataFrame([(c, v) for c, v in found.items()], "column string, quantiles array<double>")
-    wanted = F.array(*[F.lit(p) for p in probabilities])
-    numbers = df.select(*[present(df, c).cast("double").alias(c) for c in columns])
-    counts = union_all(
-        [
-            value_counts(numbers if kind == "label" else df, names, "real" if kind == "label" else kind).select(
-                "column", F.col("value").cast("double").alias("value"), "n"
-            )
-            for kind, names in columns_by_kind(df, columns).items()
-        ]
-    )
-    return counts.groupBy("column").agg(F.percentile("value", wanted, F.col("n")).alias("quantiles"))
+def quantile_table(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
+    """(column, quantiles): exact and interpolated, as an array in the order asked for."""
+    found = exact_quantiles(df, {c: probabilities for c in columns}) if columns else {}
+    return df.sparkSession.createDataFrame([(c, v) for c, v in found.items()], "column string, quantiles array<double>")
 
 
-def numeric_summary(df: DataFrame, columns: list[str] | None = None, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """min, max, mean, median, std, quartiles and skew of numeric columns."""
     columns = columns or numeric_columns(df)
     narrow = df.select(*[col(c) for c in columns])
     facts = column_facts(narrow)
-    quartiles = quantile_table(narrow, columns, QUARTILES, narrow.count(), one_task_rows)
+    quartiles = quantile_table(narrow, columns, QUARTILES)
     return facts.join(F.broadcast(quartiles), "column", "left").select(
         "column",
         F.col("n_present").alias("n"),
@@ -170,13 +147,12 @@ def semantic_type(nested: Column) -> Column:
     )
 
 
-def column_profile(df: DataFrame, distinct: str = "exact", one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def column_profile(df: DataFrame, distinct: str = "exact") -> DataFrame:
     """One row per column: counts, semantic type, statistics, top values and examples.
 
-    One pass gives counts and moments, one shuffle per kind of key gives distinct counts, top
-    values and quartiles. `distinct="approx"` swaps the exact distinct counts for sketches.
+    One pass gives counts and moments, one shuffle per kind of key gives distinct counts and top
+    values, and quartiles are narrowed down scan by scan. `distinct="approx"` swaps the exact distinct counts for sketches.
     """
-    n_rows = df.count()
     plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, NESTED)]
     facts = column_facts(df)
     empty_counts = df.sparkSession.createDataFrame([], "column string, n_unique bigint")
@@ -186,7 +162,7 @@ def column_profile(df: DataFrame, distinct: str = "exact", one_task_rows: int =
         uniques = approximate_distinct_counts(df, plain)
     else:
         uniques = distinct_counts(df, plain)
-    quartiles = quantile_table(df, numeric_columns(df), QUARTILES, n_rows, one_task_rows)
+    quartiles = quantile_table(df, numeric_columns(df), QUARTILES)
     if plain:
         top = leading_values_of(df, 10, plain).groupBy("column").agg(
             F.array_sort(F.collect_list(F.struct("place", "value", "n"))).alias("leaders")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import col, effect_label, present
 from ..functions.tails import tail_probability
+from ..session import cut_lineage
 from .frequency import union_all
 from .patterns import Pair, findings, group_means, pearson, spearman
 from .profile import GROUP_TYPES, NUMERIC_TYPES, Profile, profile_of
@@ -68,7 +69,8 @@ def group_tests(df: DataFrame, pairs: list[Pair]) -> DataFrame:
     gap = F.col("mean") - F.col("grand")
     # the two-group case needs its two rows side by side, larger group first; longer lists stay empty
     sums = (
-        levels.join(grand, keys)
+        # one row per pair
+        levels.join(F.broadcast(grand), keys)
         .groupBy(*keys)
         .agg(
             F.first("k").alias("k"),
@@ -87,9 +89,11 @@ def group_tests(df: DataFrame, pairs: list[Pair]) -> DataFrame:
     v0, v1 = first["variance"] / first["n"], second["variance"] / second["n"]
     mean_gap = first["mean"] - second["mean"]
     spread = F.sqrt(v0 + v1)
-    t = F.when(spread > 0, mean_gap / F.nullif(spread, F.lit(0.0)))
-    welch = (v0 + v1) * (v0 + v1) / F.nullif(
-        v0 * v0 / (first["n"] - 1) + v1 * v1 / (second["n"] - 1), F.lit(0.0)
+    # without any spread, different means are certainly different
+    t = F.when(spread > 0, mean_gap / F.nullif(spread, F.lit(0.0))).when(mean_gap != 0, F.signum(mean_gap) * F.lit(float("inf")))
+    welch = F.coalesce(
+        (v0 + v1) * (v0 + v1) / F.nullif(v0 * v0 / (first["n"] - 1) + v1 * v1 / (second["n"] - 1), F.lit(0.0)),
+        F.when(mean_gap != 0, (first["n"] + second["n"] - 2).cast("double")),
     )
     pooled = F.sqrt(
         ((first["n"] - 1) * first["variance"] + (second["n"] - 1) * second["variance"]) / (first["n"] + second["n"] - 2)
@@ -135,21 +139,15 @@ def cell_counts(df: DataFrame, pairs: list[Pair]) -> DataFrame:
     )
 
 
-def contingency_table(df: DataFrame, a: str, b: str, max_columns: int = 10_000) -> DataFrame:
-    """(a, b, n) with a row for every combination, also the empty ones.
+def contingency_table(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, n) with a row for every combination of levels, also the empty ones.
 
-    The levels of `b` become columns of a pivot and are folded back. A table too wide for that
-    has mostly empty cells: `cell_counts` gives the observed ones, and `chi_square_tests` needs
-    no others.
+    This is the full table a reader asks for; `chi_square_tests` needs the observed cells alone.
     """
-    pairs = df.select(present(df, a).cast("string").alias("a"), present(df, b).cast("string").alias("b")).na.drop()
-    levels = [r["b"] for r in pairs.select("b").distinct().orderBy("b").limit(max_columns + 1).collect()]
-    if len(levels) > max_columns:
-        raise ValueError(f"{b} has more than {max_columns} levels; use cell_counts")
-    if not levels:
-        return df.sparkSession.createDataFrame([], "a string, b string, n bigint")
-    pivoted = pairs.groupBy("a").pivot("b", levels).agg(F.count(F.lit(1))).na.fill(0, levels)
-    return pivoted.unpivot(["a"], [col(v) for v in levels], "b", "n").select("a", "b", "n")
+    cells = cut_lineage(cell_counts(df, [(a, b)]))
+    rows, columns = cells.select("pair", "a").distinct(), cells.select("pair", "b").distinct()
+    every = rows.join(columns, "pair")
+    return every.join(cells, ["pair", "a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def expected_counts(table: DataFrame) -> DataFrame:

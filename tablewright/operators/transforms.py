@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import NUMERIC, TEMPORAL, col, present, to_number
-from .ordering import ONE_TASK_ROWS, exact_quantiles, label_positions
+from ..session import cut_lineage
+from .frequency import KEY_TYPES, columns_by_kind, key_kind
+from .ordering import exact_quantiles, label_positions
 
 
 class TransformError(ValueError):
@@ -73,23 +75,21 @@ def minmax_scale(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def clip_bounds(
-    df: DataFrame, columns: list[str], lower: float | None = None, upper: float | None = None,
-    one_task_rows: int = ONE_TASK_ROWS,
+    df: DataFrame, columns: list[str], lower: float | None = None, upper: float | None = None
 ) -> dict[str, tuple[float, float]]:
     if lower is not None and upper is not None:
         return {c: (float(lower), float(upper)) for c in columns}
     numbers = df.select(*[_number(df, c).alias(c) for c in columns])
-    found = exact_quantiles(numbers, {c: [0.01, 0.99] for c in columns}, one_task_rows)
+    found = exact_quantiles(numbers, {c: [0.01, 0.99] for c in columns})
     return {c: (v[0], v[1]) for c, v in found.items()}
 
 
 def clip_outliers(
-    df: DataFrame, columns: list[str], lower: float | None = None, upper: float | None = None,
-    one_task_rows: int = ONE_TASK_ROWS,
+    df: DataFrame, columns: list[str], lower: float | None = None, upper: float | None = None
 ) -> DataFrame:
     """Clip in place to the given bounds, or to the 1st and 99th percentile."""
     _measure(df, columns)
-    bounds = clip_bounds(df, columns, lower, upper, one_task_rows)
+    bounds = clip_bounds(df, columns, lower, upper)
     clipped = {}
     for c, (low, high) in bounds.items():
         x = _number(df, c)
@@ -98,11 +98,10 @@ def clip_outliers(
 
 
 def clipped_counts(
-    df: DataFrame, columns: list[str], lower: float | None = None, upper: float | None = None,
-    one_task_rows: int = ONE_TASK_ROWS,
+    df: DataFrame, columns: list[str], lower: float | None = None, upper: float | None = None
 ) -> DataFrame:
     """(column, lower_bound, upper_bound, n_clipped) of a clip."""
-    bounds = clip_bounds(df, columns, lower, upper, one_task_rows)
+    bounds = clip_bounds(df, columns, lower, upper)
     row = df.agg(
         *[
             F.struct(
@@ -115,11 +114,11 @@ def clipped_counts(
     return row.select(F.inline(F.array(*[F.col(f"f{i}") for i in range(len(bounds))])))
 
 
-def bin_numeric(df: DataFrame, columns: list[str], n_bins: int = 4, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def bin_numeric(df: DataFrame, columns: list[str], n_bins: int = 4) -> DataFrame:
     """Add `c_binned`: quantile bins closed on the right, equal edges merged, numbered from 0."""
     _measure(df, columns)
     numbers = df.select(*[_number(df, c).alias(c) for c in columns])
-    edges = exact_quantiles(numbers, {c: [i / n_bins for i in range(n_bins + 1)] for c in columns}, one_task_rows)
+    edges = exact_quantiles(numbers, {c: [i / n_bins for i in range(n_bins + 1)] for c in columns})
     added = {}
     for c in columns:
         distinct = list(dict.fromkeys(edges[c]))
@@ -132,67 +131,99 @@ def bin_numeric(df: DataFrame, columns: list[str], n_bins: int = 4, one_task_row
     return df.withColumns(added)
 
 
-def _levels(df: DataFrame, name: str, max_levels: int) -> list:
-    rows = (
-        df.select(present(df, name).alias("level")).where(F.col("level").isNotNull()).distinct().orderBy("level")
-        .limit(max_levels + 1).collect()
-    )
-    if len(rows) > max_levels:
-        raise TransformError(f"Column '{name}' has more than {max_levels} labels; use frequency encoding instead.")
-    return [r["level"] for r in rows]
+def _labels(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
+    """(column, label, n) of many columns by kind of label: one scan and one shuffle for each kind, written down."""
+    tables = {}
+    for kind, names in columns_by_kind(df, columns).items():
+        keyed = df.select(*[present(df, c).cast(KEY_TYPES[kind]).alias(c) for c in names])
+        tables[kind] = cut_lineage(
+            keyed.unpivot([], [col(c) for c in names], "column", "label").where(F.col("label").isNotNull())
+            .groupBy("column", "label").agg(F.count(F.lit(1)).alias("n"))
+        )
+    return tables
 
 
-def one_hot_encode(df: DataFrame, columns: list[str], max_levels: int = 10_000) -> DataFrame:
-    """Replace each column by one boolean column per label, in label order; gaps are all false."""
+def one_hot_encode(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Replace each column by one boolean column per label, in label order; gaps are all false.
+
+    The labels become column names, so they are read by the driver. A name that differs from an
+    earlier one only by case gets a number, as Spark could not tell the two apart.
+    """
     kept = [col(c) for c in df.columns if c not in columns]
+    levels: dict[str, list] = {c: [] for c in columns}
+    for kind, table in _labels(df, columns).items():
+        for r in table.select("column", "label").collect():
+            levels[r["column"]].append(r["label"])
+    used = {c.lower() for c in df.columns if c not in columns}
     flags = []
     for c in columns:
-        for level in _levels(df, c, max_levels):
-            flags.append(F.coalesce(present(df, c) == F.lit(level), F.lit(False)).alias(f"{c}_{level}"))
+        kind = KEY_TYPES[key_kind(df.schema[c].dataType)]
+        for level in sorted(levels[c]):
+            name = f"{c}_{level}"
+            number = 2
+            while name.lower() in used:
+                name, number = f"{c}_{level}_{number}", number + 1
+            used.add(name.lower())
+            flags.append(F.coalesce(present(df, c).cast(kind) == F.lit(level), F.lit(False)).alias(name))
     return df.select(*kept, *flags)
 
 
 def _join_lookup(df: DataFrame, name: str, table: DataFrame) -> DataFrame:
     """Left join a (label, ...) table on a column; Spark broadcasts the table if it is small."""
     renamed = table.withColumnRenamed("label", "__label")
-    return df.join(renamed, present(df, name) == F.col("__label"), "left").drop("__label")
+    kind = KEY_TYPES[key_kind(df.schema[name].dataType)]
+    return df.join(renamed, present(df, name).cast(kind) == F.col("__label"), "left").drop("__label")
 
 
-def ordinal_encode(df: DataFrame, columns: list[str], one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def ordinal_encode(df: DataFrame, columns: list[str]) -> DataFrame:
     """Labels in sorted order become 0, 1, 2..; gaps stay."""
-    n_rows = df.count()
     order = df.columns
+    placed = {kind: cut_lineage(label_positions(table)) for kind, table in _labels(df, columns).items()}
     for c in columns:
-        table = label_positions(df, c, n_rows, one_task_rows).withColumnRenamed("position", "__position")
-        df = _join_lookup(df, c, table).withColumn(c, F.col("__position").cast("int")).drop("__position")
+        table = placed[key_kind(df.schema[c].dataType)].where(F.col("column") == c)
+        df = (
+            _join_lookup(df, c, table.select("label", F.col("position").alias("__position")))
+            .withColumn(c, F.col("__position").cast("int")).drop("__position")
+        )
     return df.select(*[col(c) for c in order])
 
 
+def shares_by_column(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
+    """`label_shares` of many columns, counted together."""
+    shares = {}
+    for kind, table in _labels(df, columns).items():
+        # one row per column
+        totals = table.groupBy("column").agg(F.sum("n").alias("total"))
+        both = table.join(F.broadcast(totals), "column").withColumn("share", F.col("n") / F.col("total"))
+        for c in columns_by_kind(df, columns)[kind]:
+            shares[c] = both.where(F.col("column") == c).select("label", "n", "share")
+    return shares
+
+
 def label_shares(df: DataFrame, name: str) -> DataFrame:
     """(label, n, share): labels of a column and their share of the non-missing rows."""
-    counts = (
-        df.select(present(df, name).alias("label")).where(F.col("label").isNotNull())
-        .groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    )
-    total = df.agg(F.count(present(df, name)).alias("total")).first()["total"]
-    return counts.withColumn("share", F.col("n") / F.lit(total))
+    return shares_by_column(df, [name])[name]
 
 
 def frequency_encode(df: DataFrame, columns: list[str]) -> DataFrame:
     """Add `c_freq`: the share of the non-missing rows that carry the label."""
+    shares = shares_by_column(df, columns)
     for c in columns:
-        table = label_shares(df, c).select("label", F.col("share").alias("__share"))
+        table = shares[c].select("label", F.col("share").alias("__share"))
         df = _join_lookup(df, c, table).withColumn(f"{c}_freq", F.col("__share")).drop("__share")
     return df
 
 
 def group_rare(df: DataFrame, columns: list[str], threshold_pct: float = 2.0) -> DataFrame:
-    """Fold labels below a share of the non-missing rows into `Other`."""
+    """Fold labels below a share of the non-missing rows into `Other`; a column without any stays as it is."""
     order = df.columns
+    shares = shares_by_column(df, columns)
+    rare = {c: shares[c].where(F.col("share") < threshold_pct / 100.0).select("label", F.lit(True).alias("__rare")) for c in columns}
     for c in columns:
-        rare = label_shares(df, c).where(F.col("share") < threshold_pct / 100.0).select("label", F.lit(True).alias("__rare"))
+        if rare[c].isEmpty():
+            continue
         df = (
-            _join_lookup(df, c, rare)
+            _join_lookup(df, c, rare[c])
             .withColumn(c, F.when(F.col("__rare"), F.lit("Other")).otherwise(col(c).cast("string")))
             .drop("__rare")
         )
@@ -239,7 +270,7 @@ def drop_column(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def text_feature(df: DataFrame, columns: list[str]) -> DataFrame:
     """Add `c_length`: characters of the text, 0 for gaps."""
-    return df.withColumns({f"{c}_length": F.length(F.coalesce(col(c).cast("string"), F.lit(""))) for c in columns})
+    return df.withColumns({f"{c}_length": F.length(F.coalesce(present(df, c).cast("string"), F.lit(""))) for c in columns})
 
 
 # transform name -> (function, evidence it reads and the argument that evidence becomes)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.scalar import NUMERIC, col, contains_text
+from ..functions.scalar import NUMERIC, col, contains_text, reads_as_number
 
 # Text that stands for a missing value in a CSV file.
 MISSING_TOKENS = [
@@ -14,8 +13,10 @@ MISSING_TOKENS = [
     "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-# Types a text column may turn out to have once its missing tokens are gone, narrowest first.
-CANDIDATES = ["bigint", "double", "boolean", "timestamp"]
+# What every cell of a column must look like for the column to take a type, narrowest first.
+WHOLE = r"^\s*[+-]?\d+\s*$"
+TRUTH = r"^(true|false|True|False|TRUE|FALSE)$"
+MOMENT = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
 
 
 class EmptyTableError(ValueError):
@@ -25,36 +26,40 @@ class EmptyTableError(ValueError):
 def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Read a CSV file with a header and inferred types.
 
-    Text columns lose their missing tokens; a column that then holds only numbers, booleans or
-    timestamps takes that type. All text columns are examined in one pass.
+    Everything is read as text once. Cells that are exactly a missing token are missing; blanks are
+    kept. A column takes a type if all its cells read that way: whole numbers, numbers, `true` and `false`,
+    or moments. Words like yes and no, and codes like 1F, stay text. One pass looks at all columns.
     """
-    raw = (
-        spark.read.option("header", True).option("inferSchema", True).option("multiLine", multi_line)
-        .option("escape", '"').option("timestampFormat", "yyyy-MM-dd[[ ]['T']HH:mm[:ss][.SSSSSS]]").csv(path)
-    )
-    if not raw.columns or raw.isEmpty():
+    raw = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
+    if not raw.columns:
         raise EmptyTableError("CSV has no rows or no columns.")
-    texts = [f.name for f in raw.schema.fields if isinstance(f.dataType, T.StringType)]
-    doubles = [f.name for f in raw.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    cleared = raw.withColumns(
-        {
-            **{c: F.when(~F.trim(col(c)).isin(MISSING_TOKENS), col(c)) for c in texts},
-            **{c: F.when(~F.isnan(col(c)), col(c)) for c in doubles},
+    cleared = raw.select(*[F.when(~col(c).isin(MISSING_TOKENS), col(c)).alias(c) for c in raw.columns])
+
+    def readings(c: str) -> dict[str, Column]:
+        text = col(c)
+        return {
+            "bigint": F.when(text.rlike(WHOLE), F.trim(text).try_cast("bigint")),
+            "double": F.when(reads_as_number(text), F.trim(text).try_cast("double")),
+            "boolean": F.when(text.rlike(TRUTH), text.try_cast("boolean")),
+            "timestamp": F.when(text.rlike(MOMENT), text.try_cast("timestamp")),
         }
-    )
-    if not texts:
-        return cleared
-    found = cleared.agg(
-        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(texts)],
-        *[F.count(col(c).try_cast(t)).alias(f"{t}{i}") for i, c in enumerate(texts) for t in CANDIDATES],
+
+    facts = cleared.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[
+            F.struct(F.count(col(c)).alias("n"), *[F.count(r).alias(t) for t, r in readings(c).items()]).alias(f"f{i}")
+            for i, c in enumerate(cleared.columns)
+        ],
     ).first()
+    if not facts["rows"]:
+        raise EmptyTableError("CSV has no rows or no columns.")
     casts = {}
-    for i, c in enumerate(texts):
-        if found[f"n{i}"]:
-            kind = next((t for t in CANDIDATES if found[f"{t}{i}"] == found[f"n{i}"]), None)
-            if kind:
-                casts[c] = col(c).try_cast(kind)
-    return cleared.withColumns(casts) if casts else cleared
+    for i, c in enumerate(cleared.columns):
+        found = facts[f"f{i}"]
+        kind = next((t for t in readings(c) if found["n"] and found[t] == found["n"]), None)
+        # a column without any value is a column of numbers without any value
+        casts[c] = readings(c)[kind] if kind else col(c).try_cast("double") if not found["n"] else col(c)
+    return cleared.select(*[expression.alias(c) for c, expression in casts.items()])
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,10 @@ def next_versions(catalog: DataFrame) -> DataFrame:
 
 
 class TableStore:
-    """Parquet versions under one root; the catalog row is written last.
+    """Parquet versions under one root; the catalog row is written last and names the version's folder.
 
-    A version without a catalog row was never finished and is not listed.
+    Every write has a folder of its own. A version without a catalog row was never finished: it is not
+    listed and in nobody's way.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -56,9 +59,14 @@ class TableStore:
         )
         row.withColumn("created_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(self._catalog_path)
 
+    def _folder(self, base: str, version: int) -> str:
+        return f"{self.root}/{base}/version-{version}-{uuid.uuid4().hex}"
+
     def add(self, name: str, df: DataFrame) -> str:
         """Store a new table under its own name."""
-        path = f"{self.root}/{name}/version=1"
+        if not self.catalog().where(F.col("name") == name).isEmpty():
+            raise FileExistsError(f"A table named {name!r} is stored already.")
+        path = self._folder(name, 1)
         df.write.mode("errorifexists").parquet(path)
         self._record(name, 1, path, df)
         return name
@@ -68,7 +76,7 @@ class TableStore:
         names = self.catalog().select("name").union(self.spark.createDataFrame([(source,)], "name string")).distinct()
         free = next_versions(names).where(F.col("base") == F.regexp_replace(F.lit(source), r"_v\d+$", "")).first()
         base, version = free["base"], free["next_version"]
-        path = f"{self.root}/{base}/version={version}"
+        path = self._folder(base, version)
         df.write.mode("errorifexists").parquet(path)
         self._record(f"{base}_v{version}", version, path, df)
         return f"{base}_v{version}"

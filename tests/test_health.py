@@ -7,33 +7,28 @@ def issues(df):
     return {(r["category"], r["column"]): r for r in health.health_issues(df).collect()}
 
 
-def test_mostly_empty_column_is_critical(spark):
-    df = spark.createDataFrame([(1.0 if i == 0 else None, i) for i in range(10)], "mostly_empty double, keep int")
-    issue = issues(df)["missing_values", "mostly_empty"]
-    assert (issue["severity"], issue["advice"], issue["pct"]) == ("critical", "drop_column", 90.0)
-
-
-def test_duplicate_row(frame):
-    issue = issues(frame(a=[1, 1, 2, 3], b=["x", "x", "y", "z"]))["duplicate_rows", None]
-    assert (issue["n_affected"], issue["severity"]) == (1, "high")
-
-
-def test_constant(frame):
-    assert issues(frame(c=["x"] * 10, d=list(range(10))))["constant_column", "c"]["severity"] == "medium"
-
-
-def test_one_outlier(frame):
-    issue = issues(frame(income=[i + 0.5 for i in range(20)] + [100000.5]))["outliers", "income"]
-    assert issue["n_affected"] == 1 and issue["severity"] == "low"
-
-
-def test_imbalance(frame):
-    assert issues(frame(target=[1] + [0] * 19))["class_imbalance", "target"]["severity"] == "high"
-
-
-def test_inconsistent_labels(frame):
-    issue = issues(frame(country=["USA", "usa", " USA ", "UK", "UK", "India", "India", "USA"]))["inconsistent_values", "country"]
-    assert (issue["n_levels"], issue["n_affected"]) == (5, 2)
+# Made-up records of a lending library for tools.
+def loans(spark, n=60):
+    spellings = ["drill", "Drill", " drill", "saw", "plane", "plane "]
+    rows = [
+        (k, 2.5 + k % 7 * 0.5 if k != 31 else 940.0, spellings[k % 6], "main street", "late" if k in (8, 40) else "in time", None if k % 12 else "chipped", k * 0.75)
+        for k in range(n)
+    ]
+    rows += [rows[3], rows[3], rows[20]]
+    schema = "loan int, days double, tool string, branch string, back string, damage string, fee double"
+    return spark.createDataFrame(rows, schema)
+
+
+def test_issues_of_the_loans(spark):
+    found = issues(loans(spark))
+    gap = found["missing_values", "damage"]
+    assert (gap["severity"], gap["advice"]) == ("critical", "drop_column") and gap["pct"] == pytest.approx(100 * 58 / 63, abs=0.01)
+    assert found["duplicate_rows", None]["n_affected"] == 3
+    assert found["constant_column", "branch"]["severity"] == "medium"
+    assert found["outliers", "days"]["n_affected"] == 1 and found["outliers", "days"]["severity"] == "low"
+    assert found["class_imbalance", "back"]["severity"] == "high"
+    assert (found["inconsistent_values", "tool"]["n_levels"], found["inconsistent_values", "tool"]["n_affected"]) == (6, 3)
+    assert ("outliers", "fee") not in found
 
 
 def test_rare_and_many_levels(frame):
@@ -71,23 +66,17 @@ def test_issues_are_sorted_by_severity(frame):
     assert ranks == sorted(ranks) and len(ranks) >= 3
 
 
-def test_messy_customers(spark, tmp_path):
-    """A small CSV with planted gaps, a duplicate row, mixed spellings and an imbalance."""
+def test_loans_from_a_file(spark, tmp_path):
     from tablewright.sources.tables import read_csv
 
-    lines = ["id,age,income,country,subscribed"]
-    countries = ["USA", "usa", " USA ", "UK", "uk", "India", "India"]
-    for i in range(20):
-        income = "" if i % 4 == 0 else str(40000 + 1000 * i)
-        lines.append(f"{1000 + i},{25 + i},{income},{countries[i % 7]},{'yes' if i == 0 else 'no'}")
-    lines.append(lines[-1])
-    path = tmp_path / "messy.csv"
-    path.write_text("\n".join(lines) + "\n")
+    path = tmp_path / "loans.csv"
+    loans(spark).toPandas().to_csv(path, index=False)
     df = read_csv(spark, str(path))
+    assert dict(df.dtypes)["tool"] == "string" and dict(df.dtypes)["loan"] == "bigint"
     found = health.health_issues(df)
     categories = {r["category"] for r in found.collect()}
-    assert {"missing_values", "duplicate_rows", "inconsistent_values", "class_imbalance"} <= categories
-    assert health.health_score(found).first()["score"] < 100
+    assert {"missing_values", "duplicate_rows", "inconsistent_values", "class_imbalance", "constant_column", "outliers"} <= categories
+    assert health.health_score(found).first()["score"] < 60
 
 
 def test_health_change(frame):

@@ -6,40 +6,42 @@ from tablewright.operators import patterns, significance
 from tablewright.operators.profile import Profile
 
 
-def test_line_is_a_strong_positive_finding(frame):
-    x = [i + 0.5 for i in range(30)]
-    found = patterns.findings(frame(x=x, y=[2 * v + 1.3 for v in x])).collect()
-    top = found[0]
-    assert (top["finding_type"], top["strength"], top["direction"]) == ("correlation", "very_strong", "positive")
-
-
-def test_falling_line_is_negative(frame):
-    x = [i + 0.5 for i in range(30)]
-    assert patterns.correlation_findings(frame(x=x, y=[-3 * v for v in x])).first()["direction"] == "negative"
+# A made-up log of a cheese cellar: what is weighed, how warm it is, who turns the wheels.
+def cellar(frame, n=48):
+    days = [3.25 * k + 0.4 for k in range(n)]
+    return frame(
+        days=days, loss=[0.07 * d + 0.2 for d in days], moisture=[61.5 - 0.11 * d for d in days], rind=[1.03**d for d in days],
+        room=["north" if k % 3 else "south" for k in range(n)],
+        degrees=[11.4 + 0.01 * k if k % 3 else 14.9 - 0.01 * k for k in range(n)],
+        turned=["Ada" if k not in (5, 17) else "Ben" for k in range(n)],
+        orders=[2.5 + 0.25 * (k % 9) for k in range(n - 2)] + [333.5, 777.25],
+    )
 
 
-def test_curve_has_higher_rank_correlation(frame):
-    x = [i + 0.5 for i in range(30)]
-    row = patterns.correlations(frame(x=x, y=[v**6 for v in x])).first()
-    assert row["spearman_r"] > row["pearson_r"]
+def test_lines_and_curves_of_the_cellar(frame):
+    df = cellar(frame).select("days", "loss", "moisture", "rind")
+    found = {(r["col_a"], r["col_b"]): r for r in patterns.correlation_findings(df).collect()}
+    rising, falling = found["days", "loss"], found["days", "moisture"]
+    assert (rising["direction"], rising["strength"], rising["score"]) == ("positive", "very_strong", 1.0)
+    assert falling["direction"] == "negative"
+    curve = found["days", "rind"]
+    assert curve["spearman_r"] == 1.0 and curve["pearson_r"] < 0.9
 
 
-def test_two_groups(frame):
-    df = frame(group=["A"] * 15 + ["B"] * 15, score=[10 + i * 0.1 for i in range(15)] + [90 + i * 0.1 for i in range(15)])
-    row = patterns.group_difference_findings(df).first()
-    assert (row["highest"], row["lowest"]) == ("B", "A")
+def test_rooms_differ_in_warmth(frame):
+    row = patterns.group_difference_findings(cellar(frame).select("room", "degrees")).first()
+    assert (row["highest"], row["lowest"]) == ("south", "north")
 
 
-def test_long_tail_needs_no_test(frame):
-    df = frame(amount=[1 + i * 0.1 for i in range(40)] + [500.5, 900.5, 1500.5])
-    row = patterns.skew_findings(Profile.of(df).frame).first()
+def test_rare_large_orders_skew_and_need_no_test(frame):
+    row = patterns.skew_findings(Profile.of(cellar(frame).select("orders")).frame).first()
     assert row["direction"] == "right" and row["needs_test"] is False
 
 
-def test_dominant_level(frame):
-    df = frame(flag=["N"] * 95 + ["Y"] * 5, measure=[i * 0.37 for i in range(100)])
-    row = patterns.dominant_findings(Profile.of(df).frame).first()
-    assert row["top_pct"] == 95.0 and row["score"] == 0.9
+def test_one_person_turns_nearly_all(frame):
+    row = patterns.dominant_findings(Profile.of(cellar(frame).select("turned", "days")).frame).first()
+    assert row["top_level"] == "Ada" and row["top_pct"] == pytest.approx(100 * 46 / 48, abs=0.01)
+    assert row["score"] == pytest.approx((100 * 46 / 48 - 50) / 50, abs=1e-4)
 
 
 def test_findings_are_sorted(tables):
@@ -48,19 +50,18 @@ def test_findings_are_sorted(tables):
     assert scores == sorted(scores, reverse=True) and len(scores) >= 2
 
 
-@pytest.mark.parametrize("limit", [4_000_000, 40])
-def test_spearman_equals_pandas_with_ties_and_gaps(spark, limit, monkeypatch):
+@pytest.mark.parametrize("broadcast", [50_000, 10])
+def test_spearman_equals_pandas_with_ties_and_gaps(spark, broadcast, monkeypatch):
     rng = np.random.default_rng(3)
     n = 400
     data = pd.DataFrame({"a": rng.integers(0, 6, n).astype(float), "b": rng.normal(size=n), "c": rng.exponential(size=n)})
     data["b"] += data["a"]
     data.loc[rng.random(n) < 0.2, "c"] = np.nan
     data.loc[:130, "a"] = 3.0
-    if limit == 40:
-        monkeypatch.setattr(patterns, "FEW_VALUES", 10)
+    monkeypatch.setattr(patterns, "FEW_VALUES", broadcast)
     df = spark.createDataFrame(data)
     pairs = patterns.all_pairs(["a", "b", "c"])
-    found = {(r["col_a"], r["col_b"]): r["spearman_r"] for r in patterns.spearman(df, pairs, one_task_rows=limit).collect()}
+    found = {(r["col_a"], r["col_b"]): r["spearman_r"] for r in patterns.spearman(df, pairs).collect()}
     # ranks by hand: scipy is not needed
     for a, b in pairs:
         both = data[[a, b]].dropna().rank()
@@ -72,6 +73,22 @@ def test_pearson_ignores_incomplete_pairs(frame):
     assert row["n"] == 3 and row["pearson_r"] == pytest.approx(1.0)
 
 
+def test_all_pairs_in_one_pass_equal_pandas(spark):
+    rng = np.random.default_rng(31)
+    data = pd.DataFrame(rng.normal(loc=1e6, scale=2.0, size=(500, 9)), columns=list("abcdefghi"))
+    data["b"] += data["a"]
+    data["f"] = 7.25
+    data = data.mask(rng.random(data.shape) < 0.1)
+    pairs = patterns.all_pairs(list(data.columns))
+    found = {(r["col_a"], r["col_b"]): r for r in patterns.pearson(spark.createDataFrame(data).repartition(5), pairs).collect()}
+    for a, b in pairs:
+        assert found[a, b]["n"] == len(data[[a, b]].dropna())
+        if "f" in (a, b):
+            assert found[a, b]["pearson_r"] is None
+        else:
+            assert found[a, b]["pearson_r"] == pytest.approx(data[a].corr(data[b]), abs=1e-9)
+
+
 # ---- tests of significance -------------------------------------------------------------------
 
 
@@ -81,38 +98,49 @@ def one(tests):
 
 
 
-def test_noisy_line_is_significant(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=100)
-    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": 2 * x + rng.normal(scale=0.3, size=100)}))
-    row = one(significance.correlation_tests(df, [("x", "y")]))
+def test_correlation_tests(spark):
+    rng = np.random.default_rng(77)
+    hops, minutes = rng.uniform(0, 9, 64), rng.uniform(20, 90, 64)
+    df = spark.createDataFrame(pd.DataFrame({"hops": hops, "bitterness": 4 * hops + rng.normal(scale=2.0, size=64), "minutes": minutes}))
+    row = one(significance.correlation_tests(df, [("hops", "bitterness")]))
     assert (row["significance"], row["effect_size"]) == ("significant", "large")
-
-
-def test_noise_is_not_significant(spark):
-    rng = np.random.default_rng(1)
-    df = spark.createDataFrame(pd.DataFrame({"a": rng.normal(size=100), "b": rng.normal(size=100)}))
-    assert one(significance.correlation_tests(df, [("a", "b")]))["significance"] == "not_significant"
+    r = np.corrcoef(hops, minutes)[0, 1]
+    row = one(significance.correlation_tests(df, [("hops", "minutes")]))
+    assert row["statistic"] == pytest.approx(r) and (row["significance"] == "significant") == (row["p_value"] < 0.05)
 
 
 def test_too_few_rows_are_inconclusive(frame):
-    row = one(significance.correlation_tests(frame(a=[1.0, 2.0, 3.0], b=[2.0, 4.0, 7.0]), [("a", "b")]))
+    row = one(significance.correlation_tests(frame(a=[0.5, 1.5, 0.25, 9.0], b=[3.0, 1.0, 8.0, 2.0]), [("a", "b")]))
     assert row["significance"] == "inconclusive" and row["statistic"] is None and row["p_value"] is None
 
 
-def test_welch_and_anova(spark):
-    rng = np.random.default_rng(2)
-    value = np.concatenate([rng.normal(10, 2, 40), rng.normal(15, 2, 40)])
-    df = spark.createDataFrame(pd.DataFrame({"value": value, "grp": ["a"] * 40 + ["b"] * 40}))
-    row = one(significance.group_tests(df, [("value", "grp")]))
+def test_two_kilns_and_three_clays(spark):
+    rng = np.random.default_rng(5)
+    shrink = np.concatenate([rng.normal(6.1, 0.8, 26), rng.normal(9.4, 1.1, 33)])
+    df = spark.createDataFrame(pd.DataFrame({"shrink": shrink, "kiln": ["gas"] * 26 + ["wood"] * 33}))
+    row = one(significance.group_tests(df, [("shrink", "kiln")]))
     assert (row["test_kind"], row["significance"], row["effect_size"]) == ("t_test", "significant", "large")
-    assert row["effect_value"] > 0 and row["statistic"] < 0
-    value = np.concatenate([rng.normal(10, 2, 30), rng.normal(10, 2, 30), rng.normal(18, 2, 30)])
-    df = spark.createDataFrame(pd.DataFrame({"value": value, "grp": ["a"] * 30 + ["b"] * 30 + ["c"] * 30}))
-    row = one(significance.group_tests(df, [("value", "grp")]))
+    # the larger group comes first, and its mean is higher
+    assert row["first_group"] == "wood" and row["statistic"] > 0 and row["effect_value"] < 0
+    shrink = np.concatenate([rng.normal(m, 1.0, 21) for m in (5.0, 5.2, 8.8)])
+    df = spark.createDataFrame(pd.DataFrame({"shrink": shrink, "clay": ["grey"] * 21 + ["red"] * 21 + ["white"] * 21}))
+    row = one(significance.group_tests(df, [("shrink", "clay")]))
     assert (row["test_kind"], row["effect_metric"], row["significance"]) == ("anova", "eta_squared", "significant")
 
 
+def test_groups_without_spread_and_different_means(frame):
+    row = one(significance.group_tests(frame(v=[2.0] * 6 + [3.0] * 7, g=["a"] * 6 + ["b"] * 7), [("v", "g")]))
+    assert row["statistic"] == float("inf") and row["p_value"] == 0.0 and row["significance"] == "significant"
+    row = one(significance.group_tests(frame(v=[2.0] * 13, g=["a"] * 6 + ["b"] * 7), [("v", "g")]))
+    assert row["statistic"] is None and row["significance"] == "not_significant"
+
+
+def test_levels_may_be_named_like_anything(frame):
+    df = frame(x=["A", "a", "b", "n", None], y=["a", "B", "b", "a", "b"])
+    found = {(r["a"], r["b"]): r["n"] for r in significance.contingency_table(df, "x", "y").collect()}
+    assert len(found) == 4 * 3 and sum(found.values()) == 4 and found["A", "a"] == found["a", "B"] == 1
+
+
 def test_small_groups_are_inconclusive(frame):
     row = one(significance.group_tests(frame(v=[1.0, 2.0, 3.0, 4.0, 5.0, 6.0], g=["a"] * 5 + ["b"]), [("v", "g")]))
     assert row["significance"] == "inconclusive"
@@ -157,6 +185,36 @@ def test_tails_agree_with_the_math_library(spark):
         assert p == pytest.approx(case[4], rel=1e-8, abs=1e-13), case
 
 
+def test_large_degrees_of_freedom(spark):
+    import math
+
+    from tablewright.functions import tails
+
+    def p(kind, statistic, d1, d2=np.nan):
+        return tails._tails(np.array([kind], dtype=object), np.array([statistic]), np.array([d1]), np.array([d2]))[0]
+
+    assert p("t", 1.959963984540054, 1e12) == pytest.approx(0.05, rel=1e-9)
+    assert p("f", 3.0, 2.0, 1e10) == pytest.approx(math.exp(-3.0), rel=1e-8)
+    # the mean of a chi-square stands a third of a standard normal density above its median
+    for k in (1e8, 1e10):
+        assert p("chi2", k, k) == pytest.approx(0.5 - 1 / (3 * math.sqrt(math.pi * k)), rel=1e-9)
+    assert p("f", 1.0, 4e6, 4e6) == pytest.approx(0.5, abs=1e-9)
+
+
+def test_expansions_meet_the_series(monkeypatch):
+    from tablewright.functions import tails
+
+    for z in (-3.0, -0.5, 0.0, 1e-3, 0.7, 4.0):
+        a, p, q = (np.array([v]) for v in (9e4, 4e4, 8e4))
+        x = a + z * np.sqrt(a)
+        y = p / (p + q) + z * np.sqrt(p * q / (p + q) ** 3)
+        by_limit = []
+        for limit in (1e6, 1e3):
+            monkeypatch.setattr(tails, "LARGE", limit)
+            by_limit.append((tails.gamma_tail(a, x)[0], tails.beta_tail(p, q, y)[0]))
+        assert by_limit[0] == pytest.approx(by_limit[1], abs=5e-9)
+
+
 def test_far_tails_do_not_cancel(spark):
     from tablewright.functions.tails import _tails
 

@@ -19,6 +19,28 @@ def test_csv_missing_tokens_and_types(spark, tmp_path):
     assert [r["label"] for r in rows] == [None, "blue", " red "] and rows[0]["note"] == 'a "b", c'
 
 
+def test_words_and_codes_stay_text_and_blanks_stay(spark, tmp_path):
+    lines = ["answer,code,dose,blank,token,truth,signed,day", "Yes,1F,12d,a,NA ,TRUE, +3,2024-05-01", "no,2D,7,  ,NA,false,-4,2024-05-02 10:30"]
+    df = tables.read_csv(spark, write(tmp_path / "c.csv", "\n".join(lines) + "\n"))
+    assert dict(df.dtypes) == {
+        "answer": "string", "code": "string", "dose": "string", "blank": "string", "token": "string", "truth": "boolean",
+        "signed": "bigint", "day": "timestamp",
+    }
+    rows = df.collect()
+    assert [r["blank"] for r in rows] == ["a", "  "] and [r["token"] for r in rows] == ["NA ", None]
+    assert [r["signed"] for r in rows] == [3, -4]
+
+
+def test_a_half_written_version_is_in_nobodys_way(spark, tmp_path, frame):
+    store = TableStore(spark, str(tmp_path / "store3"))
+    df = frame(x=[1, 2])
+    store.add("herd", df)
+    df.write.parquet(f"{store.root}/herd/version=2")
+    assert store.add_version("herd", df) == "herd_v2" and store.load("herd_v2").count() == 2
+    with pytest.raises(FileExistsError):
+        store.add("herd", df)
+
+
 def test_empty_csv_is_an_error(spark, tmp_path):
     with pytest.raises(tables.EmptyTableError):
         tables.read_csv(spark, write(tmp_path / "b.csv", "a,b\n"))

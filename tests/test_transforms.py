@@ -12,11 +12,12 @@ def column(df, name):
 
 
 @pytest.fixture()
-def people(frame):
+def boats(frame):
+    """Seven boats of a made-up harbour."""
     return frame(
-        fare=[10.0, 20.0, 30.0, 40.0, 50.0, 1000.0], age=[20, 30, 40, 50, 60, 70], sex=["m", "f", "m", "f", "m", "f"],
-        city=["A", "B", "A", "C", "B", "A"], passenger_id=[1, 2, 3, 4, 5, 6],
-        signup=["2021-01-02", "2021-01-04", "bad", "2020-02-29", "2021-12-25", None],
+        tonnage=[0.8, 14.5, 3.2, 3.2, 61.0, 9.9, 5.5], crew=[1, 6, 2, 2, 11, 4, 3],
+        rig=["sloop", "ketch", "sloop", "yawl", "ketch", "sloop", "cat"], berth=[12, 3, 44, 45, 1, 9, 30],
+        launched=["1998-05-17", "07/30/2004", "unknown", "1931/11/08", None, "2016-02-29 06:15", "1998-05-18"],
     )
 
 
@@ -25,10 +26,10 @@ def test_log_uses_log1p_at_zero(frame):
     assert out == pytest.approx([0.0, math.log(2), math.log(3), math.log(4)])
 
 
-def test_log_keeps_the_original(people):
-    out = apply_transform(people, "log_transform", ["fare"])
-    assert column(out, "fare_log")[0] == pytest.approx(math.log(10.0))
-    assert column(out, "fare") == column(people, "fare") and "fare_log" not in people.columns
+def test_log_keeps_the_original(boats):
+    out = apply_transform(boats, "log_transform", ["tonnage"])
+    assert column(out, "tonnage_log")[4] == pytest.approx(math.log(61.0))
+    assert column(out, "tonnage") == column(boats, "tonnage") and "tonnage_log" not in boats.columns
 
 
 def test_sqrt_of_negative_is_zero(frame):
@@ -46,9 +47,9 @@ def test_constant_columns_are_not_scaled(frame):
     assert column(apply_transform(df, "minmax_scale", ["x"]), "x") == [5.0, 5.0]
 
 
-def test_minmax(people):
-    out = column(apply_transform(people, "minmax_scale", ["age"]), "age")
-    assert (min(out), max(out)) == (0.0, 1.0)
+def test_minmax(boats):
+    out = column(apply_transform(boats, "minmax_scale", ["crew"]), "crew")
+    assert out == pytest.approx([0.0, 0.5, 0.1, 0.1, 1.0, 0.3, 0.2])
 
 
 def test_clip_keeps_gaps(frame):
@@ -64,17 +65,19 @@ def test_bins_are_closed_on_the_right(frame):
     assert out == [0, 0, 0, 0, 0]
 
 
-def test_one_hot(people):
-    out = apply_transform(people, "one_hot_encode", ["city"])
-    assert out.columns[-3:] == ["city_A", "city_B", "city_C"] and "city" not in out.columns
-    assert column(out, "city_A") == [True, False, True, False, False, True]
+def test_one_hot(boats, frame):
+    out = apply_transform(boats, "one_hot_encode", ["rig"])
+    assert out.columns[-4:] == ["rig_cat", "rig_ketch", "rig_sloop", "rig_yawl"] and "rig" not in out.columns
+    assert column(out, "rig_ketch") == [False, True, False, False, True, False, False]
+    out = apply_transform(frame(q=["yes", "Yes", None], n=[10, 9, 10], b=[True, None, False]), "one_hot_encode", ["q", "n", "b"])
+    assert out.columns == ["q_Yes", "q_yes_2", "n_9", "n_10", "b_false", "b_true"]
+    assert column(out, "q_yes_2") == [True, False, False] and column(out, "n_10") == [True, False, True]
 
 
 def test_ordinal_sorts_labels_and_keeps_gaps(frame):
-    df = frame(c=["b", "a", None, "c", "a"])
-    assert sorted(column(apply_transform(df, "ordinal_encode", ["c"]), "c"), key=str) == sorted([1, 0, None, 2, 0], key=str)
-    large = transforms.ordinal_encode(df, ["c"], one_task_rows=1)
-    assert sorted(column(large, "c"), key=str) == sorted([1, 0, None, 2, 0], key=str)
+    df = frame(c=["plum", "fig", None, "quince", "fig"], n=[30, 4, 4, None, 100])
+    rows = apply_transform(df, "ordinal_encode", ["c", "n"]).collect()
+    assert sorted(((r["c"], r["n"]) for r in rows), key=str) == sorted([(1, 1), (0, 0), (None, 0), (2, None), (0, 2)], key=str)
 
 
 def test_frequency_counts_present_rows_only(frame):
@@ -88,29 +91,36 @@ def test_group_rare(frame):
     assert values.count("Other") == 1 and values.count("big") == 99 and values.count(None) == 1
 
 
-def test_dates(people, frame):
-    rows = apply_transform(people, "extract_datetime_parts", ["signup"]).collect()
-    assert (rows[0]["signup_year"], rows[0]["signup_dayofweek"], rows[0]["signup_is_weekend"]) == (2021, 5, 1)
-    assert (rows[2]["signup_year"], rows[2]["signup_is_weekend"]) == (None, 0)
+def test_columns_without_rare_labels_keep_their_type(frame):
+    df = frame(n=[1, 2] * 60, m=[1] * 119 + [2])
+    out = apply_transform(df, "group_rare", ["n", "m"])
+    assert dict(out.dtypes) == {"n": "bigint", "m": "string"} and set(column(out, "m")) == {"1", "Other"}
+
+
+def test_dates(boats, frame):
+    rows = apply_transform(boats, "extract_datetime_parts", ["launched"]).collect()
+    assert (rows[0]["launched_year"], rows[0]["launched_dayofweek"], rows[0]["launched_is_weekend"]) == (1998, 6, 1)
+    assert [r["launched_year"] for r in rows] == [1998, 2004, None, 1931, None, 2016, 1998] and rows[2]["launched_is_weekend"] == 0
     out = apply_transform(frame(d=[dt.date(2024, 1, 1)]), "extract_datetime_parts", ["d"]).first()
     assert (out["d_dayofweek"], out["d_month"]) == (0, 1)
 
 
-def test_drop_and_text(people, frame):
-    assert "passenger_id" not in apply_transform(people, "drop_column", ["passenger_id"]).columns
+def test_drop_and_text(boats, frame):
+    assert "berth" not in apply_transform(boats, "drop_column", ["berth"]).columns
+    assert column(apply_transform(frame(x=[1.5, float("nan")]), "text_feature", ["x"]), "x_length") == [3, 0]
     out = column(apply_transform(frame(note=["hi", "hello", "", None]), "text_feature", ["note"]), "note_length")
     assert out == [2, 5, 0, 0]
 
 
-def test_errors(people):
+def test_errors(boats):
     with pytest.raises(TransformError):
-        apply_transform(people, "log_transform", ["nope"])
+        apply_transform(boats, "log_transform", ["nope"])
     with pytest.raises(TransformError):
-        apply_transform(people, "no_such_transform", ["fare"])
+        apply_transform(boats, "no_such_transform", ["tonnage"])
     with pytest.raises(TransformError):
-        apply_transform(people, "log_transform", ["city"])
+        apply_transform(boats, "log_transform", ["rig"])
     with pytest.raises(TransformError):
-        apply_transform(people, "extract_datetime_parts", ["city"])
+        apply_transform(boats, "extract_datetime_parts", ["rig"])
 
 
 # ---- suggestions -----------------------------------------------------------------------------
