@@ -66,12 +66,12 @@ def stored_versions(spark, sf_dir):
     return store.versions().select("name", "version", "n_rows", "n_columns")
 
 
-@query("versions_newest_first", "SELECT o_orderkey AS id, concat('t', o_orderkey) AS name, o_orderdate AS created_at FROM orders ORDER BY created_at DESC, name DESC LIMIT 50")
+@query("versions_newest_first", "SELECT o_orderkey AS id, concat('t', o_orderkey) AS name, o_orderdate AS created_at FROM orders ORDER BY created_at DESC, name DESC")
 def versions_newest_first(spark, sf_dir):
     catalog = ORDERS.read(spark, sf_dir).select(
         F.col("o_orderkey").alias("id"), F.concat(F.lit("t"), F.col("o_orderkey")).alias("name"), F.col("o_orderdate").alias("created_at")
     )
-    return versions.newest_first(catalog).limit(50)
+    return versions.newest_first(catalog)
 
 
 SESSIONS = (

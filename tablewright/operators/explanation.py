@@ -161,7 +161,8 @@ def background_rows(experiment: Experiment, n: int = 100, seed: int = 42) -> Dat
     )
 
 
-def example_rows(experiment: Experiment, n: int = 3) -> DataFrame:
+def example_rows(experiment: Experiment, n: int) -> DataFrame:
+    """The first n rows, for a report; without a choice of rows all of them are explained."""
     return experiment.frame.orderBy("row").limit(n)
 
 
@@ -178,7 +179,7 @@ def shapley_contributions(
     """
     plan = experiment.plan
     features = plan.features
-    rows = example_rows(experiment) if rows is None else rows
+    rows = experiment.frame if rows is None else rows
     positive = _positive(experiment)
     reference = cut_lineage(background_rows(experiment, n_background, seed).coalesce(1))
     n_reference = reference.count()
@@ -247,7 +248,7 @@ def occlusion_contributions(experiment: Experiment, fitted: FittedModel, rows: D
     variants are scored in one job.
     """
     plan = experiment.plan
-    rows = example_rows(experiment) if rows is None else rows
+    rows = experiment.frame if rows is None else rows
     positive = _positive(experiment)
     typical = typical_values(experiment.frame, plan.numeric, plan.categorical)
     kinds = {**{c: "double" for c in plan.numeric}, **{c: "string" for c in plan.categorical}}

@@ -47,14 +47,22 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver delete an intermediate folder when it ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read on from there.
 
     What is read back no longer depends on any executor, so values that must not change when
-    a task is retried (row ids, partition numbers) are safe to use after this point.
+    a task is retried (row ids, partition numbers) are safe to use after this point. The copy is
+    deleted when the driver ends.
     """
     path = scratch_folder(df.sparkSession, "cut")
     df.write.parquet(path)
+    forget_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
