@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .chat_quotes import link_quotes
 from .decontaminate import find_contamination
 from .jaccard_join import jaccard_join
@@ -95,4 +96,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-SQL: dict[str, str] = {}
+# the others draw by hash, learn models, or sum checksums and logarithms: see tests/llm
+SQL: dict[str, str] = {
+    "op1_substring_dedup": oracles.OP1,
+    "op2_ngram_jaccard_join": oracles.OP2,
+    "op3_quality_rules": oracles.OP3,
+    "op5_suffix_dedup": oracles.OP5,
+}
