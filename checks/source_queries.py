@@ -7,7 +7,7 @@ from tablewright.session import scratch_folder
 from tablewright.sources import history, tables, versions
 
 from .health_queries import ISSUE_COLUMNS, ISSUE_SQL, issues_cte
-from .relations import LABELS, ORDERS, PART, Relation, query
+from .relations import DOCUMENTS, LABELS, ORDERS, PART, Relation, query
 
 CSV_TOKENS = Relation(
     "orders", ["o_orderkey", "o_orderstatus", "o_orderdate"],
@@ -188,6 +188,23 @@ def stored_health_run(spark, sf_dir):
     return found.select(*ISSUE_COLUMNS)
 
 
+@query(
+    "stored_results_reused",
+    "SELECT 1 AS n_runs_after_two, 2 AS n_runs_after_refresh, (SELECT count(*) FROM (SELECT lang FROM documents GROUP BY lang HAVING count(*) > 0)) AS n_langs",
+)
+def stored_results_reused(spark, sf_dir):
+    """The second call reads what the first one stored; a refresh runs again."""
+    root, df = scratch_folder(spark, "reused"), DOCUMENTS.read(spark, sf_dir)
+    analyses.stored_or_run(df, "understand", root, 1, 1)
+    again = analyses.stored_or_run(df, "understand", root, 2, 1, target="ignored here")
+    after_two = spark.read.parquet(f"{root}/history").count()
+    analyses.stored_or_run(df, "understand", root, 2, 1, refresh=True)
+    return again.where("column = 'lang'").select(
+        F.lit(after_two).alias("n_runs_after_two"),
+        F.lit(spark.read.parquet(f"{root}/history").count()).alias("n_runs_after_refresh"), F.col("n_unique").alias("n_langs"),
+    )
+
+
 PRICED = Relation("lineitem", ["l_quantity", "l_extendedprice", "l_tax"], {"fixed": ("'x'", "s")})
 PRICED_AFTER = Relation("lineitem", ["l_quantity", "l_extendedprice", "l_tax"])
 

@@ -189,6 +189,16 @@ def test_shapley_adds_up(experiment, explained):
         assert 0 <= own[0]["prediction"] <= 1
 
 
+def test_from_target_to_explanation_in_one_call(experiment, classified):
+    from tablewright.plans.analyses import dataset_scorecard, explain_target
+
+    found = explain_target(classified, "fate", experiment=experiment, rows=explanation.example_rows(experiment, 2))
+    assert found.model in experiment.predictions and found.importance.first()["feature"] in ("warmth", "depth")
+    assert found.contributions.count() == 2 * 3 and found.outcomes.first()["n"] == 270
+    card = dataset_scorecard(classified, "fate", experiment=experiment).first()
+    assert card["best_model"] == found.model
+
+
 def test_contributions_are_described(spark):
     given = spark.createDataFrame([(1, "a", 0.5), (1, "b", -0.7), (1, "c", 0.00005)], "row int, feature string, contribution double")
     rows = {r["feature"]: (r["direction"], r["place"]) for r in explanation.described(given).collect()}

@@ -1,6 +1,6 @@
 import pytest
 
-from tablewright.plans.analyses import dataset_scorecard, derive_version, run_and_store
+from tablewright.plans.analyses import dataset_scorecard, derive_version, run_and_store, stored_or_run
 from tablewright.sources import history, tables
 from tablewright.sources.versions import TableStore
 
@@ -97,6 +97,24 @@ def test_reruns_are_kept_and_the_latest_wins(spark, tmp_path, frame):
         run_and_store(df, "no_such", root, 1, 9)
 
 
+def test_every_analysis_can_be_stored_and_read_again(spark, tmp_path, frame):
+    root = str(tmp_path / "all")
+    n = 60
+    df = frame(depth=[0.7 * (k % 11) + 0.3 for k in range(n)], wet=["yes" if (k % 11) > 5 else "no" for k in range(n)])
+    for analysis in history.ANALYSES:
+        if analysis in ("experiment", "explain"):
+            continue  # they fit every model; test_models covers them
+        first = stored_or_run(df, analysis, root, 1, 7, target="wet")
+        again = stored_or_run(df, analysis, root, 2, 7, target=" wet ")
+        assert again.collect() == first.collect()
+    stored = spark.read.parquet(f"{root}/history")
+    assert stored.count() == len(history.ANALYSES) - 2
+    stored_or_run(df, "health", root, 2, 7, refresh=True)
+    assert spark.read.parquet(f"{root}/history").count() == len(history.ANALYSES) - 1
+    with pytest.raises(ValueError):
+        run_and_store(df, "explain", root, 1, 7)
+
+
 def test_what_still_has_to_run(spark):
     stored = spark.createDataFrame(
         [(1, None, "health", "completed"), (1, "y", "experiment", "completed"), (1, "z", "experiment", "failed")],
