@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .filters import hash_filter, passes
 from .tokens import LOWER, WordHashes, list_array, mix, order_id, signed, text_hash, texts_of
 
 #: 1: the word counts, 0: any word. In 16 aligned words with two substitutions in any places the
@@ -18,8 +19,6 @@ from .tokens import LOWER, WordHashes, list_array, mix, order_id, signed, text_h
 MASKS = ("1110100111", "11011010011")
 #: Items with fewer words than this are found by the plain mask as well.
 SHORT, PLAIN = 16, "11111"
-#: Bits of the filter that tasks hold: 8 MB, whatever the size of the benchmark.
-FILTER_BITS = 26
 _OUTER = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
 
 
@@ -52,10 +51,6 @@ class Seeds:
             yield mix(total), np.arange(n)
 
 
-#: Where the three bits of a hash in the filter start.
-_PARTS = (0, 19, 38)
-
-
 def _benchmark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seeds = Seeds()
     for batch in batches:
@@ -86,18 +81,15 @@ def _candidate_rows(filter_words):
     """Seeds of training texts that may be benchmark seeds, and the hashed words of those texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, bits, low = Seeds(), filter_words.value, np.uint64(2**FILTER_BITS - 1)
+        seeds, bits = Seeds(), filter_words.value
         for batch in batches:
             picked, sizes, hashes, places, words = [], [], [], [], []
             for i, data in enumerate(texts_of(batch)):
                 x = seeds.hashes(data)
                 own = []
                 for h, at in seeds.of(x):
-                    for k in _PARTS:
-                        bit = (h >> np.uint64(k)) & low
-                        found = (bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-                        h, at = h[found], at[found]
-                    own.append((h, at))
+                    found = passes(bits, h)
+                    own.append((h[found], at[found]))
                 n = sum(len(h) for h, _ in own)
                 if n:
                     picked.append(i)
@@ -181,23 +173,13 @@ def find_contamination(
     fewer than five words; an empty benchmark gives no rows. Ids of items are integers; rows of
     one item id with different texts are items of their own.
     """
-    spark = df.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
     items = items.distinct()
     # the number of an item stands for its id and text
     items = cut_lineage(items.withColumn("nth", F.xxhash64("item", "text")))
     numbered = items.select(F.col("nth").alias("item"), "text")
     item_seeds = cut_lineage(numbered.mapInArrow(_benchmark_rows, "item long, seed long, item_at int").distinct())
-    low = F.lit(2**FILTER_BITS - 1)
-    words = (
-        item_seeds.select(F.explode(F.array(*[F.shiftrightunsigned("seed", k).bitwiseAND(low) for k in _PARTS])).alias("bit"))
-        .groupBy(F.shiftright("bit", 6).alias("at"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("word"))
-    )
-    filled = np.zeros(2 ** (FILTER_BITS - 6), np.uint64)
-    for row in words.toLocalIterator():  # at most one row for each of the filter's words
-        filled[row["at"]] = row["word"] % 2**64
-    shared = spark.sparkContext.broadcast(filled)
+    shared = hash_filter(item_seeds, "seed")
     docs = df.select(F.col(id_col).alias("id"), order_id(id_col).alias("doc"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
     kind = dict(df.dtypes)[id_col]
     found = cut_lineage(

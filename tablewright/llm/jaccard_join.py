@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import connected_components
+from .filters import hash_filter, may_hold
 from .tokens import LOWER, Rolling, WordHashes, list_array, order_id, signed, text_hash, texts_of
 
 #: The table of shingle frequencies has this many bits of places: 4 MB in a task, whatever the input.
@@ -82,7 +83,18 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - -(-percent * n // 100) + common_grams(n))
 
 
-POSTINGS = "doc long, th long, n int, sig long, sig2 long, prefix array<bigint>"
+#: Bits of a set's bitmap, 64 in each number.
+BITMAP = 256
+BITS = [f"bits{k}" for k in range(BITMAP // 64)]
+
+
+def bitmap(h: np.ndarray) -> np.ndarray:
+    """A bit for each place of the bitmap: whether an odd number of shingles falls on it."""
+    odd = np.bincount((h >> np.uint64(20)).astype(np.int64) & (BITMAP - 1), minlength=BITMAP).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
+SETS = "doc long, th long, n int, sig long, sig2 long, prefix array<bigint>, " + ", ".join(f"{b} long" for b in BITS)
 
 
 def _set_rows(shingle: int, percent: int, table):
@@ -90,7 +102,7 @@ def _set_rows(shingle: int, percent: int, table):
         shingles, frequency = Shingles(shingle), table.value
         ones, twos = (np.random.default_rng(k).integers(0, 2**63, 2, np.uint64) * np.uint64(2) + np.uint64(1) for k in (1, 2))
         for batch in batches:
-            n, sizes, prefixes, signatures = [], [], [], ([], [])
+            n, sizes, prefixes, signatures, bits = [], [], [], ([], []), []
             for data in texts_of(batch):
                 own = shingles.of(data)
                 rare = own[np.argsort(frequency[_places(own)], kind="stable")]  # rare first, then by hash
@@ -98,16 +110,19 @@ def _set_rows(shingle: int, percent: int, table):
                 k = prefix_length(len(own), percent) if len(own) else 0
                 sizes.append(k)
                 prefixes.append(rare[:k])
+                bits.append(bitmap(own))
                 for out, (a, b) in zip(signatures, (ones, twos)):
                     x = own * a
                     out.append(int(((x ^ (x >> np.uint64(29))) * b).sum(dtype=np.uint64)))
+            bits = np.array(bits, np.int64).reshape(-1, len(BITS))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc"), batch.column("th"), pa.array(n, pa.int32()),
                     *[pa.array(signed(np.array(s, np.uint64))) for s in signatures],
                     list_array(sizes, pa.array(signed(np.concatenate(prefixes)))),
+                    *[pa.array(bits[:, k]) for k in range(len(BITS))],
                 ],
-                [f.split()[0] for f in POSTINGS.split(", ")],
+                [f.split()[0] for f in SETS.split(", ")],
             )
 
     return rows
@@ -162,26 +177,38 @@ def _members(df: DataFrame, percent: int, shingle: int, id_col: str, text_col: s
     spark = df.sparkSession
     texts = df.select(order_id(id_col).alias("doc"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
     table = spark.sparkContext.broadcast(shingle_frequencies(texts, shingle))
-    sets = cut_lineage(texts.mapInArrow(_set_rows(shingle, percent, table), POSTINGS))
-    # classes of equal sets; a document without shingles is a class of its own
-    alone = F.when(F.col("n") == 0, F.struct("doc", "th"))
-    first = sets.groupBy("n", "sig", "sig2", alone.alias("alone")).agg(F.min(F.struct("doc", "th", "prefix")).alias("f"))
     # a written number is the same in every later read
+    sets = cut_lineage(texts.mapInArrow(_set_rows(shingle, percent, table), SETS).withColumn("cls", F.monotonically_increasing_id()))
+    # classes of equal sets, numbered like their first row; a document without shingles is a class of its own
+    alone = F.when(F.col("n") == 0, F.struct("doc", "th"))
     classes = cut_lineage(
-        first.select(F.monotonically_increasing_id().alias("cls"), "n", "sig", "sig2", "f.doc", "f.th", "f.prefix")
+        sets.groupBy("n", "sig", "sig2", alone.alias("alone")).agg(F.min(F.struct("doc", "th", "cls")).alias("f"))
+        .select("f.cls", "n", "sig", "sig2", "f.doc", "f.th")
     )
     grams = F.lit(1) + F.least(F.lit(3), F.floor(F.col("n") / 50))  # common_grams
-    postings = classes.where("n > 0").select("cls", "n", F.posexplode("prefix").alias("at", "gram"))
+    postings = (
+        sets.where("n > 0").select("cls", "n", "prefix").join(classes.select("cls"), "cls", "left_semi")
+        .select("cls", "n", F.posexplode("prefix").alias("at", "gram"))
+    )
     shared = cut_lineage(postings.groupBy("gram").agg(F.count("*").alias("many")).where("many > 1").select("gram"))
     # a class that shares too few shingles with all others together has no links
     postings = cut_lineage(postings.join(shared, "gram"))
-    linked = postings.groupBy("cls").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= grams).select("cls")
-    postings = cut_lineage(postings.join(linked, "cls"))
-    own = classes.join(linked, "cls").select("cls", "doc", "th")
-    # rows equal in id and text are one text
-    whole = cut_lineage(texts.join(own, ["doc", "th"]).groupBy("cls").agg(F.first("text").alias("text")))
+    before = F.row_number().over(Window.partitionBy("cls").orderBy("at")) - 1
+    linked = cut_lineage(
+        postings.groupBy("cls").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= grams).select("cls")
+    )
+    linked = cut_lineage(sets.select("cls", *BITS).join(linked, "cls"))
+    # shingles before this one that no other class has: `own`
+    postings = cut_lineage(postings.join(linked, "cls").withColumn("own", F.col("at") - before))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Links among pairs (low, high). Of all texts only those pass on that a filter of the pairs' documents lets through."""
+        wanted = cut_lineage(
+            pairs.select(F.explode(F.array("low", "high")).alias("cls")).distinct().join(classes.select("cls", "doc", "th"), "cls")
+        )
+        found = texts.where(may_hold(hash_filter(wanted, "th"), "th"))
+        # rows equal in id and text are one text
+        whole = cut_lineage(found.join(wanted, ["doc", "th"]).groupBy("cls").agg(F.first("text").alias("text")))
         with_low = pairs.join(whole.toDF("low", "low_text"), "low")
         with_both = with_low.join(whole.toDF("high", "high_text"), "high")
         return cut_lineage(
@@ -189,34 +216,42 @@ def _members(df: DataFrame, percent: int, shingle: int, id_col: str, text_col: s
         )
 
     def candidates(lists: DataFrame, others: DataFrame) -> DataFrame:
-        """Pairs from the lists that pass the filters; `others` has the columns gram, to, m, there, that."""
-        n, m = F.col("n"), F.col("m")
+        """Pairs from the lists that pass the filters; `others` has the same columns under other names."""
+        n, m, at, there = (F.col(c) for c in ("n", "m", "at", "there"))
         least = F.ceil(percent * (n + m) / (100 + percent))
         fewest = F.lit(1) + F.least(F.lit(3), F.floor(F.least(n, m) / 50))
         low = F.col("cls") < F.col("to")
+        # the first `fewest` shared shingles stand within these prefixes, and what only one of the two has is bounded
+        near = (at < n - least + fewest) & (there < m - least + fewest) & (F.col("own") <= n - least) & (F.col("alone") <= m - least)
+        # sets that differ in few shingles have bitmaps that differ in few bits
+        apart = sum(F.bit_count(F.col(b).bitwiseXOR(F.col(f"other_{b}"))) for b in BITS)
         return (
             lists.join(others, "gram")
-            .where((F.col("label") != F.col("that")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)))
-            .groupBy(F.least("cls", "to").alias("low"), F.greatest("cls", "to").alias("high"))
+            .where(
+                (F.col("label") != F.col("that")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & near
+                & (apart <= n + m - 2 * least)
+            )
             # a pair may come from both ends, so its places are kept by end
+            .groupBy(F.least("cls", "to").alias("low"), F.greatest("cls", "to").alias("high"))
             .agg(
                 F.countDistinct("gram").alias("c"), F.first(least).alias("least"), F.first(fewest).alias("fewest"),
-                F.max(F.when(low, F.col("at")).otherwise(F.col("there"))).alias("i"), F.first(F.when(low, n).otherwise(m)).alias("n"),
-                F.max(F.when(low, F.col("there")).otherwise(F.col("at"))).alias("j"), F.first(F.when(low, m).otherwise(n)).alias("m"),
+                F.max(F.when(low, at).otherwise(there)).alias("i"), F.first(F.when(low, n).otherwise(m)).alias("n"),
+                F.max(F.when(low, there).otherwise(at)).alias("j"), F.first(F.when(low, m).otherwise(n)).alias("m"),
             )
-            .where("c >= fewest and c + least(n - i, m - j) - 1 >= least")
+            .where("c >= fewest and (i - c < n - least) and (j - c < m - least)")
             .select("low", "high")
         )
 
     labels = classes.select("cls", F.col("cls").alias("label"))
     links = spark.createDataFrame([], "low long, high long")
-    other = [F.col(c).alias(a) for c, a in (("cls", "to"), ("n", "m"), ("at", "there"), ("label", "that"))]
+    other = [F.col(c).alias(a) for c, a in (("cls", "to"), ("n", "m"), ("at", "there"), ("own", "alone"), ("label", "that"), *((b, f"other_{b}") for b in BITS))]
     for k in range(rounds + 1):
         lists = postings.join(labels, "cls")
         # lists within one component have nothing to add
         mixed = cut_lineage(lists.groupBy("gram").agg(
             F.min("label").alias("a"), F.max("label").alias("b"),
-            F.min_by(F.struct("cls", "n", "at", "label"), F.xxhash64(F.lit(k), "cls")).alias("pivot"),
+            # a class with few shingles of its own is close to many others
+            F.min_by(F.struct("cls", "n", "at", "own", "label", *BITS), F.struct(F.col("own") * int(k == 0), F.xxhash64(F.lit(k), "cls"))).alias("pivot"),
         ).where("a <> b"))
         if k < rounds:
             pairs = cut_lineage(candidates(lists, mixed.select("gram", "pivot.*").select("gram", *other)))
@@ -244,7 +279,7 @@ def _shown(column: str, kind: str):
 
 
 def jaccard_join(
-    df: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3
+    df: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1
 ) -> DataFrame:
     """Components of the documents linked by similar shingle sets: 100 * shared >= `percent` * united.
 
@@ -253,15 +288,17 @@ def jaccard_join(
 
     Sets are put in a global order, rare shingles first: by the frequency of the shingle's place in a table counted over all
     texts, then by hash. Similar sets share a shingle among their first ones (`prefix_length`), so postings of prefixes are
-    joined. A pair is kept if the sizes allow it (length filter) and what stands behind the shared
-    shingle can still reach the threshold (positional filter). Pairs are made distinct, the suffix filter splits both sets in
-    halves, and what passes is verified once on the texts. The filters count all shared shingles of two prefixes
-    (`common_grams`), which drops pairs that share one by chance.
+    joined. A pair is kept if the sizes allow it (length filter), if the shared shingles stand early enough for the
+    pair's sizes and few enough others stand before them (positional filter, over all shared shingles of
+    two prefixes, of which `common_grams` are needed). Pairs are made distinct; bitmaps of whole sets and the suffix
+    filter, which splits both sets in halves, bound in how many shingles they differ, and what passes is
+    verified once on the texts.
 
     The result needs components, not all links of a group of copies. So `rounds` times each posting list
-    proposes only pairs with one of its classes, another one each time; links join components. In the last round every
-    remaining pair is proposed whose classes lie in different components, which makes the components
-    exact: lists whose classes are all in one component propose nothing.
+    proposes only pairs with one of its classes, first that with the fewest shingles of its own, which is close to
+    most others; links join components. In the last round every remaining pair is proposed whose classes
+    lie in different components, which makes the components exact: lists whose classes are all in one
+    component propose nothing.
 
     One row for each row of `df`: id, n_shingles, class_id (smallest id with an equal set), component_id
     (smallest id that links reach, itself included). A missing id counts as larger than any other and shows as missing; other
@@ -274,7 +311,7 @@ def jaccard_join(
     )
 
 
-def keep_one_of_each(df: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
+def keep_one_of_each(df: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
     """The rows of `df` without near copies: of each component of `jaccard_join` the row with the smallest id.
 
     Texts without words are copies of nothing but of rows equal in id and text. Columns as in `df`.
