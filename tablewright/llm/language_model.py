@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..session import scratch_folder
 from .tokens import LOWER, WordHashes, mix, signed, texts_of
 
-#: Hashes of the marks before and after a text; words hash to anything else but by chance.
-BEGIN, END = 1, 2
+#: Hash of the mark after a text; words hash to anything else but by chance.
+END = 2
 #: Tokens that a task holds before it counts or looks them up.
 HELD = 1 << 20
 #: Tokens for each part of the model.
@@ -55,7 +55,7 @@ class Stream:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], stream: Stream):
-    """Texts' tokens, about HELD of them at a time: (batches' rows so far, list of arrays)."""
+    """Lists of texts' tokens, about HELD tokens at a time; a text is never cut."""
     held, size = [], 0
     for batch in batches:
         for data in texts_of(batch):
@@ -443,14 +443,13 @@ def _score_rows(model: Model, columns: list[str]):
         scorer, stream = Scorer(model), Stream()
         floor = model.tokens + 0.5 * (model.words + 1)
         for batch in batches:
-            done, at = [], 0
+            done = []
             for held in _groups(iter([batch]), stream):
                 logs, counts = scorer.log_probabilities(held)
                 start = np.r_[0, np.cumsum([len(h) for h in held])[:-1]]
                 base = np.log10((counts + 0.5) / floor)
                 sums = [np.add.reduceat(x, start) for x in ((counts > 0).astype(np.int64), base, logs)]
                 done.append((np.array([len(h) for h in held]), *sums))
-                at += len(held)
             if done:
                 values = [np.concatenate(v) for v in zip(*done)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *[pa.array(v) for v in values]], names)
