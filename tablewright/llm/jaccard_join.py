@@ -23,7 +23,7 @@ class Shingles:
     """Distinct shingles of a text, as sorted 64-bit hashes."""
 
     def __init__(self, words: int):
-        self.n, self.words, self.rolling = words, WordHashes(), Rolling(0xD1342543DE82EF95)
+        self.n, self.words, self.rolling = words, WordHashes(limit=100_000), Rolling(0xD1342543DE82EF95)
 
     def all(self, text: bytes) -> np.ndarray:
         x = self.words.of(text.translate(LOWER).split())
