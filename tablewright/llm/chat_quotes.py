@@ -22,8 +22,6 @@ LAST_TURN = 2**63 - 1
 #: Turns of a conversation that one window looks at.
 SPAN = 1024
 
-PARSED = "conv string, turn long, own string, levels int, pieces array<struct<level:int,words:int,hash:bigint>>"
-
 
 def normal_passage(text: str) -> str:
     """Words in lower case with single spaces between them: line breaks and punctuation don't matter."""
@@ -116,14 +114,11 @@ def _depths(parents: DataFrame) -> DataFrame:
     )
     while not at.where("not done").isEmpty():
         up = at.select("conv", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"), F.col("done").alias("ends"))
-        at = cut_lineage(
-            at.join(up, ["conv", "root"], "left").select(
-                "conv", "turn",
-                F.when(F.col("done"), F.col("root")).otherwise(F.col("next")).alias("root"),
-                F.when(F.col("done"), F.col("depth")).otherwise(F.col("depth") + F.col("more")).alias("depth"),
-                (F.col("done") | F.col("ends")).alias("done"),
-            )
+        # messages that have reached their root are looked at no more
+        moved = at.where("not done").join(up, ["conv", "root"]).select(
+            "conv", "turn", F.col("next").alias("root"), F.col("depth") + F.col("more"), F.col("ends").alias("done")
         )
+        at = cut_lineage(at.where("done").union(moved))
     return at.drop("done")
 
 
