@@ -17,9 +17,13 @@ from tablewright.llm.sharding import assign_shards
 from tablewright.session import cut_lineage
 
 
+#: A line that more different documents of a host share goes, whatever the size of the host.
+SHARED_LINE = 10
+
+
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines that too many documents of their host share."""
-    kept = apply_quality_rules(docs)
+    kept = apply_quality_rules(docs, enough_documents=SHARED_LINE)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 

@@ -96,14 +96,16 @@ def quality_rules(
     most_documents: int = 100,
     most_of_host: float = 0.1,
     most_removed: float = 0.5,
+    enough_documents: int | None = None,
 ) -> DataFrame:
     """One row for each row of `df`: its counts, the lines to remove and the verdict `kept`.
 
     Lines are normalised (case, digits, blanks) and hashed. For each host and line the documents
     with different texts that hold it are counted, so copies of a document count once; counts are
     formed before and after a shuffle by line and text. A line is above the limits if more than `most_documents`
-    documents of the host and more than the share `most_of_host` of them hold it. It is removed from all of them but the one with
-    the smallest id. A document is depleted, and rejected, if more than the share `most_removed` of its
+    documents of the host and more than the share `most_of_host` of them hold it, or if more than `enough_documents`
+    of them do, where that is given: a count that acts alike at every size of table and host. It is removed from all of
+    them but the one with the smallest id. A document is depleted, and rejected, if more than the share `most_removed` of its
     words goes or fewer than `min_words` stay. `base_failed`: fewer than `min_words` words, or more than
     the share `most_repeated` in windows of eight words found twice in the text.
 
@@ -120,13 +122,16 @@ def quality_rules(
         ).mapInArrow(_fact_rows, f"id {dict(df.dtypes)[id_col]}, doc long, host string, key string, digest string, {FACTS}")
     )
     hosts = facts.groupBy("host").agg(F.countDistinct("digest").alias("documents"))
+    shared = (F.col("n") > most_documents) & (F.col("n") > most_of_host * F.col("documents"))
+    if enough_documents is not None:
+        shared |= F.col("n") > enough_documents
     lines = facts.select("host", "key", "doc", "digest", F.explode("lines").alias("line"))
     frequent = (
         lines.groupBy("host", F.col("line.hash").alias("hash"))
         .agg(F.countDistinct("digest").alias("n"), F.min("doc").alias("first"))
-        .where(F.col("n") > most_documents)
+        .where(F.col("n") > (most_documents if enough_documents is None else min(most_documents, enough_documents)))
         .join(hosts, "host")
-        .where(F.col("n") > most_of_host * F.col("documents"))
+        .where(shared)
         .select("host", "hash", "first")
     )
     removed = (

@@ -37,3 +37,12 @@ def test_each_stage_on_all_its_predecessor_kept(spark, tables, tmp_path):
     assert Counter(r["doc_id"] for r in steps["sharding"]) == counts
     run = corpus_pipeline.run(spark, folder).select("doc_id", "shard", "slot").collect()
     assert Counter(map(tuple, run)) == Counter((r["doc_id"], r["shard"], r["slot"]) for r in steps["sharding"])
+
+
+def test_quality_stage_removes_shared_lines(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    after = corpus_pipeline.reject_low_quality(spark, docs, folder).collect()
+    shorter = [r for r in after if r["text"] != before[r["doc_id"]]]
+    assert shorter and all(len(r["text"]) < len(before[r["doc_id"]]) and r["n_chars"] == len(r["text"]) for r in shorter)

@@ -1,7 +1,7 @@
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
-from tablewright.llm.quality_rules import apply_quality_rules, quality_rules
+from tablewright.llm.quality_rules import apply_quality_rules, normal_line, quality_rules
 
 BASE = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
@@ -59,6 +59,24 @@ def test_kept_rows_lose_the_lines(spark):
     assert "rights" in texts[0] and all("\n" not in texts[k] for k in range(1, 7))
 
 
+def test_shared_lines_of_a_given_table_go(spark):
+    """The limit of the pipeline at a size where no host reaches `most_documents`."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = defaultdict(set)
+    for r in df.collect():
+        for line in (r["text"] or "").encode().split(b"\n"):
+            texts[r["source"], normal_line(line)].add(r["text"])
+    n_lines = sum(len(v) > 5 and bool(k[1]) for k, v in texts.items())
+    plain, rows = quality_rules(df), quality_rules(df, enough_documents=5).cache()
+    assert plain.where("n_removed_lines > 0").count() == 0
+    assert rows.selectExpr("explode(removed) h").distinct().count() <= n_lines
+    assert rows.where("n_removed_lines > 0").count() > 50
+    depleted = {r["doc_id"] for r in rows.where("not kept and not base_failed").collect()}
+    kept = {r["doc_id"] for r in apply_quality_rules(df, enough_documents=5).collect()}
+    assert depleted and not depleted & kept
+    assert kept == {r["doc_id"] for r in plain.where("kept").collect()} - depleted
+
+
 def test_nothing_in_nothing_out(nothing):
     assert quality_rules(nothing).count() == 0
     assert apply_quality_rules(nothing).count() == 0
