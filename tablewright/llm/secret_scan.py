@@ -24,25 +24,36 @@ FEATURES = [
 ]
 
 
+def _places(pattern: str) -> Column:
+    """(at, value) of every match in `content`: its only group, which ends the match, without marks around it."""
+    # a match with the text since the last one, so lengths add up to places; after the last one no other start is tried
+    pieces, values = (F.regexp_extract_all("content", F.lit(rf"\G(?s).*?{pattern}"), F.lit(k)) for k in (0, 1))
+    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda ends, piece: F.concat(ends, F.array(F.element_at(ends, -1) + F.length(piece))))
+    inner = lambda v: F.regexp_replace(v, r"^[\"'(]+", "")
+    return F.zip_with(
+        values, F.slice(ends, 2, 2**30),
+        lambda v, end: F.struct(
+            (end - F.length(inner(v)) + 1).alias("at"), F.regexp_replace(inner(v), r"[\"'),.;#&%$*!?]+$", "").alias("value")
+        ),
+    )
+
+
 def find_candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """One row for each candidate: id, path, line (number), nth (in the line), value, before, after.
 
     Lines are looked at one by one; `before` and `after` are up to 40 characters around the value. A
-    value that a line holds twice counts twice, with the surroundings of its first place.
+    value that a line holds twice counts twice, each time with the surroundings of its own place; a place
+    that both patterns find counts once.
     """
     path = F.lit("") if path_col is None else F.coalesce(F.col(path_col).cast("string"), F.lit(""))
     lines = df.select(
         F.col(id_col).alias("id"), path.alias("path"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line", "content")
     ).where(F.col("content").rlike(RUN) | F.col("content").rlike(ASSIGNED))
-    values = F.concat(
-        F.regexp_extract_all("content", F.lit(f"({RUN})"), F.lit(1)), F.regexp_extract_all("content", F.lit(ASSIGNED), F.lit(1))
-    )
-    found = lines.withColumn("values", F.array_distinct(F.transform(values, lambda v: F.regexp_replace(v, r"^[\"'(]+|[\"'),.;#&%$*!?]+$", ""))))
-    at = F.instr("content", F.col("value"))
+    found = lines.withColumn("places", F.array_distinct(F.concat(_places(f"({RUN})"), _places(ASSIGNED))))
     return (
-        found.select("id", "path", "line", "content", F.posexplode("values").alias("nth", "value"))
+        found.select("id", "path", "line", "content", F.posexplode("places").alias("nth", "place"))
+        .select("id", "path", "line", "content", "nth", "place.*")
         .where(F.length("value") >= 8)
-        .withColumn("at", at)
         .select(
             "id", "path", "line", "nth", "value",
             F.substring("content", F.greatest(F.col("at") - 40, F.lit(1)), F.least(F.col("at") - 1, F.lit(40))).alias("before"),

@@ -54,3 +54,24 @@ def test_empty_tables_and_one_kind(nothing, texts):
     assert secret_scan(nothing).count() == 0
     only = secret_scan(texts.where("doc_id < 60"))
     assert only.where("secret").count() == only.count() == 60
+
+
+def test_each_place_has_its_own_surroundings(spark):
+    token = hashlib.sha1(b"twice").hexdigest()
+    lines = [
+        f'see http://host/page.{token} and then token = "{token}", end',
+        f"x{token}y, token: '{token}'",  # within a longer run first
+        f"\u2028key=({token}) {'word ' * 30}key=({token})",
+    ]
+    df = spark.createDataFrame([(1, "\n".join(lines), "src")], "doc_id long, text string, source string")
+    rows = rule_labels(find_candidates(df).where(f"value = '{token}'")).collect()
+    places = [(0, lines[0].index(token)), *((k, x.rindex(token)) for k, x in enumerate(lines)), (2, lines[2].index(token))]
+    around = lambda x, at: (x[max(0, at - 40) : at], x[at + len(token) :][:40])
+    assert sorted((r["line"], r["before"], r["after"]) for r in rows) == sorted((k, *around(lines[k], at)) for k, at in places)
+    assert sorted(r["label"] for r in rows if r["line"] == 0) == [0.0, 1.0]
+
+
+def test_repeats_of_a_given_table_are_reported(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id = 1110")
+    rows = find_candidates(docs).groupBy("line", "value").count().where("count > 1")
+    assert rows.count() >= 1
