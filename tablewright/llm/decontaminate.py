@@ -14,11 +14,13 @@ from ..session import cut_lineage
 from .filters import hash_filter, passes
 from .tokens import LOWER, WordHashes, list_array, mix, order_id, signed, text_hash, texts_of
 
-#: 1: the word counts, 0: any word. In 16 aligned words with two substitutions in any places the
-#: first mask fits somewhere, and the second fits in many cases of more (tests/llm/test_decontaminate.py).
-MASKS = ("1110100111", "11011010011")
-#: Items with fewer words than this are found by the plain mask as well.
-SHORT, PLAIN = 16, "11111"
+#: 1: the word counts, 0: any word. In every run of twelve or more equal words with a quarter of its words
+#: substituted in any places at least one mask fits (tests/llm/test_decontaminate.py goes through all).
+MASKS = ("111011", "1100001011", "111100001", "11111")
+#: Items with fewer words than SHORT need fewer equal words; for these the short masks are used as well.
+SHORT, SHORT_MASKS = 14, ("1111", "11011", "10111", "11101")
+#: Items with fewer words match nothing.
+LEAST_WORDS = 5
 _OUTER = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
 
 
@@ -30,8 +32,8 @@ def plain_word(word: bytes) -> bytes:
 class Seeds:
     """Spaced seeds of a text: hashes of the words that a mask lets through, at every place."""
 
-    def __init__(self):
-        masks = (*MASKS, PLAIN)
+    def __init__(self, short: bool = True):
+        masks = (*MASKS, *SHORT_MASKS) if short else MASKS
         self.masks = [np.flatnonzero([c == "1" for c in m]) for m in masks]
         self.spans = [len(m) for m in masks]
         self.words = WordHashes(plain_word)
@@ -54,19 +56,25 @@ class Seeds:
 def _benchmark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seeds = Seeds()
     for batch in batches:
-        items, hashes, places = [], [], []
+        items, masks, hashes, places = [], [], [], []
         for item, data in zip(batch.column("item").to_pylist(), texts_of(batch)):
             x = seeds.hashes(data)
+            if len(x) < LEAST_WORDS:
+                continue
             for k, (h, at) in enumerate(seeds.of(x)):
-                if k == len(MASKS) and len(x) >= SHORT:
-                    continue
+                if k >= len(MASKS) and len(x) >= SHORT:
+                    break
                 items.append(np.full(len(h), item, np.int64))
+                masks.append(np.full(len(h), k, np.int32))
                 hashes.append(h)
                 places.append(at)
         if items:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(items)), pa.array(signed(np.concatenate(hashes))), pa.array(np.concatenate(places).astype(np.int32))],
-                ["item", "seed", "item_at"],
+                [
+                    pa.array(np.concatenate(items)), pa.array(np.concatenate(masks)),
+                    pa.array(signed(np.concatenate(hashes))), pa.array(np.concatenate(places).astype(np.int32)),
+                ],
+                ["item", "mask", "seed", "item_at"],
             )
 
 
@@ -77,11 +85,11 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(words, pa.binary())], ["item", "item_words"])
 
 
-def _candidate_rows(filter_words):
+def _candidate_rows(filter_words, short: bool):
     """Seeds of training texts that may be benchmark seeds, and the hashed words of those texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, bits = Seeds(), filter_words.value
+        seeds, bits = Seeds(short), filter_words.value
         for batch in batches:
             picked, sizes, hashes, places, words = [], [], [], [], []
             for i, data in enumerate(texts_of(batch)):
@@ -128,6 +136,25 @@ def best_overlap(a: np.ndarray, b: np.ndarray, shift: int, penalty: int = 2) ->
     return low + start, end - start, int(same[start:end].sum())
 
 
+def widest_overlap(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, int, int]:
+    """The run with the most equal words of which three quarters are equal, as in `best_overlap`.
+
+    With 1 for an equal word and -3 for another such a run has a sum of 0 or more. For each end the
+    first start whose partial sum is no larger is found among the least sums so far.
+    """
+    low, high = max(0, shift), min(len(a), len(b) + shift)
+    if high <= low:
+        return low, 0, 0
+    same = a[low:high] == b[low - shift : high - shift]
+    total = np.r_[0, np.cumsum(np.where(same, 1, -3))]
+    starts = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+    equal = np.r_[0, np.cumsum(same)]
+    found = equal - equal[starts]
+    end = int(np.argmax(found))
+    start = int(starts[end])
+    return low + start, end - start, int(found[end])
+
+
 def _overlap_rows(min_words: int, min_share: float):
     names = ["id", "doc", "th", "item", "start", "n_aligned", "n_equal", "item_words"]
 
@@ -137,10 +164,13 @@ def _overlap_rows(min_words: int, min_share: float):
             for i in range(batch.num_rows):
                 a = np.frombuffer(batch.column("words")[i].as_py(), np.uint64)
                 b = np.frombuffer(batch.column("item_words")[i].as_py(), np.uint64)
-                start, aligned, equal = best_overlap(a, b, batch.column("shift")[i].as_py())
-                if aligned and equal >= min(min_words, min_share * len(b)) and equal >= 0.75 * aligned:
-                    picked.append(i)
-                    out.append((start, aligned, equal, len(b)))
+                shift, least = batch.column("shift")[i].as_py(), min(min_words, min_share * len(b))
+                for overlap in (best_overlap, widest_overlap):
+                    start, aligned, equal = overlap(a, b, shift)
+                    if aligned and equal >= least and equal >= 0.75 * aligned:
+                        picked.append(i)
+                        out.append((start, aligned, equal, len(b)))
+                        break
             own = batch.take(pa.array(picked, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*[own.column(c) for c in names[:4]], *[pa.array([o[k] for o in out], pa.int32()) for k in range(4)]], names
@@ -166,7 +196,9 @@ def find_contamination(
     hashes that pass it are joined with the benchmark's, so only those are shuffled. A hit fixes how
     the two texts stand against each other, and the run around it is verified once for each such
     shift: equal words score 1, substituted ones -2. A pair is reported if the run has at least
-    `min_words` equal words, or `min_share` of a shorter item, and three quarters of it are equal.
+    `min_words` equal words, or `min_share` of a shorter item, and three quarters of it are equal; if the run of
+    the best score has not, any other run of the shift will do, and that with the most equal words is reported.
+    With the limits given here every such run holds a seed; lower limits may miss some.
 
     Columns: id, doc (`order_id`), th (`text_hash`), item, start, n_aligned, n_equal (words),
     item_words. Rows equal in id and text are reported once. A missing or empty text matches nothing, nor does an item with
@@ -178,13 +210,14 @@ def find_contamination(
     # the number of an item stands for its id and text
     items = cut_lineage(items.withColumn("nth", F.xxhash64("item", "text")))
     numbered = items.select(F.col("nth").alias("item"), "text")
-    item_seeds = cut_lineage(numbered.mapInArrow(_benchmark_rows, "item long, seed long, item_at int").distinct())
+    item_seeds = cut_lineage(numbered.mapInArrow(_benchmark_rows, "item long, mask int, seed long, item_at int").distinct())
+    short = not item_seeds.where(F.col("mask") >= len(MASKS)).isEmpty()
     shared = hash_filter(item_seeds, "seed")
     docs = df.select(F.col(id_col).alias("id"), order_id(id_col).alias("doc"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
     kind = dict(df.dtypes)[id_col]
     found = cut_lineage(
         docs.mapInArrow(
-            _candidate_rows(shared), f"id {kind}, doc long, th long, seeds array<struct<seed:bigint,at:int>>, words binary"
+            _candidate_rows(shared, short), f"id {kind}, doc long, th long, seeds array<struct<seed:bigint,at:int>>, words binary"
         )
     )
     hits = (
