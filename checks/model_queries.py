@@ -69,42 +69,18 @@ def quality_frame(spark, sf_dir):
     return LABELS.read(spark, sf_dir).join(documents, "doc_id").drop("doc_id")
 
 
-# Smaller forests than the defaults, so that the check of five folds stays short.
-CHECK_SETTINGS = modelling.Settings(max_depth=8, n_trees=20, boosting_rounds=10)
-_shared: dict = {}
-
-
 def quality_experiment(spark, sf_dir) -> modelling.Experiment:
-    key = (spark.sparkContext.applicationId, sf_dir, "quality")
-    if key not in _shared:
-        df = quality_frame(spark, sf_dir)
-        _shared[key] = modelling.run_experiment(df, "quality", settings=CHECK_SETTINGS)
-    return _shared[key]
-
-
-def price_plan() -> modelling.Plan:
-    return modelling.Plan(
-        "net", "regression", ["l_extendedprice", "l_discount", "gap"], ["l_returnflag"],
-        modelling.candidate_models("regression", 10_000), "rmse", ["mae", "r2"],
-    )
+    return modelling.run_experiment(quality_frame(spark, sf_dir), "quality")
 
 
-def price_experiment(spark, sf_dir) -> modelling.Experiment:
-    """Net price of every line item by linear regression."""
-    key = (spark.sparkContext.applicationId, sf_dir, "price")
-    if key not in _shared:
-        _shared[key] = modelling.run_experiment(
-            PLANTED.read(spark, sf_dir), "net", plan=price_plan(), models=["linear_regression"]
-        )
-    return _shared[key]
+def price_experiment(spark, sf_dir, models: list[str] | None = None) -> modelling.Experiment:
+    """Net price of every line item; `models` where a query looks at no others."""
+    return modelling.run_experiment(PLANTED.read(spark, sf_dir), "net", models=models)
 
 
 def fitted(spark, sf_dir, which: str, model: str):
-    experiment = quality_experiment(spark, sf_dir) if which == "quality" else price_experiment(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, sf_dir, which, model)
-    if key not in _shared:
-        _shared[key] = explanation.refit(experiment, model)
-    return experiment, _shared[key]
+    experiment = quality_experiment(spark, sf_dir) if which == "quality" else price_experiment(spark, sf_dir, [model])
+    return experiment, explanation.refit(experiment, model)
 
 
 @query(
@@ -135,7 +111,8 @@ def regression_fold_sizes(spark, sf_dir):
 UNION ALL SELECT 'l_returnflag', (SELECT l_returnflag FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)""",
 )
 def gap_fills(spark, sf_dir):
-    fills = modelling.gap_fills(PLANTED.read(spark, sf_dir), price_plan(), {"gap", "l_returnflag"})
+    plan = modelling.Plan("net", "regression", ["gap"], ["l_returnflag"], [], "rmse", [])
+    fills = modelling.gap_fills(PLANTED.read(spark, sf_dir), plan, {"gap", "l_returnflag"})
     return spark.createDataFrame([(c, str(v)) for c, v in fills.items()], '`column` string, fill string')
 
 
@@ -262,7 +239,7 @@ def cross_validated_regression(spark, sf_dir):
 @query("held_out_predictions_complete", f"SELECT count(*) AS n, count(DISTINCT rn) AS n_rows, 5 AS n_folds FROM (SELECT row_number() OVER () AS rn FROM {PLANTED.sql})")
 def held_out_complete(spark, sf_dir):
     """Every row is predicted exactly once, by a model that did not see it."""
-    predictions = price_experiment(spark, sf_dir).predictions["linear_regression"]
+    predictions = price_experiment(spark, sf_dir, ["linear_regression"]).predictions["linear_regression"]
     return predictions.agg(
         F.count("prediction").alias("n"), F.count_distinct("row").alias("n_rows"), F.count_distinct("fold").cast("int").alias("n_folds")
     )
@@ -379,8 +356,7 @@ def shapley_contributions(spark, sf_dir):
 def shapley_adds_up(spark, sf_dir):
     """Contributions of a row add up to its prediction less its baseline."""
     experiment, line = fitted(spark, sf_dir, "price", "linear_regression")
-    # the property holds for any number of samples
-    found = explanation.shapley_contributions(experiment, line, n_samples=3)
+    found = explanation.shapley_contributions(experiment, line)
     per_row = found.groupBy("row").agg((F.sum("contribution") - F.first("prediction") + F.first("baseline")).alias("gap"))
     return per_row.agg(F.count(F.lit(1)).cast("int").alias("n_rows"), F.abs(F.round(F.max(F.abs("gap")), 6)).alias("worst_gap"))
 
