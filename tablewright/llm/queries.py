@@ -18,6 +18,7 @@ from .secret_scan import secret_scan
 from .sharding import assign_shards
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .whitening import whiten
 
 SHARDS = 40
 
@@ -83,6 +84,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_language_model": op9_language_model,
     "op10_mixing": op10_mixing,
+    "op13_whitening": op13_whitening,
 }
 
 # the others draw by hash, learn models, or sum checksums and logarithms: see tests/llm
