@@ -60,3 +60,21 @@ kept AS (SELECT doc_id, string_agg(substr(hx, 2 * a + 1, 2 * (b - a)), '' ORDER
 sums AS (SELECT doc_id, sum(b - a) AS n, count(*) AS c FROM run GROUP BY doc_id)
 SELECT doc_id, (len(hx) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_spans,
 sha256(unhex(coalesce(k, hx))) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+OP11 = f"""WITH piece AS (SELECT coalesce(lang, 'und') AS lang,
+  unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS x FROM documents),
+words AS (SELECT lang, regexp_extract_all(x, '[^\\x20\\x09]+') AS ws FROM piece),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM words GROUP BY lang),
+f AS (SELECT lang, phrase, m, count(*) AS n FROM (
+  SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (
+    SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM words, (SELECT unnest([1, 2, 3]) AS m))) GROUP BY ALL HAVING count(*) >= 10),
+cand AS (SELECT lang, phrase, m, n AS a, string_split(phrase, ' ') AS p FROM f WHERE m > 1),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM cand),
+scored AS (SELECT c.lang, c.phrase, c.m, c.a, c.k, x.n AS l, y.n AS r, (1000000::HUGEINT * c.a * c.a // (x.n::HUGEINT * y.n))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.p[1:c.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.p[c.k + 1:], ' ')),
+low AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_pair AS (SELECT lang, unnest([array_to_string(p[1:2], ' '), array_to_string(p[2:3], ' ')]) AS phrase, a AS outer_a FROM cand WHERE m = 3),
+gone AS (SELECT DISTINCT lang, phrase FROM inner_pair JOIN cand USING (lang, phrase) WHERE 100 * outer_a >= 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low ANTI JOIN gone USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, score, k AS cut FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""

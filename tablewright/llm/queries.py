@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .chat_quotes import link_quotes
+from .collocations import collocations
 from .decontaminate import find_contamination
 from .jaccard_join import jaccard_join
 from .language_model import score, train, training_split
 from .mixing import weighted_fair_mix
+from .order_minhash import edited_fingerprints
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
 from .sharding import assign_shards
@@ -84,6 +86,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_documents(spark, sf_dir))
+
+
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_documents(spark, sf_dir)).select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -99,6 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_language_model": op9_language_model,
     "op10_mixing": op10_mixing,
+    "op11_collocations": op11_collocations,
+    "op12_order_minhash": op12_order_minhash,
     "op13_whitening": op13_whitening,
 }
 
@@ -108,4 +122,5 @@ SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": oracles.OP2,
     "op3_quality_rules": oracles.OP3,
     "op5_suffix_dedup": oracles.OP5,
+    "op11_collocations": oracles.OP11,
 }
