@@ -52,6 +52,10 @@ def fair_targets(sources: DataFrame, budget: float, most: float = EPOCHS) -> Dat
         level, full = (budget - row["caps"]) / row["open"], row["full"]
 
 
+#: Columns that a mix adds.
+ADDED = ("size", "source_size", "target", "virtual_finish", "copies", "taken", "weight")
+
+
 def weighted_fair_mix(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -79,8 +83,7 @@ def weighted_fair_mix(
     size 0, a missing source is a source, a missing id is an id. Columns of `df` that are named like an added
     one are replaced; an empty table gives an empty table.
     """
-    added = ("size", "source_size", "target", "virtual_finish", "copies", "taken", "weight")
-    sized = df.drop(*[c for c in added if c not in (id_col, text_col, source_col)]).withColumns(
+    sized = df.drop(*[c for c in ADDED if c not in (id_col, text_col, source_col)]).withColumns(
         {"size": word_count(text_col), "__at": F.xxhash64(F.lit(seed), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))}
     )
     if not keep_text:
@@ -127,3 +130,10 @@ def mixed_stream(mixed: DataFrame, columns: list[str]) -> DataFrame:
         .orderBy("__finish", *[c for c in columns if c in ("source", "doc_id")])
         .select(*columns)
     )
+
+
+def mixed_documents(df: DataFrame, **mix) -> DataFrame:
+    """The stream of a mix with the columns of `df`, also of those that are named like an added one."""
+    aside = {c: f"__own_{c}" for c in df.columns if c in ADDED}
+    moved = df.withColumnsRenamed(aside)
+    return mixed_stream(weighted_fair_mix(moved, **mix), moved.columns).withColumnsRenamed({v: k for k, v in aside.items()})

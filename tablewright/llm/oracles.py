@@ -35,9 +35,7 @@ full_line AS (SELECT *, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS n,
   translate(regexp_replace(trim(regexp_replace(x, '[\\x20\\x09-\\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g'), '{UPPER}', '{LOWER}') AS plain FROM line
   WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM full_line GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT text) AS documents FROM d GROUP BY host),
-frequent AS (SELECT host, plain, min(doc_id) AS first FROM full_line JOIN hosts USING (host) GROUP BY host, plain, documents
-  HAVING count(DISTINCT text) > 100 AND count(DISTINCT text) > 0.1 * documents),
+frequent AS (SELECT host, plain, min(doc_id) AS first FROM full_line GROUP BY host, plain HAVING count(DISTINCT text) > 10),
 removed AS (SELECT doc_id, sum(n) AS n_removed_words, count(DISTINCT plain) AS n_removed_lines
   FROM full_line JOIN frequent USING (host, plain) WHERE doc_id > first GROUP BY doc_id),
 base AS (SELECT doc_id, len(ws)::BIGINT AS n_words, len(array_to_string(ws, ''))::BIGINT AS word_chars,

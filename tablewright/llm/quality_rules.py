@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .filters import hash_filter, passes
 from .tokens import Rolling, WordHashes, list_array, order_id, signed, texts_of
 
 SYMBOLS = b"#*$%&|<>"
 #: Words of a window whose repeats within a text are counted.
 WINDOW = 8
+#: Rows that a task looks at together, and words whose hashes it remembers: both bound its memory.
+TOGETHER, REMEMBERED = 512, 100_000
 _DIGITS = re.compile(rb"[0-9]+")
 _BLANKS = re.compile(rb"[\x20\x09-\x0D]+")
 
@@ -46,9 +49,15 @@ def repeated_words(hashes: np.ndarray, rolling: Rolling, window: int = WINDOW) -
     return int((np.cumsum(steps) > 0).sum())
 
 
-def _fact_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, rolling = WordHashes(), Rolling(0xD1342543DE82EF95)
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(at, TOGETHER)
+
+
+def _fact_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words, rolling = WordHashes(limit=REMEMBERED), Rolling(0xD1342543DE82EF95)
+    for batch in _slices(batches):
         facts, sizes, line_hashes, line_words = [], [], [], []
         for data in texts_of(batch):
             split = data.split()
@@ -93,18 +102,15 @@ def quality_rules(
     text_col: str = "text",
     min_words: int = 20,
     most_repeated: float = 0.3,
-    most_documents: int = 100,
-    most_of_host: float = 0.1,
+    most_documents: int = 10,
     most_removed: float = 0.5,
-    enough_documents: int | None = None,
 ) -> DataFrame:
     """One row for each row of `df`: its counts, the lines to remove and the verdict `kept`.
 
     Lines are normalised (case, digits, blanks) and hashed. For each host and line the documents
     with different texts that hold it are counted, so copies of a document count once; counts are
-    formed before and after a shuffle by line and text. A line is above the limits if more than `most_documents`
-    documents of the host and more than the share `most_of_host` of them hold it, or if more than `enough_documents`
-    of them do, where that is given: a count that acts alike at every size of table and host. It is removed from all of
+    formed before and after a shuffle by line and text. A line is above the limit if more than `most_documents` of
+    them hold it, whatever the size of the host: a count that acts alike at every size. It is removed from all of
     them but the one with the smallest id. A document is depleted, and rejected, if more than the share `most_removed` of its
     words goes or fewer than `min_words` stay. `base_failed`: fewer than `min_words` words, or more than
     the share `most_repeated` in windows of eight words found twice in the text.
@@ -121,17 +127,11 @@ def quality_rules(
             F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), F.col(text_col).alias("text"),
         ).mapInArrow(_fact_rows, f"id {dict(df.dtypes)[id_col]}, doc long, host string, key string, digest string, {FACTS}")
     )
-    hosts = facts.groupBy("host").agg(F.countDistinct("digest").alias("documents"))
-    shared = (F.col("n") > most_documents) & (F.col("n") > most_of_host * F.col("documents"))
-    if enough_documents is not None:
-        shared |= F.col("n") > enough_documents
     lines = facts.select("host", "key", "doc", "digest", F.explode("lines").alias("line"))
     frequent = (
         lines.groupBy("host", F.col("line.hash").alias("hash"))
         .agg(F.countDistinct("digest").alias("n"), F.min("doc").alias("first"))
-        .where(F.col("n") > (most_documents if enough_documents is None else min(most_documents, enough_documents)))
-        .join(hosts, "host")
-        .where(shared)
+        .where(F.col("n") > most_documents)
         .select("host", "hash", "first")
     )
     removed = (
@@ -164,7 +164,7 @@ def quality_rules(
 
 def _cleaned_rows(columns: list[str], text_at: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             removed, out = batch.column("__removed"), []
             for i, text in enumerate(batch.column(text_at)):
                 gone = {h % 2**64 for h in removed[i].as_py()}
@@ -180,17 +180,42 @@ def _cleaned_rows(columns: list[str], text_at: int):
     return rows
 
 
+def _rows_in(shared, inside: bool):
+    """Rows whose `__hash` passes the filter, or those where it does not."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = np.full(batch.num_rows, not inside)
+            mask[passes(shared.value, batch.column("__hash").to_numpy().view(np.uint64))] = inside
+            yield batch.filter(pa.array(mask))
+
+    return rows
+
+
 def apply_quality_rules(
     df: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", **limits
 ) -> DataFrame:
-    """The rows of `df` that `quality_rules` keeps, without the lines above its limits; columns as in `df`."""
-    verdicts = (
+    """The rows of `df` that `quality_rules` keeps, without the lines above its limits; columns as in `df`.
+
+    Rows that are rejected or lose lines are known by their keys, and a filter of fixed size holds these. Rows that do not pass it stay as
+    they are, without a shuffle; only the texts of the others are joined with their verdicts.
+    """
+    touched = cut_lineage(
         quality_rules(df, id_col, host_col, text_col, **limits)
-        .where("kept")
+        .where("not kept or n_removed_lines > 0")
         .groupBy("key")
-        .agg(F.first("removed").alias("removed"))
-        .withColumnsRenamed({"key": "__key", "removed": "__removed"})
+        .agg(F.first("kept").alias("__kept"), F.first("removed").alias("__removed"))
+        .withColumnRenamed("key", "__key")
     )
-    joined = df.withColumn("__key", row_key(id_col, host_col, text_col)).join(verdicts, "__key").drop("__key")
+    shared = hash_filter(touched.select(F.xxhash64("__key").alias("h")), "h")
     schema = df.select(*[F.col(c) for c in df.columns]).schema
-    return joined.mapInArrow(_cleaned_rows(df.columns, df.columns.index(text_col)), schema)
+    keyed = df.withColumn("__key", row_key(id_col, host_col, text_col)).withColumn("__hash", F.xxhash64("__key"))
+    same = keyed.mapInArrow(_rows_in(shared, False), keyed.schema).select(*df.columns)
+    others = (
+        keyed.mapInArrow(_rows_in(shared, True), keyed.schema)
+        .join(touched, "__key", "left")
+        .where("coalesce(__kept, true)")
+        .withColumn("__removed", F.coalesce("__removed", F.array().cast("array<bigint>")))
+        .drop("__key", "__hash", "__kept")
+    )
+    return same.union(others.mapInArrow(_cleaned_rows(df.columns, df.columns.index(text_col)), schema))

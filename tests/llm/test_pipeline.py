@@ -39,6 +39,16 @@ def test_each_stage_on_all_its_predecessor_kept(spark, tables, tmp_path):
     assert Counter(map(tuple, run)) == Counter((r["doc_id"], r["shard"], r["slot"]) for r in steps["sharding"])
 
 
+def test_columns_named_like_added_ones_survive(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    names = ["size", "weight", "target", "taken", "copies", "source_size", "virtual_finish"]
+    rows = [(k, f"{text} {k}", "en", f"s{k % 2}", 99, *[f"{n}{k}" for n in names]) for k in range(30)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    mixed = corpus_pipeline.mix_sources(spark, df, "")
+    assert mixed.columns == df.columns
+    assert {tuple(r) for r in mixed.collect()} <= set(rows)
+
+
 def test_quality_stage_removes_shared_lines(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
