@@ -11,19 +11,15 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.decontaminate import decontaminate
 from tablewright.llm.jaccard_join import keep_one_of_each
-from tablewright.llm.mixing import mixed_stream, weighted_fair_mix
+from tablewright.llm.mixing import mixed_documents
 from tablewright.llm.quality_rules import apply_quality_rules
 from tablewright.llm.sharding import assign_shards
 from tablewright.session import cut_lineage
 
 
-#: A line that more different documents of a host share goes, whatever the size of the host.
-SHARED_LINE = 10
-
-
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines that too many documents of their host share."""
-    kept = apply_quality_rules(docs, enough_documents=SHARED_LINE)
+    kept = apply_quality_rules(docs)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
@@ -39,7 +35,7 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in service order, each as often as its source's weight asks for."""
-    return mixed_stream(weighted_fair_mix(docs), docs.columns)
+    return mixed_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
