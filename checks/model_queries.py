@@ -1,5 +1,6 @@
 """Modelling plan, folds, scores, explanations and the scorecard."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tablewright.operators import explanation, modelling
@@ -116,6 +117,72 @@ def gap_fills(spark, sf_dir):
     return spark.createDataFrame([(c, str(v)) for c, v in fills.items()], '`column` string, fill string')
 
 
+# ---- gap fills and vectors of all folds -------------------------------------------------------
+
+FOLDS = Relation(
+    "lineitem", [],
+    {
+        "row": ("l_orderkey * 8 + l_linenumber", "i"), "fold": ("l_orderkey % 5", "i"), "label": ("l_tax", "d"),
+        "gap": ("CASE WHEN l_linenumber = 7 THEN NULL ELSE l_discount END", "d"),
+        "size": ("CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity + l_tax END", "d"), "price": ("l_extendedprice", "d"),
+        "flag": ("CASE WHEN l_linenumber = 2 THEN NULL ELSE l_returnflag END", "s"),
+        "rare": ("CASE WHEN l_orderkey % 5 = 1 AND l_linenumber = 1 THEN 'only here' WHEN l_quantity > 30 THEN 'many' ELSE 'few' END", "s"),
+    },
+)
+FOLD_PLAN = modelling.Plan("label", "regression", ["gap", "size", "price"], ["flag", "rare"], [], "rmse", [])
+FOLD_FILLS = f"""f AS (SELECT unnest(range(5))::INT AS held), d AS (SELECT * FROM {FOLDS.sql}),
+fills AS (SELECT held, median(gap) AS gap, median("size") AS "size", (SELECT flag FROM d e WHERE e.fold <> held AND flag IS NOT NULL
+  GROUP BY flag ORDER BY count(*) DESC, flag LIMIT 1) AS flag FROM f JOIN d ON d.fold <> f.held GROUP BY held)"""
+
+
+@query(
+    "gap_fills_by_fold",
+    f"""WITH {FOLD_FILLS} SELECT 'gap' AS "column", held AS fold, gap AS number, NULL::VARCHAR AS label FROM fills
+UNION ALL SELECT 'size', held, "size", NULL FROM fills UNION ALL SELECT 'flag', held, NULL, flag FROM fills""",
+)
+def gap_fills_by_fold(spark, sf_dir):
+    return modelling.fold_fills(FOLDS.read(spark, sf_dir), FOLD_PLAN, 5, {"gap", "size", "flag"}).select(
+        "column", F.col("fold").cast("int").alias("fold"), "number", "label"
+    )
+
+
+@query(
+    "labels_by_fold",
+    f"""WITH f AS (SELECT unnest(range(5))::INT AS fold), d AS (SELECT fold AS own, flag, rare FROM {FOLDS.sql})
+SELECT DISTINCT 'flag' AS "column", f.fold, flag AS label FROM f JOIN d ON own <> f.fold WHERE flag IS NOT NULL
+UNION ALL SELECT DISTINCT 'rare', f.fold, rare FROM f JOIN d ON own <> f.fold""",
+)
+def labels_by_fold(spark, sf_dir):
+    found = modelling.fold_labels(FOLDS.read(spark, sf_dir), FOLD_PLAN, 5)
+    return found.select("column", F.col("fold").cast("int").alias("fold"), F.explode("labels").alias("label"))
+
+
+def _flag_sql(column: str) -> str:
+    """Flags of a label in all rows, where the training part knows the label; places by label order."""
+    return f"""SELECT held, '{column}' AS part, place, sum((x.v = l.v)::INT)::DOUBLE AS total FROM
+(SELECT held, v, row_number() OVER (PARTITION BY held ORDER BY v) - 1 AS place FROM (SELECT DISTINCT held, {column} AS v FROM f JOIN d ON d.fold <> f.held WHERE {column} IS NOT NULL)) l
+JOIN (SELECT held, coalesce(d.{column}, {'fills.flag' if column == 'flag' else 'NULL'}) AS v FROM fills, d) x USING (held) GROUP BY ALL"""
+
+
+@query(
+    "fold_vectors",
+    f"""WITH {FOLD_FILLS}, flags AS ({_flag_sql('flag')} UNION ALL {_flag_sql('rare')}),
+numbers AS (SELECT held, sum(coalesce(d.gap, fills.gap)) AS a, sum(coalesce(d."size", fills."size")) AS b, sum(price) AS c FROM fills, d GROUP BY held)
+SELECT held, 'flags' AS part, (place + CASE WHEN part = 'rare' THEN 3 ELSE 0 END)::INT AS place, total FROM flags
+UNION ALL SELECT held, 'numbers', unnest([0, 1, 2])::INT, round(unnest([a, b, c]), 2) FROM numbers""",
+)
+def fold_vectors(spark, sf_dir):
+    """Sums of every place of the vectors that models of each fold see."""
+    prepared = modelling.prepared_folds(FOLDS.read(spark, sf_dir), FOLD_PLAN, 5, [], {"gap", "size", "flag"})
+    sums = None
+    for held, vectors in enumerate(prepared):
+        for part in ("flags", "numbers"):
+            own = vectors.select(F.posexplode(vector_to_array(F.col(part))).alias("place", "v")).groupBy("place").agg(F.sum("v").alias("total"))
+            own = own.select(F.lit(held).alias("held"), F.lit(part).alias("part"), "place", F.round("total", 2).alias("total"))
+            sums = own if sums is None else sums.union(own)
+    return sums
+
+
 @query("candidate_models", "SELECT * FROM (VALUES ('linear_regression', 1, true), ('decision_tree', 2, false), ('random_forest', 3, false), ('gradient_boosting', 4, false)) t(model, rank, is_baseline) WHERE rank <= CASE WHEN (SELECT count(*) FROM lineitem) >= 500 THEN 4 ELSE 3 END")
 def candidate_models(spark, sf_dir):
     plan = modelling.modelling_plan(LINEITEM.read(spark, sf_dir), "l_extendedprice")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -13,16 +17,16 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col, present
 from ..session import cut_lineage, spread
 from .frequency import leading_values, spell_out, union_all, value_counts
-from .ordering import exact_quantiles, positions_within, running_total
+from .ordering import exact_quantiles, positions_within, running_total, running_totals
 from .profile import GROUP_TYPES, NUMERIC_TYPES, Profile, profile_of
 
 LOWER_IS_BETTER = ("rmse", "mae")
@@ -189,9 +193,16 @@ def with_folds(frame: DataFrame, plan: Plan, k: int, seed: int = 42) -> DataFram
 
 @dataclass(frozen=True)
 class Settings:
-    """Model parameters; trees of depth 30 are the deepest Spark builds."""
+    """Model parameters; trees of depth 30 are the deepest Spark builds.
+
+    A leaf of a deep tree holds at least the share `least_leaf` of the training rows, at every size: single rows up to 2,000, and
+    trees that stay small enough to send to executors beyond. `at_once` fits run side by side.
+    """
 
     max_depth: int = 30
+    least_leaf: float = 1 / 2000
+    histogram_mb: int = 1024
+    at_once: int = 4
     n_trees: int = 100
     boosting_rounds: int = 100
     boosting_depth: int = 3
@@ -207,7 +218,11 @@ def needs_scaling(model: str) -> bool:
 
 def estimator(model: str, plan: Plan, n_train: int, n_classes: int, s: Settings):
     common = {"featuresCol": "features", "labelCol": "target"}
-    trees = {**common, "maxDepth": s.max_depth, "maxBins": s.max_bins, "seed": s.seed}
+    # node ids travel with the rows, so no pass sends the trees grown so far
+    trees = {
+        **common, "maxDepth": s.max_depth, "maxBins": s.max_bins, "seed": s.seed, "minWeightFractionPerNode": s.least_leaf,
+        "maxMemoryInMB": s.histogram_mb, "cacheNodeIds": True,
+    }
     regression = plan.problem_type == "regression"
     if model == "linear_regression":
         return LinearRegression(**common, regParam=0.0, maxIter=s.max_iter)
@@ -313,16 +328,159 @@ def fit_model(
     return FittedModel(plan, fills, Pipeline(stages=stages).fit(ready), classes)
 
 
-def held_out_predictions(
-    model: str, folded: DataFrame, plan: Plan, k: int, classes: list[str], columns_with_gaps: set[str],
-    settings: Settings = Settings(),
-) -> DataFrame:
-    """(row, fold, label, prediction, scores) where every row is predicted by a model that did not see it."""
+# ---- all folds together ---------------------------------------------------------------------
+
+
+def _outside_counts(folded: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """(column, value, t0, t1, ..): how often a value stands outside each fold.
+
+    One pass counts (column, value) with a tally for each fold; the training part of a fold is the total less its tally.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), col(c).alias("value")) for c in columns])
+    return (
+        folded.select("fold", F.inline(cells)).where(F.col("value").isNotNull())
+        .groupBy("column", "value").agg(*[F.count_if(F.col("fold") != i).alias(f"t{i}") for i in range(k)])
+    )
+
+
+def _outside_medians(counts: DataFrame, k: int) -> DataFrame:
+    """(column, fold, fill): exact medians of the training part of every fold, from one set of running sums."""
+    tallies = [f"t{i}" for i in range(k)]
+    sizes = counts.groupBy("column").agg(*[F.sum(t).alias(f"all_{t}") for t in tallies])  # one row for each column
+    placed = running_totals(counts, "column", "value", tallies).join(F.broadcast(sizes), "column")
+
+    def holds(i: int, rank: Column) -> Column:
+        before = F.col(f"before_t{i}")
+        return (before <= rank) & (rank < before + F.col(f"t{i}"))
+
+    def middle(i: int) -> Column:
+        size = F.col(f"all_t{i}")
+        return (F.col(f"t{i}") > 0) & (holds(i, F.floor((size - 1) / 2)) | holds(i, F.floor(size / 2)))
+
+    found = F.array_compact(F.array(*[F.when(middle(i), F.lit(i)) for i in range(k)]))
+    ends = placed.select("column", "value", F.explode(found).alias("fold")).groupBy("column", "fold").agg(
+        F.min("value").alias("low"), F.max("value").alias("high")
+    )
+    return ends.select("column", "fold", (F.col("low") + (F.col("high") - F.col("low")) * 0.5).alias("fill"))
+
+
+def _outside_modes(counts: DataFrame, k: int) -> DataFrame:
+    """(column, fold, fill): the most frequent label of the training part of every fold, ties to the smallest."""
+    first = lambda t: F.min(F.when(F.col(t) > 0, F.struct((-F.col(t)).alias("n"), F.col("value").alias("v"))))["v"]
+    wide = counts.groupBy("column").agg(*[first(f"t{i}").alias(f"m{i}") for i in range(k)])
+    return wide.select(
+        "column", F.inline(F.array(*[F.struct(F.lit(i).alias("fold"), F.col(f"m{i}").alias("fill")) for i in range(k)]))
+    ).where("fill IS NOT NULL")
+
+
+def fold_fills(folded: DataFrame, plan: Plan, k: int, columns_with_gaps: set[str]) -> DataFrame:
+    """(column, fold, number, label): what fills gaps where a fold is held out, for all folds in one count each of numbers and labels."""
+    numeric = [c for c in plan.numeric if c in columns_with_gaps]
+    labels = [c for c in plan.categorical if c in columns_with_gaps]
     parts = []
-    for i in range(k):
-        fitted = fit_model(model, folded.where(F.col("fold") != i), plan, classes, columns_with_gaps, settings)
-        parts.append(fitted.predict(folded.where(F.col("fold") == i)).select("row", "fold", "label", "prediction", "scores"))
-    return cut_lineage(union_all(parts))
+    if numeric:
+        medians = _outside_medians(_outside_counts(folded, numeric, k), k)
+        parts.append(medians.select("column", "fold", F.col("fill").alias("number"), F.lit(None).cast("string").alias("label")))
+    if labels:
+        modes = _outside_modes(_outside_counts(folded, labels, k), k)
+        parts.append(modes.select("column", "fold", F.lit(None).cast("double").alias("number"), F.col("fill").alias("label")))
+    if not parts:
+        return folded.sparkSession.createDataFrame([], "column string, fold int, number double, label string")
+    return union_all(parts)
+
+
+def fold_labels(folded: DataFrame, plan: Plan, k: int) -> DataFrame:
+    """(column, fold, labels): the labels in the training part of every fold, in order."""
+    counts = _outside_counts(folded, plan.categorical, k)
+    present_in = F.array_compact(F.array(*[F.when(F.col(f"t{i}") > 0, F.lit(i)) for i in range(k)]))
+    return counts.select("column", "value", F.explode(present_in).alias("fold")).groupBy("column", "fold").agg(
+        F.sort_array(F.collect_set("value")).alias("labels")
+    )
+
+
+@dataclass
+class Encoding:
+    """What is learned from the training part of a fold before a model is: gap fills and label sets."""
+
+    fills: dict[str, float | str]
+    labels: dict[str, list[str]]
+
+
+def fold_encodings(folded: DataFrame, plan: Plan, k: int, columns_with_gaps: set[str]) -> list[Encoding]:
+    out = [Encoding({}, {}) for _ in range(k)]
+    for r in fold_fills(folded, plan, k, columns_with_gaps).collect():  # one row for each fold and column
+        out[r["fold"]].fills[r["column"]] = r["number"] if r["label"] is None else r["label"]
+    if plan.categorical:
+        for r in fold_labels(folded, plan, k).collect():
+            out[r["fold"]].labels[r["column"]] = r["labels"]
+    return out
+
+
+def encoded(frame: DataFrame, plan: Plan, classes: list[str], columns_with_gaps: set[str], e: Encoding) -> DataFrame:
+    """(row, fold, label, target, and the vectors flags and numbers) of all rows, by an encoding.
+
+    A label that the training part lacks has no flag; a number that it cannot fill is left out.
+    """
+    ready = filled(frame, plan, e.fills)
+    target = F.col("label") if plan.problem_type == "regression" else class_index(classes, F.col("label"))
+    ready = ready.withColumn("target", target)
+    vectors = []
+    labels = [c for c in plan.categorical if e.labels.get(c)]
+    if labels:
+        indexed, coded = [f"{c}__index" for c in labels], [f"{c}__flags" for c in labels]
+        places = ready
+        for c, name in zip(labels, indexed):
+            places = StringIndexerModel.from_labels(e.labels[c], c, name, "keep").transform(places)
+        # sizes come with the columns, so nothing is scanned here
+        flags = OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True).fit(places).transform(places)
+        ready = VectorAssembler(inputCols=coded, outputCol="flags").transform(flags)
+        vectors.append("flags")
+    numeric = [c for c in plan.numeric if c not in columns_with_gaps or c in e.fills]
+    if numeric:
+        ready = VectorAssembler(inputCols=numeric, outputCol="numbers", handleInvalid="keep").transform(ready)
+        vectors.append("numbers")
+    return ready.select("row", "fold", "label", "target", *vectors)
+
+
+def together(spark: SparkSession, jobs: list[Callable], at_once: int) -> list:
+    """Results, or exceptions, of jobs that the driver submits from `at_once` threads; a fair scheduler shares the cores among them."""
+
+    def run(job: Callable):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", "folds")
+        try:
+            return job()
+        except Exception as problem:  # noqa: BLE001 - the caller decides
+            return problem
+
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        waiting = [pool.submit(inheritable_thread_target(spark)(functools.partial(run, job))) for job in jobs]
+        return [w.result() for w in waiting]
+
+
+def prepared_folds(
+    folded: DataFrame, plan: Plan, k: int, classes: list[str], columns_with_gaps: set[str], at_once: int = 4
+) -> list[DataFrame]:
+    """The vectors of all rows for every held-out fold, written once for all models."""
+    encodings = fold_encodings(folded, plan, k, columns_with_gaps)
+    jobs = [lambda e=e: cut_lineage(encoded(folded, plan, classes, columns_with_gaps, e)) for e in encodings]
+    out = together(folded.sparkSession, jobs, at_once)
+    for problem in out:
+        if isinstance(problem, Exception):
+            raise problem
+    return out
+
+
+def fold_predictions(model: str, vectors: DataFrame, i: int, plan: Plan, classes: list[str], settings: Settings = Settings()) -> DataFrame:
+    """(row, fold, label, prediction, scores) of fold i, by a model of the other folds."""
+    train, held = spread(vectors.where(F.col("fold") != i)), vectors.where(F.col("fold") == i)
+    parts, stages = [c for c in ("flags", "numbers") if c in vectors.columns], []
+    if needs_scaling(model) and "numbers" in parts:
+        stages.append(StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True))
+        parts[-1] = "scaled"
+    stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
+    stages.append(estimator(model, plan, train.count() if model == "logistic_regression" else 0, len(classes), settings))
+    fitted = FittedModel(plan, {}, Pipeline(stages=stages).fit(train), classes)
+    return cut_lineage(fitted.predict(held).select("row", "fold", "label", "prediction", "scores"))
 
 
 # ---- scores ---------------------------------------------------------------------------------
@@ -431,33 +589,40 @@ def run_experiment(
 ) -> Experiment:
     """Cross-validate every candidate on the same folds; a model that fails does not stop the rest.
 
-    All rows are used. The driver only loops over models and folds; fits, predictions and
-    scores are Spark jobs on one written frame.
+    All rows are used. Vectors of a fold are written once for all models, and the fits of all models and folds are submitted
+    from `settings.at_once` threads, so short jobs of one fill the cores that another leaves idle.
     """
     profile = profile_of(df, profile)
     plan = plan or modelling_plan(df, target, profile)
     if plan.problem_type == "unknown" or not plan.features:
-        raise ValueError(f"'{target}' gives no usable modelling plan.")
+        raise ValueError(f"No model can be compared for '{target}': its type or its features rule it out.")
     frame = model_frame(df, plan)
     classes = [] if plan.problem_type == "regression" else class_labels(frame)
     gaps = {r["column"] for r in profile.rows if r["n_missing"] > 0}
     k = usable_folds(frame, plan)
     folded = cut_lineage(with_folds(frame, plan, k, settings.seed))
     result = Experiment(plan, folded, classes, gaps, k, df.sparkSession.createDataFrame([], SCORES), settings=settings)
-    parts = []
-    chosen = [c for c in plan.candidates if models is None or c.name in models]
-    for c in chosen[:max_models]:
+    chosen = [c for c in plan.candidates if models is None or c.name in models][:max_models]
+    prepared = prepared_folds(folded, plan, k, classes, gaps, settings.at_once)
+
+    def job(c: Candidate, i: int):
         started = time.perf_counter()
-        try:
-            predictions = held_out_predictions(c.name, folded, plan, k, classes, gaps, settings)
-        except Exception as problem:  # noqa: BLE001 - the other models still run
-            result.failures[c.name] = str(problem)
+        out = fold_predictions(c.name, prepared[i], i, plan, classes, settings)
+        return out, time.perf_counter() - started
+
+    done = together(df.sparkSession, [functools.partial(job, c, i) for c in chosen for i in range(k)], settings.at_once)
+    parts = []
+    for n, c in enumerate(chosen):
+        own = done[n * k : (n + 1) * k]
+        problems = [p for p in own if isinstance(p, Exception)]
+        if problems:
+            result.failures[c.name] = str(problems[0])
             continue
-        result.predictions[c.name] = predictions
+        result.predictions[c.name] = union_all([p for p, _ in own])
         parts.append(
-            fold_scores(predictions, plan, classes).select(
+            fold_scores(result.predictions[c.name], plan, classes).select(
                 F.lit(c.name).alias("model"), F.lit(c.rank).alias("rank"), F.lit(c.baseline).alias("is_baseline"), "fold",
-                "metric", "value", F.lit(time.perf_counter() - started).alias("seconds"),
+                "metric", "value", F.lit(sum(t for _, t in own)).alias("seconds"),
             )
         )
     if parts:

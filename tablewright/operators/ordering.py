@@ -40,6 +40,22 @@ def running_total(counts: DataFrame, group: str, value: str, weight: str) -> Dat
     )
 
 
+def running_totals(counts: DataFrame, group: str, value: str, weights: list[str]) -> DataFrame:
+    """Like `running_total` for several weights in one pass: adds `before_<weight>` for each."""
+    so_far = Window.partitionBy(group, "__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = cut_lineage(counts.repartitionByRange(F.col(group), F.col(value)).withColumn("__part", F.spark_partition_id()))
+    totals = local.groupBy(group, "__part").agg(*[F.sum(w).alias(f"__{w}") for w in weights])
+    earlier = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(group, "__part", *[F.coalesce(F.sum(f"__{w}").over(earlier), F.lit(0)).alias(f"__{w}") for w in weights])
+    inside = {f"before_{w}": F.coalesce(F.sum(w).over(so_far), F.lit(0)) for w in weights}
+    return (
+        local.withColumns(inside)
+        .join(offsets, [group, "__part"])
+        .withColumns({f"before_{w}": F.col(f"before_{w}") + F.col(f"__{w}") for w in weights})
+        .drop("__part", *[f"__{w}" for w in weights])
+    )
+
+
 def average_ranks(counts: DataFrame) -> DataFrame:
     """(column, value, rank) from (column, value, n): equal values share their average rank."""
     placed = running_total(counts, "column", "value", "n")

@@ -18,6 +18,8 @@ def build_session(app_name: str = "tablewright", master: str | None = None, **co
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # models are fitted side by side
+        "spark.scheduler.mode": "FAIR",
         # expressions over many columns are built much faster without a call site for each
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.dataFrameQueryContext.enabled": "false",
