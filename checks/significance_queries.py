@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tablewright.functions.tails import tail_probability
 from tablewright.operators import significance
 from tablewright.operators.profile import Profile
 
@@ -223,6 +224,62 @@ def significance_tests(spark, sf_dir):
     return flat(_all_tests(spark, sf_dir))
 
 
+# Upper tails by series and continued fraction, term by term. Every test is one row of `tails` (key, kind, a, b, x, y):
+# `beta` is the regularised incomplete beta function I_x(a, b) with y = 1 - x, `gamma` the upper incomplete gamma function Q(a, x).
+TAILS_SQL = """
+turned AS (SELECT key, kind, kind = 'beta' AND x > (a + 1) / (a + b + 2) AS flip, a, b, x, y FROM tails),
+ready AS (SELECT key, kind, flip, CASE WHEN flip THEN b ELSE a END AS p, CASE WHEN flip THEN a ELSE b END AS q,
+  CASE WHEN flip THEN y ELSE x END AS z, CASE WHEN flip THEN x ELSE y END AS rest, kind = 'gamma' AND x < a + 1 AS low FROM turned),
+-- modified Lentz for fractions, the plain series (value, term) for low gammas
+steps AS (
+  SELECT key, kind, low, p, q, z, 0 AS i, CASE WHEN low THEN 1 / p ELSE 1e-300 END AS value, CASE WHEN low THEN 1 / p ELSE 1e-300 END AS c, 0::DOUBLE AS d, false AS done FROM ready
+  UNION ALL
+  SELECT key, kind, low, p, q, z, i + 1, CASE WHEN low THEN value + c * z / (p + i + 1) ELSE value * c2 * d2 END,
+    CASE WHEN low THEN c * z / (p + i + 1) ELSE c2 END, d2,
+    CASE WHEN low THEN c * z / (p + i + 1) <= value * 1e-16 ELSE abs(c2 * d2 - 1) < 1e-15 END FROM (
+    SELECT *, 1 / (one + top * d) AS d2, one + top / c AS c2 FROM (
+      SELECT *, CASE WHEN kind = 'gamma' THEN z + 2 * (i + 1) - 1 - p ELSE 1 END AS one,
+        CASE WHEN i = 0 THEN 1
+          WHEN kind = 'gamma' THEN -i * (i - p)
+          WHEN i % 2 = 0 THEN (i // 2) * (q - i // 2) * z / ((p + i - 1) * (p + i))
+          ELSE -(p + i // 2) * (p + q + i // 2) * z / ((p + 2 * (i // 2)) * (p + 2 * (i // 2) + 1)) END AS top
+      FROM steps WHERE NOT done AND i < 20000))
+),
+ended AS (SELECT key, arg_max(value, i) AS value FROM steps GROUP BY key),
+tail AS (SELECT key, CASE
+  WHEN kind = 'gamma' AND z <= 0 THEN 1.0
+  WHEN kind = 'gamma' AND low THEN 1 - exp(p * ln(z) - z - lgamma(p)) * value
+  WHEN kind = 'gamma' THEN exp(p * ln(z) - z - lgamma(p)) * value
+  WHEN z <= 0 THEN flip::INT::DOUBLE
+  WHEN flip THEN 1 - exp(p * ln(z) + q * ln(rest) + lgamma(p + q) - lgamma(p) - lgamma(q)) / p * value
+  ELSE exp(p * ln(z) + q * ln(rest) + lgamma(p + q) - lgamma(p) - lgamma(q)) / p * value END AS p_value
+  FROM ready JOIN ended USING (key))"""
+# a t or F statistic as the x of a beta tail, a chi-square as that of a gamma tail
+TAIL_ROWS = """tails AS (SELECT key, CASE WHEN tail = 'chi2' THEN 'gamma' ELSE 'beta' END AS kind,
+  CASE tail WHEN 't' THEN dof1 / 2 WHEN 'f' THEN dof2 / 2 ELSE dof1 / 2 END AS a, CASE tail WHEN 't' THEN 0.5 WHEN 'f' THEN dof1 / 2 END AS b,
+  CASE tail WHEN 't' THEN dof1 / (dof1 + s * s) WHEN 'f' THEN dof2 / (dof2 + dof1 * s) ELSE s / 2 END AS x,
+  CASE tail WHEN 't' THEN s * s / (dof1 + s * s) WHEN 'f' THEN dof1 * s / (dof2 + dof1 * s) END AS y FROM given)"""
+
+
+@query(
+    "tail_probabilities",
+    f"""WITH RECURSIVE o AS (SELECT o_orderkey AS key, (o_orderkey % 3)::INT AS m, 1 + o_orderkey % 997 AS d, 1 + o_custkey % 61 AS e,
+  o_totalprice / 40000 AS v FROM orders),
+given AS (SELECT key, CASE m WHEN 0 THEN 't' WHEN 1 THEN 'f' ELSE 'chi2' END AS tail,
+  (CASE m WHEN 1 THEN e ELSE d END)::DOUBLE AS dof1, (CASE m WHEN 1 THEN d END)::DOUBLE AS dof2, (CASE m WHEN 2 THEN d * v / 4 ELSE v END)::DOUBLE AS s FROM o),
+{TAIL_ROWS}, {TAILS_SQL} SELECT given.key, given.tail, round(p_value, 9) AS p_value FROM given JOIN tail USING (key)""",
+)
+def tail_probabilities(spark, sf_dir):
+    """A statistic from every order: t, F and chi-square with 1 to 997 degrees of freedom."""
+    key = F.col("o_orderkey")
+    d, e, v, m = (1 + key % 997).cast("double"), (1 + F.col("o_custkey") % 61).cast("double"), F.col("o_totalprice") / 40000, key % 3
+    given = ORDERS.read(spark, sf_dir).select(
+        key.alias("key"), F.when(m == 0, "t").when(m == 1, "f").otherwise("chi2").alias("tail"), F.when(m == 1, e).otherwise(d).alias("dof1"),
+        F.when(m == 1, d).alias("dof2"), F.when(m == 2, d * v / 4).otherwise(v).alias("s"),
+    )
+    return given.select("key", "tail", F.round(tail_probability(F.col("tail"), F.col("s"), F.col("dof1"), F.col("dof2")), 9).alias("p_value"))
+
+
 @query("p_values_and_verdicts")
 def p_values(spark, sf_dir):
     return _all_tests(spark, sf_dir)

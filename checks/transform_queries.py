@@ -152,13 +152,13 @@ def complete_pairs(spark, sf_dir):
     return scalar.complete_rows(PLANTED.read(spark, sf_dir), ["gap", "l_tax"]).groupBy("gap", "l_tax").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("random_sample")
+@query("random_sample", "SELECT * FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 2000")
 def random_sample(spark, sf_dir):
     """The sampling operator: 2000 rows of the whole table, picked by hash."""
     return hash_sample(ORDERS.read(spark, sf_dir), ["o_orderkey"], 2000)
 
 
-@query("background_sample")
+@query("background_sample", "SELECT * FROM events ORDER BY md5('42|' || event_id), event_id LIMIT 100")
 def background_sample(spark, sf_dir):
     return hash_sample(EVENTS.read(spark, sf_dir), ["event_id"], 100)
 

@@ -103,9 +103,13 @@ def positions_within(
 
 
 def hash_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
-    """n rows picked by the hash of their key: repeatable, and a top-n rather than a sort."""
-    draw = F.xxhash64(*[col(k) for k in key], F.lit(seed))
-    return df.orderBy(draw, *[col(k) for k in key]).limit(n)
+    """n rows picked by the hash of their key: repeatable, and a top-n rather than a sort.
+
+    The order is the MD5 of seed and key as text, which any engine computes. Each task keeps its n first rows, so samples of parts
+    of a table, taken again together, are the sample of the whole.
+    """
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col(k).cast("string"), F.lit("")) for k in key])
+    return df.orderBy(F.md5(text), *[col(k) for k in key]).limit(n)
 
 
 def _in_passes(df: DataFrame, expressions: list[Column]) -> list:
