@@ -21,9 +21,9 @@ from ..session import cut_lineage
 from .tokens import list_array, mix, signed
 
 #: Suffixes whose subtree a task holds. Beyond `MOST_GROUPS` groups they grow instead, so that tasks hold a table of 8 MB at most.
-MEMORY, MOST_GROUPS = 1 << 21, 1 << 20
+MEMORY, MOST_GROUPS = 1 << 20, 1 << 20
 #: Suffixes and different words that a task counts together before it sends them off.
-HELD, WORDS_HELD = 1 << 22, 1 << 19
+HELD, WORDS_HELD = 1 << 21, 1 << 18
 #: Hash ranges within which running sums of prefixes are formed.
 RANGES = 1024
 
