@@ -54,6 +54,24 @@ def spearman_with_gaps(spark, sf_dir):
     return found.select("col_a", "col_b", F.round("spearman_r", 4).alias("spearman_r"))
 
 
+# two columns miss the same rows, the third others
+GAPS = Relation(
+    "lineitem", ["l_quantity"],
+    {
+        "price": ("CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice END", "d"),
+        "discount": ("CASE WHEN l_linenumber = 7 THEN NULL ELSE l_discount END", "d"),
+        "tax": ("CASE WHEN l_linenumber IN (2, 5) THEN NULL ELSE l_tax END", "d"),
+    },
+)
+GAP_PAIRS = patterns.all_pairs(["l_quantity", "price", "discount", "tax"])
+
+
+@query("spearman_pairs_shared_gaps", f"SELECT col_a, col_b, round(rho, 4) AS spearman_r FROM ({spearman_sql(GAPS, GAP_PAIRS)})")
+def spearman_shared_gaps(spark, sf_dir):
+    found = patterns.spearman(GAPS.read(spark, sf_dir), GAP_PAIRS)
+    return found.select("col_a", "col_b", F.round("spearman_r", 4).alias("spearman_r"))
+
+
 CORRELATIONS = f"""pears AS ({pearson_sql(PLANTED, PAIRS)}), spear AS ({spearman_sql(PLANTED, PAIRS)}),
 both_r AS (SELECT p.*, s.rho, greatest(abs(p.r), abs(s.rho)) AS raw FROM pears p JOIN spear s USING (col_a, col_b)),
 correlation_f AS (SELECT 'correlation' AS finding_type, col_a, col_b, round(raw, 4) AS score, raw,

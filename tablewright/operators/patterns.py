@@ -81,8 +81,9 @@ def _correlate(df: DataFrame, pairs: list[tuple[str, str, str, str]], out: str)
     )
 
 
-# A rank table of up to this many distinct values is broadcast (16 bytes each).
+# A rank table of up to this many distinct values is broadcast (16 bytes each), and so many of them in one job.
 FEW_VALUES = 50_000
+TABLES_PER_JOB = 24
 
 EMPTY_PAIRS = "pair int, col_a string, col_b string, n bigint, {} double"
 
@@ -96,6 +97,54 @@ def pearson(df: DataFrame, pairs: list[Pair]) -> DataFrame:
     return _correlate(numbers, [(a, b, a, b) for a, b in pairs], "pearson_r")
 
 
+def _together_rows(names: list[str]):
+    """Rows of a task in which two columns are both present, for every two of `names`."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((len(names), len(names)))
+        for batch in batches:
+            there = np.column_stack([batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in names]).astype(float)
+            n += there.T @ there
+        i, j = np.indices(n.shape)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array(n.ravel().astype(np.int64))],
+            ["i", "j", "n"],
+        )
+
+    return rows
+
+
+def rows_together(df: DataFrame, columns: list[str]) -> dict[Pair, int]:
+    """In how many rows both columns of a pair are present, for all pairs at once; (c, c) is the count of c."""
+    if not columns:
+        return {}
+    named = df.select(*[present(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    found = named.mapInArrow(_together_rows(named.columns), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+    return {(columns[r["i"]], columns[r["j"]]): r["n"] for r in found.collect()}
+
+
+def gap_views(pairs: list[Pair], together: dict[Pair, int]) -> tuple[dict[tuple[str, str | None], str], list[tuple[str, str]]]:
+    """Which rankings the pairs need: names by (column, column whose gaps take rows away), and the two names of each pair.
+
+    Only gaps of the partner take rows from a column, and none do where the column has those gaps itself. Partners whose gaps are the same
+    rows stand for one another: two columns have the same gaps if each is present as often as both are together.
+    """
+    stands_for: dict[str, str] = {}
+    for c in dict.fromkeys(a for a, _ in together):
+        same = (o for o in dict.fromkeys(stands_for.values()) if together[c, o] == together[c, c] == together[o, o])
+        stands_for[c] = next(same, c)
+    ranked: dict[tuple[str, str | None], str] = {}
+
+    def view(c: str, partner: str) -> str:
+        other = stands_for.get(partner)
+        if other is not None and c in stands_for and together[c, other] == together[c, c]:
+            other = None
+        return ranked.setdefault((c, other), f"v{len(ranked)}")
+
+    names = [(view(a, b), view(b, a)) for a, b in pairs]
+    return ranked, names
+
+
 def spearman(
     df: DataFrame, pairs: list[Pair], columns_with_gaps: set[str] | None = None
 ) -> DataFrame:
@@ -105,8 +154,9 @@ def spearman(
     with few distinct values (counted first) are broadcast. The other columns are unfolded
     into (row, column, value), get their ranks in one join by value and are folded back by
     row. The row number is written down before that, as it must not change when a task runs
-    again. Columns without gaps are ranked once; a pair in which a column has gaps ranks its
-    own complete rows.
+    again. Columns without gaps are ranked once. Beside a partner with gaps a column is ranked over its
+    rows without those; partners with the same gaps share that ranking (`gap_views`), so a row has at most
+    one cell for each column and kind of gaps.
     """
     if not pairs:
         return df.sparkSession.createDataFrame([], EMPTY_PAIRS.format("spearman_r"))
@@ -116,14 +166,8 @@ def spearman(
         found = numbers.agg(F.count(F.lit(1)), *[F.count(col(c)) for c in used]).first()
         columns_with_gaps = {c for c, n in zip(used, found[1:]) if n < found[0]}
 
-    ranked: dict[tuple[str, str | None], str] = {}
-
-    def view(c: str, partner: str) -> str:
-        # only gaps of the partner take rows away
-        key = (c, partner if partner in columns_with_gaps else None)
-        return ranked.setdefault(key, f"v{len(ranked)}")
-
-    views = [(a, b, view(a, b), view(b, a)) for a, b in pairs]
+    ranked, view_names = gap_views(pairs, rows_together(numbers, [c for c in used if c in columns_with_gaps]))
+    views = [(a, b, x, y) for (a, b), (x, y) in zip(pairs, view_names)]
     wide = cut_lineage(
         spread(numbers).select(
             F.monotonically_increasing_id().alias("row"),
@@ -146,7 +190,9 @@ def spearman(
     few = [i for i in every if sizes.get(i, 0) <= FEW_VALUES]
     many = [i for i in every if i not in few]
     frame = wide
-    for i in few:
+    for done, i in enumerate(few):
+        if done and done % TABLES_PER_JOB == 0:
+            frame = cut_lineage(frame)
         table = ranks.where(F.col("column") == i).select(F.col("value").alias("__value"), F.col("rank").alias("__rank"))
         frame = (
             frame.join(F.broadcast(table), F.col(names[i]) == F.col("__value"), "left")
