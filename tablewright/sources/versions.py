@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from urllib.parse import unquote, urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +37,9 @@ class TableStore:
     """Parquet versions under one root; the catalog row is written last and names the version's folder.
 
     Every write has a folder of its own. A version without a catalog row was never finished: it is not
-    listed and in nobody's way.
+    listed and in nobody's way. A number is taken by creating its marker file, which only one of several
+    writers can do; the others go on to the next number. A writer that fails gives its number back; that of
+    a driver that was lost stays taken. Stores without a create that fails on existing files (some object stores) need one writer at a time.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -44,12 +49,73 @@ class TableStore:
     def _catalog_path(self) -> str:
         return f"{self.root}/_catalog"
 
+    def _at(self, path: str):
+        """The path and its file system."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop, hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def catalog(self) -> DataFrame:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self._catalog_path)
-        exists = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
-        if not exists:
+        hadoop, files = self._at(self._catalog_path)
+        if not files.exists(hadoop):
             return self.spark.createDataFrame([], CATALOG)
-        return self.spark.read.schema(CATALOG).parquet(self._catalog_path)
+        return self._listed(self._catalog_path)
+
+    def _listed(self, *paths: str) -> DataFrame:
+        # while the catalog is compacted a row may be there twice
+        return self.spark.read.schema(CATALOG).option("recursiveFileLookup", "true").parquet(*paths).distinct()
+
+    def _list(self, rows: DataFrame) -> None:
+        """Each entry has a folder of its own, as writers that append to one folder disturb each other."""
+        rows.coalesce(1).write.parquet(f"{self._catalog_path}/entry-{uuid.uuid4().hex}")
+
+    def compact_catalog(self) -> int:
+        """Put the catalog's entries, one for each version, into one; returns how many entries that replaced.
+
+        The new entry is there before the old ones go, and rows that are listed twice count once, so a version is
+        listed all along; entries that others add meanwhile are left alone.
+        """
+        hadoop, files = self._at(self._catalog_path)
+        if not files.exists(hadoop):
+            return 0
+
+        def finished(entry) -> bool:
+            inside = files.listStatus(entry.getPath())
+            return any(f.getPath().getName().endswith(".parquet") for f in inside)
+
+        old = [str(f.getPath()) for f in files.listStatus(hadoop) if f.getPath().getName()[0] not in "._" and finished(f)]
+        if len(old) < 2:
+            return 0
+        self._list(self._listed(*old))
+        for path in old:
+            files.delete(self._at(path)[0], True)
+        return len(old)
+
+    def _marker(self, name: str) -> str:
+        return f"{self.root}/_taken/{name}"
+
+    def _take(self, name: str) -> bool:
+        """Whether this writer got the name; of several that ask at once one does."""
+        marker, files = self._at(self._marker(name))
+        files.mkdirs(marker.getParent())
+        qualified = urlparse(str(files.makeQualified(marker).toUri()))
+        if qualified.scheme == "file":
+            # Hadoop's local file system looks and then creates, which two writers can do at once
+            try:
+                os.close(os.open(unquote(qualified.path), os.O_CREAT | os.O_EXCL))
+            except FileExistsError:
+                return False
+            return True
+        try:
+            files.create(marker, False).close()
+        except Py4JJavaError as error:
+            if "AlreadyExists" in error.java_exception.getClass().getName() or files.exists(marker):
+                return False
+            raise
+        return True
+
+    def _give_back(self, name: str) -> None:
+        marker, files = self._at(self._marker(name))
+        files.delete(marker, False)
 
     def _record(self, name: str, version: int, path: str, df: DataFrame) -> None:
         stored = self.spark.read.parquet(path)
@@ -57,29 +123,39 @@ class TableStore:
             [(name, name if version == 1 else name.rsplit("_v", 1)[0], version, path, stored.count(), len(df.columns))],
             "name string, base string, version int, path string, n_rows bigint, n_columns int",
         )
-        row.withColumn("created_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(self._catalog_path)
+        self._list(row.withColumn("created_at", F.current_timestamp()))
 
     def _folder(self, base: str, version: int) -> str:
         return f"{self.root}/{base}/version-{version}-{uuid.uuid4().hex}"
 
+    def _write(self, name: str, base: str, version: int, df: DataFrame) -> str:
+        """Write a table whose name is taken; a failure gives the name back."""
+        path = self._folder(base, version)
+        try:
+            df.write.mode("errorifexists").parquet(path)
+            self._record(name, version, path, df)
+        except BaseException:
+            self._give_back(name)
+            raise
+        return name
+
+    def _known(self, name: str) -> bool:
+        return not self.catalog().where(F.col("name") == name).isEmpty()
+
     def add(self, name: str, df: DataFrame) -> str:
         """Store a new table under its own name."""
-        if not self.catalog().where(F.col("name") == name).isEmpty():
+        if self._known(name) or not self._take(name):
             raise FileExistsError(f"A table named {name!r} is stored already.")
-        path = self._folder(name, 1)
-        df.write.mode("errorifexists").parquet(path)
-        self._record(name, 1, path, df)
-        return name
+        return self._write(name, name, 1, df)
 
     def add_version(self, source: str, df: DataFrame) -> str:
         """Store a derived table under the first free version name; returns that name."""
         names = self.catalog().select("name").union(self.spark.createDataFrame([(source,)], "name string")).distinct()
         free = next_versions(names).where(F.col("base") == F.regexp_replace(F.lit(source), r"_v\d+$", "")).first()
         base, version = free["base"], free["next_version"]
-        path = self._folder(base, version)
-        df.write.mode("errorifexists").parquet(path)
-        self._record(f"{base}_v{version}", version, path, df)
-        return f"{base}_v{version}"
+        while not self._take(f"{base}_v{version}") or self._known(f"{base}_v{version}"):
+            version += 1
+        return self._write(f"{base}_v{version}", base, version, df)
 
     def load(self, name: str) -> DataFrame:
         found = self.catalog().where(F.col("name") == name).select("path").first()

@@ -1,8 +1,10 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from tablewright.plans.analyses import dataset_scorecard, derive_version, run_and_store, stored_or_run
 from tablewright.sources import history, tables
-from tablewright.sources.versions import TableStore
+from tablewright.sources.versions import CATALOG, TableStore
 
 
 def write(path, text):
@@ -69,6 +71,48 @@ def test_versions_are_numbered_flat_and_immutable(spark, tmp_path, frame):
         store.load("nobody")
 
 
+def test_two_writers_take_two_numbers(spark, tmp_path, frame, monkeypatch):
+    root = str(tmp_path / "store four")
+    df = frame(x=[1, 2, 3])
+    first, second = TableStore(spark, root), TableStore(spark, root)
+    first.add("herd", df)
+    # the second writer reads the catalog, then the first one stores its version, then the second one goes on
+    stale = second.catalog().collect()
+    monkeypatch.setattr(second, "catalog", lambda: spark.createDataFrame(stale, CATALOG))
+    assert first.add_version("herd", df.limit(2)) == "herd_v2"
+    assert second.add_version("herd", df.limit(1)) == "herd_v3"
+    assert [first.load(n).count() for n in ("herd", "herd_v2", "herd_v3")] == [3, 2, 1]
+    with pytest.raises(FileExistsError):
+        second.add("herd", df)
+
+
+def test_many_writers_at_once(spark, tmp_path, frame):
+    store = TableStore(spark, str(tmp_path / "store5"))
+    df = frame(x=[1])
+    store.add("flock", df)
+    with ThreadPoolExecutor(5) as pool:
+        names = list(pool.map(lambda _: TableStore(spark, store.root).add_version("flock", df), range(5)))
+    assert sorted(names) == [f"flock_v{k}" for k in range(2, 7)]
+
+
+def test_a_failed_write_gives_its_number_back(spark, tmp_path, frame):
+    store = TableStore(spark, str(tmp_path / "store6"))
+    store.add("herd", frame(x=[1]))
+    with pytest.raises(Exception):
+        store.add_version("herd", frame(x=[1]).selectExpr("raise_error('no') AS y"))
+    assert store.add_version("herd", frame(x=[1])) == "herd_v2"
+
+
+def test_a_compacted_catalog_lists_the_same(spark, tmp_path, frame):
+    store = TableStore(spark, str(tmp_path / "store7"))
+    assert store.compact_catalog() == 0
+    store.add("herd", frame(x=[1]))
+    store.add_version("herd", frame(x=[2]))
+    before = sorted(store.catalog().collect())
+    assert store.compact_catalog() == 2 and sorted(store.catalog().collect()) == before
+    assert store.compact_catalog() == 0 and store.add_version("herd", frame(x=[3])) == "herd_v3"
+
+
 def test_a_version_without_a_catalog_row_is_not_listed(spark, tmp_path, frame):
     store = TableStore(spark, str(tmp_path / "store2"))
     frame(x=[1]).write.parquet(f"{store.root}/half/version=1")
