@@ -1,5 +1,6 @@
 """Column transforms, projections and predicates."""
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tablewright.functions import scalar
@@ -102,6 +103,30 @@ applied(
     ", ".join(f"coalesce(l_returnflag = '{v}', false) AS l_returnflag_{v}" for v in "ANR")
     + ", " + ", ".join(f"coalesce(l_linestatus = '{v}', false) AS l_linestatus_{v}" for v in "FO"),
 )
+
+
+@query(
+    "one_hot_vectors",
+    f"""SELECT {', '.join(KEY)}, (SELECT count(DISTINCT s.label) FROM {KEYED.sql} s)::INT AS size,
+CASE WHEN label IS NULL THEN 0 ELSE (SELECT count(DISTINCT s.label) FROM {KEYED.sql} s WHERE s.label <= base.label) END::BIGINT AS one_at FROM {KEYED.sql} base""",
+)
+def one_hot_vectors(spark, sf_dir):
+    df, _ = transforms.one_hot_vectors(KEYED.read(spark, sf_dir), ["label"])
+    ones = vector_to_array("label_vector")
+    return df.select(*KEY, F.size(ones).alias("size"), F.array_position(ones, 1.0).alias("one_at"))
+
+
+@query(
+    "one_hot_label_index",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", {c}::VARCHAR AS label, rank() OVER (ORDER BY {c}) - 1 AS position FROM (SELECT DISTINCT {c} FROM {KEYED.sql} s WHERE {c} IS NOT NULL)"""
+        for c in ("label", "l_linestatus")
+    ),
+)
+def one_hot_label_index(spark, sf_dir):
+    return transforms.one_hot_vectors(KEYED.read(spark, sf_dir), ["label", "l_linestatus"])[1]
+
+
 applied(
     "ordinal_encode", "ordinal_encode", ["label"], ["label"],
     f"CASE WHEN label IS NULL THEN NULL ELSE (SELECT count(DISTINCT s.label) FROM {KEYED.sql} s WHERE s.label < base.label) END AS label",

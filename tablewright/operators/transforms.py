@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import NUMERIC, TEMPORAL, col, present, to_number
 from ..session import cut_lineage
-from .frequency import KEY_TYPES, columns_by_kind, key_kind
+from .frequency import KEY_TYPES, columns_by_kind, key_kind, union_all
 from .ordering import exact_quantiles, label_positions
 
 
@@ -146,7 +147,7 @@ def _labels(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
 def one_hot_encode(df: DataFrame, columns: list[str]) -> DataFrame:
     """Replace each column by one boolean column per label, in label order; gaps are all false.
 
-    The labels become column names, so they are read by the driver. A name that differs from an
+    The labels become column names, so they are read by the driver; `one_hot_vectors` takes any number of labels. A name that differs from an
     earlier one only by case gets a number, as Spark could not tell the two apart.
     """
     kept = [col(c) for c in df.columns if c not in columns]
@@ -168,6 +169,34 @@ def one_hot_encode(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*kept, *flags)
 
 
+def one_hot_vectors(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One-hot encoding for any number of labels: (table, label index).
+
+    Each column is replaced by a sparse vector `<column>_vector` with a one at its label's position; gaps have no
+    one. The index (column, label as text, position from 0 in label order) stays a table in Spark: the driver sees the number
+    of labels of a column and nothing else. A column without labels has vectors of size 1 without a one.
+    """
+    tables = [cut_lineage(label_positions(t)) for t in _labels(df, columns).values()]
+    sizes = {r["column"]: r["count"] for t in tables for r in t.groupBy("column").count().collect()}  # a row for each column
+    names = {c: f"__place{i}" for i, c in enumerate(columns)}
+    out = df
+    for table, kind_names in zip(tables, columns_by_kind(df, columns).values()):
+        for c in kind_names:
+            lookup = table.where(F.col("column") == c).select("label", F.col("position").cast("double").alias(names[c]))
+            out = _join_lookup(out, c, lookup)
+    # the encoder leaves out its last category, which stands for gaps
+    out = out.withColumns({n: F.coalesce(F.col(n), F.lit(float(max(1, sizes.get(c, 0))))) for c, n in names.items()})
+    largest = df.sparkSession.createDataFrame(
+        [tuple(float(max(1, sizes.get(c, 0))) for c in columns)], ", ".join(f"{n} double" for n in names.values())
+    )
+    vectors = {c: f"__vector{i}" for i, c in enumerate(columns)}
+    encoder = OneHotEncoder(inputCols=list(names.values()), outputCols=list(vectors.values()), dropLast=True)
+    encoded = encoder.fit(largest).transform(out)
+    kept = [col(c) for c in df.columns if c not in columns]
+    index = union_all([t.select("column", F.col("label").cast("string").alias("label"), "position") for t in tables])
+    return encoded.select(*kept, *[F.col(v).alias(f"{c}_vector") for c, v in vectors.items()]), index
+
+
 def _join_lookup(df: DataFrame, name: str, table: DataFrame) -> DataFrame:
     """Left join a (label, ...) table on a column; Spark broadcasts the table if it is small."""
     renamed = table.withColumnRenamed("label", "__label")

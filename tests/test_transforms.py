@@ -74,6 +74,27 @@ def test_one_hot(boats, frame):
     assert column(out, "q_yes_2") == [True, False, False] and column(out, "n_10") == [True, False, True]
 
 
+def test_one_hot_vectors_take_many_labels(spark):
+    n = 100_000
+    df = spark.range(n).selectExpr("id", "concat('k', lpad(id, 6, '0')) AS code", "if(id % 4 = 3, NULL, id % 4) AS quarter")
+    out, index = transforms.one_hot_vectors(df, ["code", "quarter"])
+    assert out.columns == ["id", "code_vector", "quarter_vector"]
+    assert index.where("column = 'code'").count() == n
+    for r in out.where("id IN (0, 77, 99998, 99999)").collect():
+        assert r["code_vector"].size == n and list(r["code_vector"].indices) == [r["id"]] and list(r["code_vector"].values) == [1.0]
+        assert r["quarter_vector"].size == 3 and list(r["quarter_vector"].indices) == ([] if r["id"] % 4 == 3 else [r["id"] % 4])
+    places = {(r["column"], r["label"]): r["position"] for r in index.where("position < 3").collect()}
+    assert places["code", "k000002"] == 2 and places["quarter", "1"] == 1
+
+
+def test_one_hot_vectors_of_a_column_without_labels(spark):
+    df = spark.createDataFrame([(None, "x"), (None, None)], "a string, `b.c` string")
+    out, index = transforms.one_hot_vectors(df, ["a", "b.c"])
+    rows = out.collect()
+    assert all(r["a_vector"].size == 1 and not len(r["a_vector"].indices) for r in rows)
+    assert sorted(len(r["b.c_vector"].indices) for r in rows) == [0, 1] and index.count() == 1
+
+
 def test_ordinal_sorts_labels_and_keeps_gaps(frame):
     df = frame(c=["plum", "fig", None, "quince", "fig"], n=[30, 4, 4, None, 100])
     rows = apply_transform(df, "ordinal_encode", ["c", "n"]).collect()
