@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,15 +141,27 @@ def cell_counts(df: DataFrame, pairs: list[Pair]) -> DataFrame:
     )
 
 
+#: A full contingency table is formed in at least LEAST_BLOCKS squared blocks of about CELLS_PER_BLOCK cells or fewer.
+LEAST_BLOCKS, CELLS_PER_BLOCK = 8, 1_000_000
+
+
 def contingency_table(df: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, n) with a row for every combination of levels, also the empty ones.
 
-    This is the full table a reader asks for; `chi_square_tests` needs the observed cells alone.
+    This is the full table a reader asks for; `chi_square_tests` needs the observed cells alone. The levels of both
+    sides are dealt into buckets by their hash and joined by pairs of buckets, so the cells are formed in as many
+    tasks as the table's size asks for, whichever side has the many levels.
     """
-    cells = cut_lineage(cell_counts(df, [(a, b)]))
-    rows, columns = cells.select("pair", "a").distinct(), cells.select("pair", "b").distinct()
-    every = rows.join(columns, "pair")
-    return every.join(cells, ["pair", "a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    cells = cut_lineage(cell_counts(df, [(a, b)]).select("a", "b", "n"))
+    rows, columns = (cut_lineage(cells.select(c).distinct()) for c in ("a", "b"))
+    blocks = max(LEAST_BLOCKS, math.ceil(math.sqrt(rows.count() * columns.count() / CELLS_PER_BLOCK)))
+
+    def dealt(levels: DataFrame, level: str, own: str, other: str) -> DataFrame:
+        bucket, zero = F.pmod(F.xxhash64(level), F.lit(blocks)), F.lit(0).cast("bigint")
+        return levels.select(level, bucket.alias(own), F.explode(F.sequence(zero, zero + (blocks - 1))).alias(other))
+
+    every = dealt(rows, "a", "row_block", "column_block").join(dealt(columns, "b", "column_block", "row_block"), ["row_block", "column_block"])
+    return every.join(cells, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def expected_counts(table: DataFrame) -> DataFrame:

@@ -68,6 +68,37 @@ def test_spearman_equals_pandas_with_ties_and_gaps(spark, broadcast, monkeypatch
         assert found[a, b] == pytest.approx(both[a].corr(both[b]), abs=1e-12)
 
 
+def test_sixty_columns_with_three_kinds_of_gaps(spark):
+    rng = np.random.default_rng(17)
+    n, columns = 300, [f"c{i}" for i in range(60)]
+    data = pd.DataFrame(rng.integers(0, 40, (n, 60)).astype(float), columns=columns)
+    data["c31"] += 3 * data["c2"]
+    gaps = [rng.random(n) < 0.15, rng.random(n) < 0.3]
+    gaps.append(gaps[0] | gaps[1])
+    for i, c in enumerate(columns):
+        data.loc[gaps[i % 3], c] = np.nan
+    df = spark.createDataFrame(data)
+    together = patterns.rows_together(df, columns)
+    assert together["c0", "c1"] == int((~gaps[2]).sum()) and together["c1", "c4"] == int((~gaps[1]).sum())
+    pairs = patterns.all_pairs(columns)
+    ranked, names = patterns.gap_views(pairs, together)
+    # a column with the gaps of both other kinds needs one ranking, the rest one for itself and one for the rows of all three
+    assert len(pairs) == len(names) == 1770 and len(ranked) <= 20 * 1 + 40 * 3
+    some = [("c0", "c1"), ("c0", "c2"), ("c1", "c4"), ("c2", "c5"), ("c2", "c31"), ("c31", "c58"), ("c59", "c0")]
+    found = {(r["col_a"], r["col_b"]): r["spearman_r"] for r in patterns.spearman(df, some).collect()}
+    for a, b in some:
+        both = data[[a, b]].dropna().rank()
+        assert found[a, b] == pytest.approx(both[a].corr(both[b]), abs=1e-12)
+
+
+def test_more_rank_tables_than_one_job_takes(spark, monkeypatch):
+    monkeypatch.setattr(patterns, "TABLES_PER_JOB", 2)
+    data = pd.DataFrame(np.random.default_rng(8).integers(0, 9, (200, 5)).astype(float), columns=list("abcde"))
+    found = {(r["col_a"], r["col_b"]): r["spearman_r"] for r in patterns.spearman(spark.createDataFrame(data), patterns.all_pairs(list("abcde"))).collect()}
+    for (a, b), rho in found.items():
+        assert rho == pytest.approx(data[a].rank().corr(data[b].rank()), abs=1e-12)
+
+
 def test_pearson_ignores_incomplete_pairs(frame):
     row = patterns.pearson(frame(a=[1.0, 2.0, 3.0, None, 5.0], b=[2.0, 4.0, None, 1.0, 10.0]), [("a", "b")]).first()
     assert row["n"] == 3 and row["pearson_r"] == pytest.approx(1.0)
@@ -141,6 +172,16 @@ def test_levels_may_be_named_like_anything(frame):
     assert len(found) == 4 * 3 and sum(found.values()) == 4 and found["A", "a"] == found["a", "B"] == 1
 
 
+def test_contingency_of_many_levels_is_formed_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(significance, "CELLS_PER_BLOCK", 1_000)
+    df = spark.range(3000).selectExpr("concat('a', id % 700) AS x", "if(id = 5, NULL, id % 90) AS y")
+    table = significance.contingency_table(df, "x", "y")
+    row = table.selectExpr("count(*) AS cells", "count(DISTINCT a) AS a", "count(DISTINCT b) AS b", "sum(n) AS n").first()
+    assert (row["cells"], row["a"], row["b"], row["n"]) == (700 * 90, 700, 90, 2999)
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_block" in plan and "column_block" in plan and "Cartesian" not in plan
+
+
 def test_small_groups_are_inconclusive(frame):
     row = one(significance.group_tests(frame(v=[1.0, 2.0, 3.0, 4.0, 5.0, 6.0], g=["a"] * 5 + ["b"]), [("v", "g")]))
     assert row["significance"] == "inconclusive"
