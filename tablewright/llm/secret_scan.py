@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-#: A run of at least 16 letters, digits and + / = _ - with a digit, or what is assigned to a telling name.
-RUN = r"(?=[A-Za-z+/=_\-]*[0-9])[A-Za-z0-9+/=_\-]{16,}"
+#: A whole run of 16 or more letters, digits and + / = _ -; one with a digit is a candidate. No pattern here looks twice at a place of a
+#: long run: quantifiers are possessive, and what starts with a word starts at the word's first letter.
+RUN = r"(?<![A-Za-z0-9+/=_\-])[A-Za-z0-9+/=_\-]{16,}+"
 TELLING = r"(?i)(key|token|secret|passw|pwd|auth|credential|private|bearer|access)"
-ASSIGNED = r"(?i)(?:key|token|secret|passw\w*|pwd|auth\w*|credential\w*)[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{8,})"
+#: What is assigned to a telling name.
+ASSIGNED = (
+    r"(?i)(?<!\w)(?=\w*?(?:passw|auth|credential|(?:key|token|secret|pwd)(?!\w)))\w++"
+    r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"']{8,}+)"
+)
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|changeme|your[_-]|test|xxxx|\*\*\*)"
 #: Formats of keys that say what they are.
 KNOWN = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35})$"
@@ -24,18 +29,53 @@ FEATURES = [
 ]
 
 
-def _places(pattern: str) -> Column:
-    """(at, value) of every match in `content`: its only group, which ends the match, without marks around it."""
+#: Pieces beside a match that 40 characters around it reach into: a match has eleven characters or more.
+BESIDE = 4
+#: Lengths that are added up at a time.
+BLOCK = 256
+
+
+def _ends(lengths: Column) -> Column:
+    """Sums of the lengths so far, with a 0 before them; block by block, as every addition to an array copies it."""
+
+    def block(ends: Column, start: Column) -> Column:
+        sums = F.aggregate(
+            F.slice(lengths, start + 1, F.lit(BLOCK)), F.array(F.element_at(ends, -1)),
+            lambda so_far, n: F.concat(so_far, F.array(F.element_at(so_far, -1) + n)),
+        )
+        return F.concat(ends, F.slice(sums, 2, BLOCK))
+
+    last = F.greatest(F.size(lengths) - 1, F.lit(0))
+    return F.aggregate(F.sequence(F.lit(0), last, F.lit(BLOCK)), F.array(F.lit(0)), block)
+
+
+def _places(lines: DataFrame, pattern: str, name: str) -> DataFrame:
+    """Add `name`: (at, value, before, after) of every match in `content`. The value is the pattern's only group, which ends the match, without
+    marks around it. Lines are cut at the matches, so a long line is not read again for each of them."""
     # a match with the text since the last one, so lengths add up to places; after the last one no other start is tried
     pieces, values = (F.regexp_extract_all("content", F.lit(rf"\G(?s).*?{pattern}"), F.lit(k)) for k in (0, 1))
-    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda ends, piece: F.concat(ends, F.array(F.element_at(ends, -1) + F.length(piece))))
-    inner = lambda v: F.regexp_replace(v, r"^[\"'(]+", "")
-    return F.zip_with(
-        values, F.slice(ends, 2, 2**30),
-        lambda v, end: F.struct(
-            (end - F.length(inner(v)) + 1).alias("at"), F.regexp_replace(inner(v), r"[\"'),.;#&%$*!?]+$", "").alias("value")
-        ),
-    )
+    cut = lines.withColumns({"__pieces": pieces, "__values": values})
+    cut = cut.withColumn("__lengths", F.transform("__pieces", F.length)).withColumn("__ends", _ends(F.col("__lengths")))
+    rest = F.substring(F.col("content"), F.element_at("__ends", -1) + 1, F.lit(40))
+    cut = cut.withColumn("__pieces", F.concat("__pieces", F.array(rest)))
+
+    def around(first: Column, last: Column) -> Column:
+        return F.array_join(F.slice("__pieces", first, last - first + 1), "")
+
+    def place(raw: Column, i: Column) -> Column:
+        inner = F.regexp_replace(raw, r"^[\"'(]+", "")
+        value = F.regexp_replace(inner, r"[\"'),.;#&%$*!?]+$", "")
+        piece, end = F.get("__pieces", i), F.get("__ends", i + 1)
+        own = F.substring(piece, F.lit(1), F.length(piece) - F.length(inner))
+        # numbers from 1 in slices
+        earlier = around(F.greatest(i + 1 - BESIDE, F.lit(1)), i)
+        later = around(i + 2, i + 1 + BESIDE)
+        return F.struct(
+            (end - F.length(inner) + 1).alias("at"), value.alias("value"), F.right(F.concat(earlier, own), F.lit(40)).alias("before"),
+            F.left(F.concat(F.substring(inner, F.length(value) + 1, F.lit(40)), later), F.lit(40)).alias("after"),
+        )
+
+    return cut.withColumn(name, F.transform("__values", place)).drop("__pieces", "__values", "__lengths", "__ends")
 
 
 def find_candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
@@ -43,22 +83,29 @@ def find_candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Lines are looked at one by one; `before` and `after` are up to 40 characters around the value. A
     value that a line holds twice counts twice, each time with the surroundings of its own place; a place
-    that both patterns find counts once.
+    that both patterns find counts once. A very long line is read a few times, however many candidates it holds.
     """
     path = F.lit("") if path_col is None else F.coalesce(F.col(path_col).cast("string"), F.lit(""))
     lines = df.select(
         F.col(id_col).alias("id"), path.alias("path"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line", "content")
-    ).where(F.col("content").rlike(RUN) | F.col("content").rlike(ASSIGNED))
-    found = lines.withColumn("places", F.array_distinct(F.concat(_places(f"({RUN})"), _places(ASSIGNED))))
+    )
+    # the short patterns spare most lines the long ones
+    has_run = F.col("content").rlike("[0-9]") & F.col("content").rlike(RUN)
+    has_name = F.col("content").rlike("[=:]") & F.col("content").rlike(ASSIGNED)
+    found = _places(_places(lines.where(has_run | has_name), f"({RUN})", "runs"), ASSIGNED, "assigned")
+    runs = F.filter("runs", lambda place: place["value"].rlike("[0-9]"))
+    # a value that is a whole run with a digit is there as such
+    others = F.filter(
+        "assigned",
+        lambda place: ~(
+            place["value"].rlike(r"^[A-Za-z0-9+/=_\-]{16,}+$") & place["value"].rlike("[0-9]")
+            & ~place["before"].rlike(r"[A-Za-z0-9+/=_\-]$") & ~place["after"].rlike(r"^[A-Za-z0-9+/=_\-]")
+        ),
+    )
     return (
-        found.select("id", "path", "line", "content", F.posexplode("places").alias("nth", "place"))
-        .select("id", "path", "line", "content", "nth", "place.*")
+        found.select("id", "path", "line", F.posexplode(F.concat(runs, others)).alias("nth", "place"))
+        .select("id", "path", "line", "nth", "place.value", "place.before", "place.after")
         .where(F.length("value") >= 8)
-        .select(
-            "id", "path", "line", "nth", "value",
-            F.substring("content", F.greatest(F.col("at") - 40, F.lit(1)), F.least(F.col("at") - 1, F.lit(40))).alias("before"),
-            F.substring("content", F.col("at") + F.length("value"), F.lit(40)).alias("after"),
-        )
     )
 
 

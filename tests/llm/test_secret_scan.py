@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import pytest
 
@@ -75,3 +77,75 @@ def test_repeats_of_a_given_table_are_reported(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id = 1110")
     rows = find_candidates(docs).groupBy("line", "value").count().where("count > 1")
     assert rows.count() >= 1
+
+
+def places_by_hand(line):
+    """(start, value) of all candidates of a line, character by character."""
+    found = []
+    run = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
+    at = 0
+    while at < len(line):
+        end = at
+        while end < len(line) and line[end] in run:
+            end += 1
+        if end - at >= 16 and any(c in "0123456789" for c in line[at:end]):
+            found.append((at, line[at:end]))
+        at = max(end, at + 1)
+    names, word = ("passw", "auth", "credential", "key", "token", "secret", "pwd"), set(run) - set("+/=-")
+    at = 0
+    while at < len(line):
+        for name in names:
+            if line[at : at + len(name)].lower() != name:
+                continue
+            end = at + len(name)
+            while name in names[:3] and end < len(line) and line[end] in word:
+                end += 1
+            end += line[end : end + 1] in ("'", '"')
+            spaces = 0
+            while spaces < 3 and line[end : end + 1] == " ":
+                end, spaces = end + 1, spaces + 1
+            if line[end : end + 1] not in ("=", ":"):
+                continue
+            end, spaces = end + 1, 0
+            while spaces < 3 and line[end : end + 1] == " ":
+                end, spaces = end + 1, spaces + 1
+            end += line[end : end + 1] in ("'", '"')
+            start = end
+            while end < len(line) and line[end] not in " '\"":
+                end += 1
+            if end - start >= 8:
+                found.append((start, line[start:end]))
+                at = end - 1
+                break
+        at += 1
+    out = set()
+    for start, value in found:
+        inner = value.lstrip("\"'(")
+        kept = inner.rstrip("\"'),.;#&%$*!?")
+        if len(kept) >= 8:
+            out.add((start + len(value) - len(inner), kept))
+    return sorted(out)
+
+
+def test_candidates_equal_a_scan_by_hand(spark):
+    rng = random.Random(21)
+    parts = ["token", "KEY", "auth", "author", "password_2", "mysecret", "pwdx", "credentials", "=", ":", " = ", ": ", '"', "'", " ", "  ", "x" * 20,
+             "abcdef0123456789abc", "0" * 15, "A1" * 9, "+/", "(val12345)", "value,8!", "http://host/a9/", "é", "a-b_c=d/e+f-g_h=1", "   :    "]
+    lines = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = {}
+    for r in find_candidates(df, path_col=None).collect():
+        found.setdefault(r["id"], []).append((r["value"], r["before"], r["after"]))
+    for k, line in enumerate(lines):
+        expected = [(v, line[max(0, at - 40) : at], line[at + len(v) :][:40]) for at, v in places_by_hand(line)]
+        assert sorted(found.get(k, [])) == sorted(expected), line
+
+
+@pytest.mark.parametrize("piece", ["x", "auth", "ab-CD_", "key=", "abcdefgh12345678 "])
+def test_a_line_of_a_megabyte(spark, piece):
+    line = piece * (1_000_000 // len(piece))
+    df = spark.createDataFrame([(1, line + "!1", "src")], "doc_id long, text string, source string")
+    start = time.monotonic()
+    n = find_candidates(df).count()
+    assert n == {"key=": 1, "abcdefgh12345678 ": len(line) // 17}.get(piece, 0)
+    assert time.monotonic() - start < 60
