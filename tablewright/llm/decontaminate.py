@@ -155,6 +155,26 @@ def widest_overlap(a: np.ndarray, b: np.ndarray, shift: int) -> tuple[int, int,
     return low + start, end - start, int(found[end])
 
 
+def best_of_shifts(a: np.ndarray, b: np.ndarray, shifts: np.ndarray, min_words: int, min_share: float) -> tuple[int, int, int] | None:
+    """The accepted run with the most equal words over all shifts, then the shortest and first; None without one.
+
+    Shifts come by the words that stand against each other, which no run exceeds. So those that cannot reach the best run are left
+    out, and after a run that is equal throughout the first such shift is the answer, as in texts that repeat one word.
+    """
+    least = min(min_words, min_share * len(b))
+    bounds = np.minimum(len(a), len(b) + shifts) - np.maximum(0, shifts)
+    best = None
+    for k in np.lexsort((shifts, -bounds)):
+        if best is not None and (bounds[k] < best[0] or best[0] == -best[1] == bounds[k]):
+            break
+        for overlap in (best_overlap, widest_overlap):
+            start, aligned, equal = overlap(a, b, int(shifts[k]))
+            if aligned and equal >= least and equal >= 0.75 * aligned:
+                best = max(best or (0, 0, 0), (equal, -aligned, -start))
+                break
+    return None if best is None else (-best[2], -best[1], best[0])
+
+
 def _overlap_rows(min_words: int, min_share: float):
     names = ["id", "doc", "th", "item", "start", "n_aligned", "n_equal", "item_words"]
 
@@ -164,13 +184,11 @@ def _overlap_rows(min_words: int, min_share: float):
             for i in range(batch.num_rows):
                 a = np.frombuffer(batch.column("words")[i].as_py(), np.uint64)
                 b = np.frombuffer(batch.column("item_words")[i].as_py(), np.uint64)
-                shift, least = batch.column("shift")[i].as_py(), min(min_words, min_share * len(b))
-                for overlap in (best_overlap, widest_overlap):
-                    start, aligned, equal = overlap(a, b, shift)
-                    if aligned and equal >= least and equal >= 0.75 * aligned:
-                        picked.append(i)
-                        out.append((start, aligned, equal, len(b)))
-                        break
+                shifts = batch.column("shifts")[i].values.to_numpy(zero_copy_only=False)
+                best = best_of_shifts(a, b, shifts.astype(np.int64), min_words, min_share)
+                if best is not None:
+                    picked.append(i)
+                    out.append((*best, len(b)))
             own = batch.take(pa.array(picked, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*[own.column(c) for c in names[:4]], *[pa.array([o[k] for o in out], pa.int32()) for k in range(4)]], names
@@ -194,8 +212,8 @@ def find_contamination(
     Words are compared in lower case without punctuation around them. Each mask of `MASKS` gives a hash at every place of
     a text that ignores the words under its zeros. Benchmark hashes fill a filter of fixed size; training
     hashes that pass it are joined with the benchmark's, so only those are shuffled. A hit fixes how
-    the two texts stand against each other, and the run around it is verified once for each such
-    shift: equal words score 1, substituted ones -2. A pair is reported if the run has at least
+    the two texts stand against each other; the shifts of a text and an item are gathered (numbers, at most as many as
+    both have words), so their words are read once, and the runs around the hits are verified: equal words score 1, substituted ones -2. A pair is reported if the run has at least
     `min_words` equal words, or `min_share` of a shorter item, and three quarters of it are equal; if the run of
     the best score has not, any other run of the shift will do, and that with the most equal words is reported.
     With the limits given here every such run holds a seed; lower limits may miss some.
@@ -224,8 +242,8 @@ def find_contamination(
         found.select("doc", "th", F.explode("seeds").alias("s"))
         .select("doc", "th", "s.seed", "s.at")
         .join(item_seeds, "seed")
-        .select("doc", "th", "item", (F.col("at") - F.col("item_at")).alias("shift"))
-        .distinct()
+        .groupBy("doc", "th", "item")
+        .agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts"))
     )
     texts = found.groupBy("doc", "th").agg(F.first("id").alias("id"), F.first("words").alias("words"))
     item_words = numbered.mapInArrow(_word_rows, "item long, item_words binary").distinct()
@@ -237,11 +255,8 @@ def find_contamination(
             f"id {kind}, doc long, th long, item long, start int, n_aligned int, n_equal int, item_words int",
         )
     )
-    best = runs.groupBy("doc", "th", "item").agg(
-        F.max_by(F.struct("id", "start", "n_aligned", "n_equal", "item_words"), F.struct("n_equal", -F.col("n_aligned"), -F.col("start"))).alias("b")
-    )
-    return best.join(items.select(F.col("nth").alias("item"), F.col("item").alias("item_id")), "item").select(
-        F.col("b.id").alias(id_col), "doc", "th", "item_id", "b.start", "b.n_aligned", "b.n_equal", "b.item_words"
+    return runs.join(items.select(F.col("nth").alias("item"), F.col("item").alias("item_id")), "item").select(
+        F.col("id").alias(id_col), "doc", "th", "item_id", "start", "n_aligned", "n_equal", "item_words"
     )
 
 

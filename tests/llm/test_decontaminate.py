@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from tablewright.llm.decontaminate import MASKS, SHORT, SHORT_MASKS, best_overlap, decontaminate, find_contamination, plain_word, widest_overlap
+from tablewright.llm.decontaminate import MASKS, SHORT, SHORT_MASKS, best_of_shifts, best_overlap, decontaminate, find_contamination, plain_word, widest_overlap
 import numpy as np
 
 
@@ -79,6 +79,30 @@ def test_a_quarter_substituted_in_any_places(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(k, k) for k in range(120)}
 
 
+def test_texts_that_repeat_one_word(spark):
+    docs = [(1, "so " * 20_000), (2, "so " * 11), (3, "well " + "so " * 40 + "then " * 40), (4, "la la " * 9_000 + "lo")]
+    items = [(1, "so " * 30), (2, "la " * 20 + "lo")]
+    found = find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    rows = {(r["doc_id"], r["item_id"]): (r["start"], r["n_aligned"], r["n_equal"]) for r in found.collect()}
+    assert rows == {(1, 1): (0, 30, 30), (3, 1): (1, 30, 30), (4, 2): (17_980, 21, 21)}
+
+
+def test_best_of_all_shifts():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        a, b = (rng.integers(0, int(rng.integers(1, 4)), rng.integers(1, 40)).astype(np.uint64) for _ in range(2))
+        shifts = rng.permutation(np.arange(-len(b) + 1, len(a)))
+        runs = []
+        for shift in shifts.tolist():
+            for overlap in (best_overlap, widest_overlap):
+                start, aligned, equal = overlap(a, b, shift)
+                if aligned and equal >= min(12, 0.8 * len(b)) and equal >= 0.75 * aligned:
+                    runs.append((equal, -aligned, -start))
+                    break
+        found = best_of_shifts(a, b, shifts, 12, 0.8)
+        assert found == ((-max(runs)[2], -max(runs)[1], max(runs)[0]) if runs else None)
+
+
 def test_best_run():
     a = np.array([9, 9, 1, 2, 3, 9, 5, 6, 9], np.uint64)
     b = np.array([1, 2, 3, 4, 5, 6], np.uint64)
