@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import connected_components
 from .filters import hash_filter, may_hold
+from .similar_pairs import BLOCK, compare_components
 from .tokens import LOWER, Rolling, WordHashes, list_array, order_id, signed, text_hash, texts_of
 
 #: The table of shingle frequencies has this many bits of places: 4 MB in a task, whatever the input.
@@ -172,8 +174,62 @@ def _verified_rows(shingle: int, percent: int):
     return rows
 
 
-def _members(df: DataFrame, percent: int, shingle: int, id_col: str, text_col: str, rounds: int) -> DataFrame:
-    """(doc, th, n, class_doc, first): `first` is the (doc, th) that comes first in the component."""
+def _set_and_prefix(shingle: int, percent: int, table):
+    def make():
+        shingles, frequency = Shingles(shingle), table.value
+
+        def of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+            own = shingles.of(text)
+            return own, own[np.argsort(frequency[_places(own)], kind="stable")][: prefix_length(len(own), percent)]
+
+        return of
+
+    return make
+
+
+def _fewest(n: np.ndarray) -> np.ndarray:
+    return 1 + np.minimum(3, n // 50)  # common_grams
+
+
+@dataclass
+class Joined:
+    """Texts (doc, th, text), sets of rows, classes of equal sets and the component (`label`) of each class."""
+
+    texts: DataFrame
+    sets: DataFrame
+    classes: DataFrame
+    labels: DataFrame
+    alone: Column
+    compared: dict
+
+    def links(self, as_pairs: bool, block: int = BLOCK) -> DataFrame:
+        """Links between classes: pairs (low, high), or counts by class."""
+        members = self.classes.where("n > 0").select("cls", "doc", "th", "n", "copies").join(self.labels, "cls")
+        return compare_components(self.texts, members, as_pairs=as_pairs, block=block, **self.compared)
+
+    def rows(self, counts: DataFrame | None = None) -> DataFrame:
+        """(doc, th, n, class_doc, first, n_links) for each row: `first` is the (doc, th) that comes first in the component."""
+        classes = self.classes.join(self.labels, "cls")
+        if counts is None:
+            classes = classes.withColumn("n_rows", F.lit(None).cast("long"))
+        else:
+            classes = classes.join(counts.select("cls", "n_rows"), "cls", "left")
+        # written, so the join below can split a component that holds many rows
+        firsts = cut_lineage(classes.groupBy("label").agg(F.min(F.struct("doc", "th")).alias("first")))
+        others = F.when(F.col("n") > 0, F.col("copies") - 1 + F.coalesce("n_rows", F.lit(0))).otherwise(0)
+        named = cut_lineage(
+            classes.join(firsts, "label").select(
+                "n", "sig", "sig2", self.alone.alias("alone"), F.col("doc").alias("class_doc"), "first", others.alias("n_links")
+            )
+        )
+        rows = self.sets.select("doc", "th", "n", "sig", "sig2", self.alone.alias("alone"))
+        same = [rows[c].eqNullSafe(named[c]) for c in ("n", "sig", "sig2", "alone")]
+        return rows.join(named, same[0] & same[1] & same[2] & same[3]).select(
+            rows["doc"], rows["th"], rows["n"], "class_doc", "first", "n_links"
+        )
+
+
+def _joined(df: DataFrame, percent: int, shingle: int, id_col: str, text_col: str, rounds: int) -> Joined:
     spark = df.sparkSession
     texts = df.select(order_id(id_col).alias("doc"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
     table = spark.sparkContext.broadcast(shingle_frequencies(texts, shingle))
@@ -182,8 +238,8 @@ def _members(df: DataFrame, percent: int, shingle: int, id_col: str, text_col: s
     # classes of equal sets, numbered like their first row; a document without shingles is a class of its own
     alone = F.when(F.col("n") == 0, F.struct("doc", "th"))
     classes = cut_lineage(
-        sets.groupBy("n", "sig", "sig2", alone.alias("alone")).agg(F.min(F.struct("doc", "th", "cls")).alias("f"))
-        .select("f.cls", "n", "sig", "sig2", "f.doc", "f.th")
+        sets.groupBy("n", "sig", "sig2", alone.alias("alone")).agg(F.min(F.struct("doc", "th", "cls")).alias("f"), F.count("*").alias("copies"))
+        .select("f.cls", "n", "sig", "sig2", "f.doc", "f.th", "copies")
     )
     grams = F.lit(1) + F.least(F.lit(3), F.floor(F.col("n") / 50))  # common_grams
     postings = (
@@ -262,20 +318,13 @@ def _members(df: DataFrame, percent: int, shingle: int, id_col: str, text_col: s
             continue
         links = cut_lineage(links.union(verified(pairs)))
         labels = connected_components(links, classes.select("cls"))
-    # written, so the join below can split a component that holds many rows
-    firsts = cut_lineage(
-        classes.join(labels, "cls").groupBy("label").agg(F.min(F.struct("doc", "th")).alias("first"))
-    )
-    named = cut_lineage(
-        classes.join(labels, "cls").join(firsts, "label").select("n", "sig", "sig2", alone.alias("alone"), F.col("doc").alias("class_doc"), "first")
-    )
-    rows = sets.select("doc", "th", "n", "sig", "sig2", alone.alias("alone"))
-    same = [rows[c].eqNullSafe(named[c]) for c in ("n", "sig", "sig2", "alone")]
-    return rows.join(named, same[0] & same[1] & same[2] & same[3]).select(rows["doc"], rows["th"], rows["n"], "class_doc", "first")
+    compared = {"make": _set_and_prefix(shingle, percent, table), "percent": percent, "fewest": _fewest}
+    return Joined(texts, sets, classes, labels, alone, compared)
 
 
-def _shown(column: str, kind: str):
-    return F.when(F.col(column) != 2**63 - 1, F.col(column)).cast(kind)
+def _shown(column: str | Column, kind: str):
+    value = F.col(column) if isinstance(column, str) else column
+    return F.when(value != 2**63 - 1, value).cast(kind)
 
 
 def jaccard_join(
@@ -294,30 +343,50 @@ def jaccard_join(
     filter, which splits both sets in halves, bound in how many shingles they differ, and what passes is
     verified once on the texts.
 
-    The result needs components, not all links of a group of copies. So `rounds` times each posting list
+    Components are found first, for which few links of a group are enough. So `rounds` times each posting list
     proposes only pairs with one of its classes, first that with the fewest shingles of its own, which is close to
     most others; links join components. In the last round every remaining pair is proposed whose classes
     lie in different components, which makes the components exact: lists whose classes are all in one
     component propose nothing.
 
+    Links are counted last: they lie within components, so the classes of each component are compared in blocks (`similar_pairs`), by
+    sizes, prefixes and then whole sets, each pair once; tasks add up and no pairs are shuffled. `jaccard_links` returns the pairs.
+
     One row for each row of `df`: id, n_shingles, class_id (smallest id with an equal set), component_id
-    (smallest id that links reach, itself included). A missing id counts as larger than any other and shows as missing; other
+    (smallest id that links reach, itself included), n_links (other rows with a similar or equal set). A missing id counts as larger than any other and shows as missing; other
     columns are not read. Shingles are compared by 64-bit hashes.
     """
     kind = dict(df.dtypes)[id_col]
-    return _members(df, percent, shingle, id_col, text_col, rounds).select(
+    joined = _joined(df, percent, shingle, id_col, text_col, rounds)
+    return joined.rows(joined.links(as_pairs=False)).select(
         _shown("doc", kind).alias(id_col), F.col("n").cast("long").alias("n_shingles"),
-        _shown("class_doc", kind).alias("class_id"), _shown("first.doc", kind).alias("component_id"),
+        _shown("class_doc", kind).alias("class_id"), _shown("first.doc", kind).alias("component_id"), "n_links",
     )
 
 
+def jaccard_links(
+    df: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1
+) -> DataFrame:
+    """(low_class, high_class): all links between classes of different sets, each once, by the ids that `jaccard_join` shows as class_id.
+
+    Rows of one class are linked with each other and with the rows of linked classes. Classes of different sets that share their
+    smallest id show it alike. A missing id counts as larger than any other.
+    """
+    kind = dict(df.dtypes)[id_col]
+    joined = _joined(df, percent, shingle, id_col, text_col, rounds)
+    name = joined.classes.select("cls", "doc")
+    ends = joined.links(as_pairs=True).join(name.toDF("low", "a"), "low").join(name.toDF("high", "b"), "high")
+    return ends.select(_shown(F.least("a", "b"), kind).alias("low_class"), _shown(F.greatest("a", "b"), kind).alias("high_class"))
+
+
 def keep_one_of_each(df: DataFrame, percent: int = 80, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
     """The rows of `df` without near copies: of each component of `jaccard_join` the row with the smallest id.
 
     Texts without words are copies of nothing but of rows equal in id and text. Columns as in `df`.
     """
     kept = (
-        _members(df, percent, shingle, id_col, text_col, rounds)
+        _joined(df, percent, shingle, id_col, text_col, rounds)
+        .rows()
         .where(F.struct("doc", "th") == F.col("first"))
         .select(F.col("doc").alias("__doc"), F.col("th").alias("__th"))
         .distinct()

@@ -23,7 +23,8 @@ link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM post a JOIN post b ON a.g = b.
 reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
 part AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
 class AS (SELECT s, min(doc_id) AS class_id FROM sets WHERE len(s) > 0 GROUP BY s)
-SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, component_id, coalesce(class_id, doc_id) AS class_id
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, component_id, coalesce(class_id, doc_id) AS class_id,
+(SELECT count(*) FROM link WHERE link.a = sets.doc_id)::BIGINT AS n_links
 FROM sets JOIN part USING (doc_id) LEFT JOIN class ON sets.s = class.s"""
 
 OP3 = f"""WITH d AS (SELECT doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text, {WORDS} AS ws FROM documents),

@@ -36,7 +36,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(_documents(spark, sf_dir), percent=90, shingle=3).select("doc_id", "n_shingles", "component_id", "class_id")
+    return jaccard_join(_documents(spark, sf_dir), percent=90, shingle=3).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

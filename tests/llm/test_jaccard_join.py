@@ -6,22 +6,33 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tablewright.llm.components import connected_components
-from tablewright.llm.jaccard_join import common_grams, jaccard_join, keep_one_of_each, prefix_length, suffix_filter
+from pyspark.sql import functions as F
+
+from tablewright.llm.jaccard_join import _joined, common_grams, jaccard_join, jaccard_links, keep_one_of_each, prefix_length, suffix_filter
 
 LAST = 2**63 - 1
 
 
-def brute(corpus, percent, n):
+def shingle_sets(corpus, n):
     lower = {c: c + 32 for c in range(65, 91)}
     sets = []
     for i, t, *_ in corpus:
         w = (t or "").translate(lower).encode().split()
         sets.append((LAST if i is None else i, frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))) if w else frozenset()))
+    return sets
+
+
+def linked(x, y, percent):
+    return x and y and 100 * len(x & y) >= percent * len(x | y)
+
+
+def brute(corpus, percent, n):
+    sets = shingle_sets(corpus, n)
     group = list(range(len(sets)))
     for a, (_, x) in enumerate(sets):
         for b, (_, y) in enumerate(sets[:a]):
             same_row = not x and not y and sets[a][0] == sets[b][0] and (corpus[a][1] or "") == (corpus[b][1] or "")
-            if same_row or (x and y and 100 * len(x & y) >= percent * len(x | y)):
+            if same_row or linked(x, y, percent):
                 old, new = group[a], group[b]
                 group = [new if g == old else g for g in group]
     low = {}
@@ -37,6 +48,35 @@ def test_components(documents, corpus, percent, shingle, rounds):
     assert Counter(tuple(r) for r in found) == brute(corpus, percent, shingle)
 
 
+@pytest.mark.parametrize(("percent", "shingle", "block"), [(90, 3, None), (80, 5, 700), (60, 2, 150), (100, 3, 1)])
+def test_every_link_is_counted(documents, corpus, percent, shingle, block):
+    sets = shingle_sets(corpus, shingle)
+    expected = Counter(
+        (None if i == LAST else i, len(x), sum(bool(linked(x, y, percent)) for b, (_, y) in enumerate(sets) if a != b)) for a, (i, x) in enumerate(sets)
+    )
+    if block is None:
+        found = jaccard_join(documents, percent, shingle)
+    else:  # components are cut into many blocks
+        joined = _joined(documents, percent, shingle, "doc_id", "text", 1)
+        found = joined.rows(joined.links(as_pairs=False, block=block)).select(
+            F.expr(f"nullif(doc, {LAST})").alias("doc_id"), F.col("n").alias("n_shingles"), "n_links"
+        )
+    assert Counter(tuple(r) for r in found.select("doc_id", "n_shingles", "n_links").collect()) == expected
+    assert max(n for _, _, n in expected) > 1
+
+
+def test_links_of_classes(documents, corpus, nothing):
+    low = {}
+    for i, x in shingle_sets(corpus, 5):
+        low[x] = min(i, low.get(x, i))
+    expected = Counter(
+        tuple(sorted((i, j))) for x, i in low.items() for y, j in low.items() if x != y and (i, sorted(x)) < (j, sorted(y)) and linked(x, y, 60)
+    )
+    found = jaccard_links(documents, 60)
+    assert Counter((a, LAST if b is None else b) for a, b in found.collect()) == expected and expected
+    assert jaccard_links(nothing).count() == 0
+
+
 def test_one_row_of_each_component_stays(documents, corpus):
     kept = keep_one_of_each(documents)
     assert kept.columns == documents.columns
