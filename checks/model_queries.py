@@ -335,6 +335,64 @@ def permutation_importance(spark, sf_dir):
     return explanation.permutation_importance(experiment, line)
 
 
+# a line through two features, so SQL can fit it, repeat the shuffles and split the predictions
+SLOPES = Relation(
+    "orders", [],
+    {
+        "row": ("o_orderkey", "i"), "price": ("o_totalprice", "d"), "customer": ("o_custkey", "d"),
+        "label": ("2 * o_totalprice + 50 * o_custkey + 1000 * (o_orderkey % 97)", "d"),
+    },
+)
+SLOPES_FIT = f"""WITH d AS (SELECT * FROM {SLOPES.sql}),
+m AS (SELECT count(*) AS n, avg(price) AS mp, avg(customer) AS mc, avg(label) AS ml, var_pop(price) AS pp, var_pop(customer) AS cc,
+  covar_pop(price, customer) AS pc, covar_pop(price, label) AS pl, covar_pop(customer, label) AS cl FROM d),
+line AS (SELECT *, (pl * cc - cl * pc) / (pp * cc - pc * pc) AS bp, (cl * pp - pl * pc) / (pp * cc - pc * pc) AS bc FROM m)"""
+
+
+def slopes(spark, sf_dir):
+    plan = modelling.Plan("label", "regression", ["price", "customer"], [], [], "rmse", [])
+    frame = SLOPES.read(spark, sf_dir)
+    experiment = modelling.Experiment(plan, frame, [], set(), 5, None)
+    return experiment, explanation.refit(experiment, "linear_regression")
+
+
+@query(
+    "line_importance",
+    SLOPES_FIT + """, drawn AS (SELECT d.*, repeat, md5('42|' || repeat || '|' || row) AS draw FROM d, (SELECT unnest(range(5)) AS repeat)),
+dealt AS (SELECT drawn.*, ('0x' || substr(draw, 1, 8))::BIGINT % greatest(1, ceil(n / 100000.0)::BIGINT) AS bucket FROM drawn, line),
+donor AS (SELECT *, coalesce(lead(price) OVER w, first_value(price) OVER w) AS other_price,
+  coalesce(lead(customer) OVER w, first_value(customer) OVER w) AS other_customer FROM dealt WINDOW w AS (PARTITION BY repeat, bucket ORDER BY draw, row)),
+base AS (SELECT sqrt(avg(pow(label - ml - bp * (price - mp) - bc * (customer - mc), 2))) AS rmse FROM d, line),
+moved AS (SELECT repeat, sqrt(avg(pow(label - ml - bp * (other_price - mp) - bc * (customer - mc), 2))) AS price,
+  sqrt(avg(pow(label - ml - bp * (price - mp) - bc * (other_customer - mc), 2))) AS customer FROM donor, line GROUP BY repeat),
+rise AS (SELECT 'price' AS feature, price - rmse AS x FROM moved, base UNION ALL SELECT 'customer', customer - rmse FROM moved, base),
+i AS (SELECT feature, avg(x) AS importance, stddev_pop(x) AS std FROM rise GROUP BY feature)
+SELECT feature, round(importance, 3) AS importance, round(std, 3) AS std,
+round(greatest(importance, 0) / (SELECT sum(greatest(importance, 0)) FROM i), 6) AS share FROM i""",
+)
+def line_importance(spark, sf_dir):
+    found = explanation.permutation_importance(*slopes(spark, sf_dir))
+    return found.select(
+        "feature", F.round("importance", 3).alias("importance"), F.round("std", 3).alias("std"), F.round("share", 6).alias("share")
+    )
+
+
+@query(
+    "line_contributions",
+    SLOPES_FIT + """, c AS (SELECT row, 'price' AS feature, bp * (price - mp) AS x, ml + bp * (price - mp) + bc * (customer - mc) AS prediction, ml FROM d, line
+UNION ALL SELECT row, 'customer', bc * (customer - mc), ml + bp * (price - mp) + bc * (customer - mc), ml FROM d, line)
+SELECT feature, (row % 7)::INT AS part, count(*) AS n, round(avg(x), 3) AS contribution, round(avg(abs(x)), 3) AS size,
+round(avg(prediction), 3) AS prediction, round(avg(ml), 3) AS baseline FROM c GROUP BY 1, 2""",
+)
+def line_contributions(spark, sf_dir):
+    found = explanation.linear_contributions(*slopes(spark, sf_dir))
+    return found.groupBy("feature", (F.col("row") % 7).cast("int").alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("contribution"), 3).alias("contribution"),
+        F.round(F.avg(F.abs("contribution")), 3).alias("size"), F.round(F.avg("prediction"), 3).alias("prediction"),
+        F.round(F.avg("baseline"), 3).alias("baseline"),
+    )
+
+
 @query(
     "shuffled_column",
     """SELECT repeat, count(*) AS n, sum(l_quantity) AS total, sum(pow(l_quantity, 2)) AS squares, 0 AS unmoved_if_few

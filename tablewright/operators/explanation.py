@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import OneHotEncoderModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col
 from ..session import cut_lineage
 from .frequency import leading_values, spell_out, value_counts
-from .modelling import Experiment, FittedModel, Plan, class_scores, fit_model, regression_scores
+from .modelling import Experiment, FittedModel, Plan, class_scores, filled, fit_model, regression_scores
 from .ordering import exact_quantiles, hash_sample
 
 # Rows per bucket of a shuffle: a bucket is one window partition.
@@ -36,12 +39,13 @@ def shuffled_donors(frame: DataFrame, features: list[str], n_rows: int, repeats:
 
     Each repeat deals the rows into random buckets and lines them up in random order inside
     their bucket; a row receives the values of the next one, the last those of the first. Every
-    value is used exactly once per repeat, and no task sorts more than a bucket.
+    value is used exactly once per repeat, and no task sorts more than a bucket. The order is the MD5 of seed, repeat and row
+    number as text, its first eight digits choose the bucket: any engine can repeat the shuffle.
     """
     buckets = max(1, math.ceil(n_rows / SHUFFLE_BUCKET_ROWS))
     repeated = frame.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    dealt = repeated.withColumn("__draw", F.xxhash64("row", "repeat", F.lit(seed))).withColumn(
-        "__bucket", F.pmod(F.xxhash64("row", "repeat", F.lit(seed + 1)), F.lit(buckets))
+    dealt = repeated.withColumn("__draw", F.md5(F.concat_ws("|", F.lit(str(seed)), "repeat", "row"))).withColumn(
+        "__bucket", F.conv(F.substring("__draw", 1, 8), 16, 10).cast("long") % buckets
     )
     line = Window.partitionBy("repeat", "__bucket").orderBy("__draw", "row")
     values = F.struct(*[col(c) for c in features])
@@ -221,6 +225,58 @@ def shapley_contributions(
     )
 
 
+def feature_places(fitted: FittedModel) -> dict[str, tuple[int, int]]:
+    """First place and number of places of each feature in the vectors that a model sees."""
+    places: dict[str, tuple[int, int]] = {}
+    at = 0
+    for stage in fitted.stages.stages:
+        if isinstance(stage, OneHotEncoderModel):
+            # the bucket of unseen labels has no place
+            widths = zip(fitted.plan.categorical, (n - 1 for n in stage.categorySizes))
+        elif isinstance(stage, VectorAssembler) and stage.getOutputCol() == "__numbers":
+            widths = ((c, 1) for c in stage.getInputCols())
+        else:
+            continue
+        for feature, width in widths:
+            places[feature] = (at, width)
+            at += width
+    return places
+
+
+def linear_contributions(experiment: Experiment, fitted: FittedModel, rows: DataFrame | None = None) -> DataFrame:
+    """(row, feature, value, contribution, prediction, baseline) of a linear regression, exact.
+
+    In a sum of terms the Shapley value of a feature is its term less the term's mean over the reference
+    rows, whatever the order of the features. All rows are the reference here, so nothing is sampled: one aggregate finds the means
+    and one pass the contributions. A feature that the model left out contributes nothing.
+    """
+    model = fitted.stages.stages[-1]
+    if not isinstance(model, LinearRegressionModel):
+        raise ValueError("only a linear regression is a sum of one term for each feature")
+    features, weights, places = experiment.plan.features, model.coefficients.toArray().tolist(), feature_places(fitted)
+    rows = experiment.frame if rows is None else rows
+
+    def term(feature: str) -> Column:
+        at, width = places.get(feature, (0, 0))
+        own = F.zip_with(F.slice("__vector", at + 1, width), F.lit(weights[at : at + width]).cast("array<double>"), lambda x, w: x * w)
+        return F.aggregate(own, F.lit(0.0), lambda total, x: total + x)
+
+    def with_terms(frame: DataFrame) -> DataFrame:
+        seen = fitted.stages.transform(filled(frame.withColumn("__given", F.array(*[col(c).cast("string") for c in features])), fitted.plan, fitted.fills))
+        vectors = seen.select("row", "prediction", "__given", vector_to_array(F.col("features")).alias("__vector"))
+        return vectors.select("row", "prediction", "__given", *[term(c).alias(f"t{i}") for i, c in enumerate(features)])
+
+    means = with_terms(experiment.frame).agg(*[F.avg(f"t{i}").alias(f"m{i}") for i in range(len(features))]).first()
+    listed = F.array(
+        *[
+            F.struct(F.lit(c).alias("feature"), F.col("__given")[i].alias("value"), (F.col(f"t{i}") - F.lit(means[i])).alias("contribution"))
+            for i, c in enumerate(features)
+        ]
+    )
+    baseline = F.lit(float(model.intercept + sum(means)))
+    return with_terms(rows).select("row", F.inline(listed), "prediction", baseline.alias("baseline"))
+
+
 def described(contributions: DataFrame) -> DataFrame:
     """Direction of each contribution and its place within its row, largest first."""
     order = Window.partitionBy("row").orderBy(F.desc(F.abs("contribution")), "feature")

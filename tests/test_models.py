@@ -7,6 +7,7 @@ from tablewright.operators import explanation, modelling
 from tablewright.operators.modelling import Settings, run_experiment
 from tablewright.operators.ordering import positions_within
 from tablewright.operators.profile import Profile
+from tablewright.session import cut_lineage
 
 SMALL = Settings(max_depth=5, n_trees=10, boosting_rounds=5)
 
@@ -189,6 +190,52 @@ def test_shapley_adds_up(experiment, explained):
         assert 0 <= own[0]["prediction"] <= 1
 
 
+@pytest.fixture(scope="module")
+def sprouting_heat(classified):
+    """A regression with a gap and a column of labels."""
+    plan = modelling.Plan("warmth", "regression", ["depth"], ["tray", "fate"], [], "rmse", [])
+    frame = cut_lineage(modelling.model_frame(classified, plan))
+    experiment = modelling.Experiment(plan, frame, [], {"depth", "tray"}, 5, None)
+    return experiment, explanation.refit(experiment, "linear_regression")
+
+
+def test_linear_contributions_equal_the_mean_over_all_references(sprouting_heat):
+    experiment, line = sprouting_heat
+    rows = explanation.example_rows(experiment, 3)
+    found = {(r["row"], r["feature"]): r for r in explanation.linear_contributions(experiment, line, rows).collect()}
+    assert len(found) == 3 * 3
+    reference = experiment.frame.select(*[F.col(c).alias(f"r_{c}") for c in experiment.plan.features])
+    paired = rows.crossJoin(reference)
+    base = line.predict(experiment.frame).agg(F.avg("prediction")).first()[0]
+    for feature in experiment.plan.features:
+        swapped = paired.select("row", "label", *[F.col(c if c == feature else f"r_{c}").alias(c) for c in experiment.plan.features])
+        for r in line.predict(swapped).groupBy("row").agg(F.avg("prediction").alias("mean")).collect():
+            own = found[r["row"], feature]
+            assert own["contribution"] == pytest.approx(r["mean"] - base, abs=1e-9)
+            assert own["baseline"] == pytest.approx(base, abs=1e-9)
+    for row in {k[0] for k in found}:
+        own = [r for (k, _), r in found.items() if k == row]
+        assert sum(r["contribution"] for r in own) == pytest.approx(own[0]["prediction"] - own[0]["baseline"], abs=1e-9)
+
+
+def test_sampled_contributions_come_close_to_the_exact_ones(sprouting_heat):
+    experiment, line = sprouting_heat
+    rows = cut_lineage(explanation.example_rows(experiment, 4))
+    exact = {(r["row"], r["feature"]): r["contribution"] for r in explanation.linear_contributions(experiment, line, rows).collect()}
+    spread = {}
+    for r in explanation.linear_contributions(experiment, line).collect():
+        spread.setdefault(r["feature"], []).append(r["contribution"])
+    n = 200
+    for r in explanation.shapley_contributions(experiment, line, rows, n_samples=n, n_background=270).collect():
+        # five standard errors of a mean over drawn references
+        assert abs(r["contribution"] - exact[r["row"], r["feature"]]) <= 5 * np.std(spread[r["feature"]]) / n**0.5 + 1e-9
+
+
+def test_trees_are_no_sum_of_terms(experiment, explained):
+    with pytest.raises(ValueError):
+        explanation.linear_contributions(experiment, explained)
+
+
 def test_from_target_to_explanation_in_one_call(experiment, classified):
     from tablewright.plans.analyses import dataset_scorecard, explain_target
 
