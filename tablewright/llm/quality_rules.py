@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -103,14 +104,16 @@ def quality_rules(
     min_words: int = 20,
     most_repeated: float = 0.3,
     most_documents: int = 10,
+    most_of_host: float = 0.0,
     most_removed: float = 0.5,
 ) -> DataFrame:
     """One row for each row of `df`: its counts, the lines to remove and the verdict `kept`.
 
     Lines are normalised (case, digits, blanks) and hashed. For each host and line the documents
     with different texts that hold it are counted, so copies of a document count once; counts are
-    formed before and after a shuffle by line and text. A line is above the limit if more than `most_documents` of
-    them hold it, whatever the size of the host: a count that acts alike at every size. It is removed from all of
+    formed before and after a shuffle by line and text. A line is above the limits if more than `most_documents`
+    documents of the host and more than the share `most_of_host` of them hold it; without a share the count acts
+    alike at every size of host. It is removed from all of
     them but the one with the smallest id. A document is depleted, and rejected, if more than the share `most_removed` of its
     words goes or fewer than `min_words` stay. `base_failed`: fewer than `min_words` words, or more than
     the share `most_repeated` in windows of eight words found twice in the text.
@@ -132,8 +135,12 @@ def quality_rules(
         lines.groupBy("host", F.col("line.hash").alias("hash"))
         .agg(F.countDistinct("digest").alias("n"), F.min("doc").alias("first"))
         .where(F.col("n") > most_documents)
-        .select("host", "hash", "first")
     )
+    if most_of_host:
+        hosts = facts.groupBy("host").agg(F.countDistinct("digest").alias("documents"))
+        # a decimal share, as SQL compares it
+        frequent = frequent.join(hosts, "host").where(F.col("n") > F.lit(Decimal(str(most_of_host))) * F.col("documents"))
+    frequent = frequent.select("host", "hash", "first")
     removed = (
         lines.select("host", "key", "doc", "line.hash", "line.words")
         .distinct()

@@ -76,6 +76,27 @@ def test_shared_lines_of_a_given_table_go(spark):
     assert kept == {r["doc_id"] for r in rows.where("not base_failed").collect()} - depleted
 
 
+def test_query_counts_the_documents_of_a_host(spark, tmp_path):
+    """A line goes if over 100 documents and a tenth of its host's hold it, as the SQL says."""
+    import duckdb
+
+    from tablewright.llm import oracles, queries
+
+    own = [" ".join(chr(97 + (k // 26**j) % 26) * (j + 1) for j in range(25)) for k in range(3200)]
+    rows = [(k, own[k] + ("\nheld by many here" if k % 1600 < 150 else ""), "large" if k < 1600 else "small") for k in range(2800)]
+    rows += [(k, own[k] + "\nheld by ninety", "little") for k in range(2800, 2890)]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    found = queries.op3_quality_rules(spark, folder)
+    lost = {r["source"]: r["n"] for r in found.where("n_removed_lines > 0").join(
+        spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source"), "doc_id").groupBy("source").count().withColumnRenamed("count", "n").collect()}
+    assert lost == {"small": 149}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    given = con.execute(f"SELECT {', '.join(found.columns)} FROM ({oracles.OP3})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(given)
+
+
 def test_rows_that_stay_are_not_joined(spark):
     """Untouched rows come through whole and as often as they are there."""
     rows = [(k, " ".join(chr(97 + k % 26) * (k // 26 + 1) + chr(97 + j) for j in range(26)), "a") for k in range(40)] * 2 + [(99, None, None)]
