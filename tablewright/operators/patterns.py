@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import col, present, strength
 from ..session import cut_lineage, spread
 from .frequency import union_all
-from .ordering import average_ranks
+from .ordering import in_passes, running_totals
 from .profile import GROUP_TYPES, NUMERIC_TYPES, Profile, profile_of
 
 Pair = tuple[str, str]
@@ -50,17 +50,24 @@ def _moment_rows(columns: list[str], centres: list[float], wanted: list[tuple[in
     return rows
 
 
-def _correlate(df: DataFrame, pairs: list[tuple[str, str, str, str]], out: str) -> DataFrame:
-    """(pair, col_a, col_b, n, out): `pairs` names the output columns and the two value columns.
+def _centres(df: DataFrame, columns: list[str]) -> list[float]:
+    """The mean of each column, or the one value of a column without spread, which is then exactly zero around it."""
+    found = in_passes(df, [F.struct(F.min(c), F.max(c), F.avg(c)) for c in (col(c).cast("double") for c in columns)])
+    middle = [low if low == high else mean for low, high, mean in found]
+    return [0.0 if v is None or not math.isfinite(v) else v for v in middle]
 
-    One pass for a middle value of each column, one for the sums of all pairs around those values, over the
+
+def _correlate(
+    df: DataFrame, pairs: list[tuple[str, str, str, str]], out: str, known_centres: dict[str, float] | None = None
+) -> DataFrame:
+    """(pair, col_a, col_b, n, out) for pairs of (name, name, column, column): Pearson of the columns.
+
+    One pass for a middle value of each column, unless it is known, and one for the sums of all pairs around those values, over the
     rows where both values of a pair are present. A task sends one row of six sums for each pair.
     """
     columns = list(dict.fromkeys(c for p in pairs for c in p[2:]))
     place = {c: i for i, c in enumerate(columns)}
-    # a value that the column holds, so that one without spread is exactly zero around it
-    found = df.agg(*[F.percentile_approx(col(c).cast("double"), 0.5, 100).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    centres = [0.0 if v is None or not math.isfinite(v) else v for v in found]
+    centres = _centres(df, columns) if known_centres is None else [known_centres[c] for c in columns]
     named = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     wanted = [(place[x], place[y]) for _, _, x, y in pairs]
     moments = named.mapInArrow(
@@ -81,9 +88,10 @@ def _correlate(df: DataFrame, pairs: list[tuple[str, str, str, str]], out: str)
     )
 
 
-# A rank table of up to this many distinct values is broadcast (16 bytes each), and so many of them in one job.
-FEW_VALUES = 50_000
+# A rank table of up to this many distinct values is broadcast (about 100 bytes each in memory); at most so many tables and values in a job.
+FEW_VALUES = 1_000_000
 TABLES_PER_JOB = 24
+VALUES_PER_JOB = 2_000_000
 
 EMPTY_PAIRS = "pair int, col_a string, col_b string, n bigint, {} double"
 
@@ -153,10 +161,9 @@ def spearman(
     A column is ranked through its value counts, so ties are never gathered. Ranks of columns
     with few distinct values (counted first) are broadcast. The other columns are unfolded
     into (row, column, value), get their ranks in one join by value and are folded back by
-    row. The row number is written down before that, as it must not change when a task runs
-    again. Columns without gaps are ranked once. Beside a partner with gaps a column is ranked over its
-    rows without those; partners with the same gaps share that ranking (`gap_views`), so a row has at most
-    one cell for each column and kind of gaps.
+    row. Columns without gaps are ranked once. Beside a partner with gaps a column is ranked over its
+    rows without those; partners with the same gaps share that ranking (`gap_views`). All rankings of a column
+    come from one count and one lookup of its values.
     """
     if not pairs:
         return df.sparkSession.createDataFrame([], EMPTY_PAIRS.format("spearman_r"))
@@ -168,45 +175,69 @@ def spearman(
 
     ranked, view_names = gap_views(pairs, rows_together(numbers, [c for c in used if c in columns_with_gaps]))
     views = [(a, b, x, y) for (a, b), (x, y) in zip(pairs, view_names)]
-    wide = cut_lineage(
-        spread(numbers).select(
-            F.monotonically_increasing_id().alias("row"),
-            *[
-                (col(c) if other is None else F.when(col(other).isNotNull(), col(c))).alias(name)
-                for (c, other), name in ranked.items()
-            ],
-        )
+    place = {c: f"b{i}" for i, c in enumerate(used)}
+    # the rankings of a column, each over the rows that one other column has (None: over all of its own)
+    kinds = [[other for c, other in ranked if c == own] for own in used]
+    others = list(dict.fromkeys(o for own in kinds for o in own if o is not None))
+    width = max(len(own) for own in kinds)
+    wide = spread(numbers).select(*[col(c).alias(place[c]) for c in used])
+
+    def unfolded(frame: DataFrame, keep: list[str], indexes: list[int]) -> DataFrame:
+        """(keep, column, value), without missing values; `column` is the place in `indexes`."""
+        return frame.select(*keep, F.posexplode(F.array(*[f"b{i}" for i in indexes])).alias("column", "value")).where(F.col("value").isNotNull())
+
+    every = list(range(len(used)))
+    present_at = F.array(F.lit(True), *[F.col(place[o]).isNotNull() for o in others])
+    cells = unfolded(wide.select("*", present_at.alias("there")), ["there"], every)
+
+    def counted(k: int) -> Column:
+        at = [0 if k < len(own) and own[k] is None else others.index(own[k]) + 1 if k < len(own) else None for own in kinds]
+        return F.count_if(F.get("there", F.get(F.lit(at).cast("array<int>"), F.col("column"))))
+
+    tallies = [f"n{k}" for k in range(width)]
+    counts = cells.groupBy("column", "value").agg(*[counted(k).alias(n) for k, n in enumerate(tallies)])
+    ranks = cut_lineage(
+        running_totals(counts, "column", "value", tallies)
+        .select("column", "value", *tallies, *[(F.col(f"before_{n}") + (F.col(n) + 1) / 2).alias(f"r{k}") for k, n in enumerate(tallies)])
     )
-    names = list(ranked.values())
-
-    def unfolded(indexes: list[int]) -> DataFrame:
-        cells = F.array(*[F.struct(F.lit(i).alias("column"), F.col(names[i]).alias("value")) for i in indexes])
-        return wide.select("row", F.inline(cells)).where(F.col("value").isNotNull())
-
-    every = list(range(len(names)))
-    counts = unfolded(every).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranks = cut_lineage(average_ranks(counts))
-    sizes = {r["column"]: r["count"] for r in ranks.groupBy("column").count().collect()}
-    few = [i for i in every if sizes.get(i, 0) <= FEW_VALUES]
+    sizes = {r["column"]: r for r in ranks.groupBy("column").agg(F.count(F.lit(1)).alias("size"), *[F.sum(n).alias(n) for n in tallies]).collect()}
+    n_values = {i: sizes[i]["size"] if i in sizes else 0 for i in every}
+    few = [i for i in every if n_values[i] <= FEW_VALUES]
     many = [i for i in every if i not in few]
-    frame = wide
-    for done, i in enumerate(few):
-        if done and done % TABLES_PER_JOB == 0:
-            frame = cut_lineage(frame)
-        table = ranks.where(F.col("column") == i).select(F.col("value").alias("__value"), F.col("rank").alias("__rank"))
-        frame = (
-            frame.join(F.broadcast(table), F.col(names[i]) == F.col("__value"), "left")
-            .withColumn(names[i], F.col("__rank")).drop("__value", "__rank")
-        )
+    frame, held, tables = wide, 0, 0
+    for i in few:
+        if tables and (tables == TABLES_PER_JOB or held + n_values[i] > VALUES_PER_JOB):
+            frame, held, tables = cut_lineage(frame), 0, 0
+        held, tables = held + n_values[i], tables + 1
+        own = [F.col(f"r{k}").alias(f"rank_{i}_{k}") for k in range(len(kinds[i]))]
+        table = ranks.where(F.col("column") == i).select(F.col("value").alias("__value"), *own)
+        frame = frame.join(F.broadcast(table), F.col(f"b{i}") == F.col("__value"), "left").drop("__value")
     if many:
+        # the row number must not change when a task runs again
+        frame = cut_lineage(frame.withColumn("row", F.monotonically_increasing_id()))
+        kept = [f"b{i}" for i in many if used[i] not in others]
         folded = (
-            unfolded(many)
+            unfolded(frame, ["row"], many)
+            .withColumn("column", F.get(F.lit(many), F.col("column")))
             .join(ranks, ["column", "value"])
             .groupBy("row")
-            .agg(*[F.max(F.when(F.col("column") == i, F.col("rank"))).alias(names[i]) for i in many])
+            .agg(
+                *[
+                    F.max(F.when(F.col("column") == i, F.col(f"r{k}"))).alias(f"rank_{i}_{k}")
+                    for i in many for k in range(len(kinds[i]))
+                ]
+            )
         )
-        frame = frame.drop(*[names[i] for i in many]).join(folded, "row", "left")
-    return _correlate(cut_lineage(frame.drop("row")), views, "spearman_r")
+        frame = frame.drop(*kept).join(folded, "row", "left")
+    looked_up, middles = [], {}
+    for (c, other), name in ranked.items():
+        i = used.index(c)
+        k = kinds[i].index(other)
+        rank = F.col(f"rank_{i}_{k}")
+        looked_up.append((rank if other is None else F.when(F.col(place[other]).isNotNull(), rank)).alias(name))
+        # average ranks of n values have the mean (n + 1) / 2, which is the only rank of a column without spread
+        middles[name] = ((sizes[i][f"n{k}"] if i in sizes else 0) + 1) / 2
+    return _correlate(frame.select(*looked_up), views, "spearman_r", middles)
 
 
 FINDING = {
@@ -326,13 +357,19 @@ def group_spread(df: DataFrame, measures: list[str], groups: list[str]) -> DataF
     )
 
 
+def groups_of(profile: Profile, max_levels: int = 20) -> list[str]:
+    """Label-like columns of few levels."""
+    return [g for g in profile.columns(*GROUP_TYPES) if profile.named(g)["n_unique"] <= max_levels]
+
+
 def group_difference_findings(
-    df: DataFrame, profile: Profile | None = None, min_score: float = 0.3, max_levels: int = 20
+    df: DataFrame, profile: Profile | None = None, min_score: float = 0.3, max_levels: int = 20, spreads: DataFrame | None = None
 ) -> DataFrame:
+    """Numbers that differ between groups; `spreads` is what `group_spread` found for these groups and perhaps others, if it is known."""
     profile = profile_of(df, profile)
     measures = profile.columns(*NUMERIC_TYPES)
-    groups = [g for g in profile.columns(*GROUP_TYPES) if profile.named(g)["n_unique"] <= max_levels]
-    spread = group_spread(df, measures, groups)
+    groups = groups_of(profile, max_levels)
+    spread = group_spread(df, measures, groups) if spreads is None else spreads.where(F.col("group_column").isin(groups))
     score = F.least(F.lit(1.0), F.round("spread", 4))
     return spread.where(score >= min_score).select(
         *_finding(
@@ -367,11 +404,13 @@ def dominant_findings(profile: DataFrame, dominance_pct: float = 90.0) -> DataFr
 
 
 def target_findings(
-    df: DataFrame, target: str, profile: Profile | None = None, min_score: float = 0.25, both: DataFrame | None = None
+    df: DataFrame, target: str, profile: Profile | None = None, min_score: float = 0.25, both: DataFrame | None = None,
+    spreads: DataFrame | None = None,
 ) -> DataFrame:
     """Features related to a target: by rank correlation, or by the spread over its classes.
 
-    `both` is what `correlations` found; it holds the rank correlations with the target too.
+    `both` is what `correlations` found; it holds the rank correlations with the target too. `spreads` is what
+    `group_spread` found for the target and perhaps other groups.
     """
     profile = profile_of(df, profile)
     row = profile.named(target)
@@ -395,7 +434,7 @@ def target_findings(
             )
         )
     if row["semantic_type"] in GROUP_TYPES:
-        spread = group_spread(df, numeric, [target])
+        spread = group_spread(df, numeric, [target]) if spreads is None else spreads.where(F.col("group_column") == target)
         score = F.least(F.lit(1.0), F.round("spread", 4))
         return spread.where(score >= min_score).select(
             *_finding(
@@ -407,18 +446,24 @@ def target_findings(
     return empty
 
 
-def findings(df: DataFrame, target: str | None = None, profile: Profile | None = None) -> DataFrame:
-    """Everything that stands out, strongest first."""
+def findings(
+    df: DataFrame, target: str | None = None, profile: Profile | None = None, both: DataFrame | None = None
+) -> DataFrame:
+    """Everything that stands out, strongest first; `both` is what `correlations` found, if it is known."""
     profile = profile_of(df, profile)
-    both = cut_lineage(correlations(df, profile))
+    both = cut_lineage(correlations(df, profile)) if both is None else both
+    groups = groups_of(profile)
+    if target in profile.columns(*GROUP_TYPES) and target not in groups:
+        groups.append(target)
+    spreads = cut_lineage(group_spread(df, profile.columns(*NUMERIC_TYPES), groups))
     parts = [
         correlation_findings(df, profile, both=both),
-        group_difference_findings(df, profile),
+        group_difference_findings(df, profile, spreads=spreads),
         skew_findings(profile.frame),
         dominant_findings(profile.frame),
     ]
     if target is not None:
-        parts.append(target_findings(df, target, profile, both=both))
+        parts.append(target_findings(df, target, profile, both=both, spreads=spreads))
     return ranked_findings(union_all(parts))
 
 

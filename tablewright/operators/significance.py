@@ -11,7 +11,7 @@ from ..functions.scalar import col, effect_label, present
 from ..functions.tails import tail_probability
 from ..session import cut_lineage
 from .frequency import union_all
-from .patterns import Pair, findings, group_means, pearson, spearman
+from .patterns import Pair, correlations, findings, group_means, pearson, spearman
 from .profile import GROUP_TYPES, NUMERIC_TYPES, Profile, profile_of
 
 MIN_PAIRS = 8
@@ -31,11 +31,20 @@ def _test(**values: Column) -> list[Column]:
     return [(values[k] if k in values else F.lit(None)).cast(t).alias(k) for k, t in TEST.items()]
 
 
-def correlation_tests(df: DataFrame, pairs: list[Pair]) -> DataFrame:
-    """Pearson test of column pairs; the rank coefficient rides along."""
+def correlation_tests(df: DataFrame, pairs: list[Pair], known: DataFrame | None = None) -> DataFrame:
+    """Pearson test of column pairs; the rank coefficient rides along.
+
+    `known` is what `correlations` found for these pairs and perhaps others, each pair once and in either order.
+    """
     if not pairs:
         return df.sparkSession.createDataFrame([], TEST_SCHEMA)
-    both = pearson(df, pairs).join(F.broadcast(spearman(df, pairs).select("pair", "spearman_r")), "pair")
+    if known is None:
+        both = pearson(df, pairs).join(F.broadcast(spearman(df, pairs).select("pair", "spearman_r")), "pair")
+    else:
+        wanted = df.sparkSession.createDataFrame(pairs, "col_a string, col_b string")
+        same = F.array_sort(F.array("col_a", "col_b"))
+        # one row for each pair
+        both = wanted.withColumn("same", same).join(F.broadcast(known.withColumn("same", same).drop("col_a", "col_b")), "same")
     enough = F.col("n") >= MIN_PAIRS
     r, dof = F.col("pearson_r"), F.col("n") - 2
     t = F.when(F.abs(r) >= 1, F.lit(float("inf"))).otherwise(
@@ -296,18 +305,22 @@ def significance_tests(
 ) -> DataFrame:
     """Test every finding, and every label-like column against a label-like target."""
     profile = profile_of(df, profile)
-    found = findings(df, target, profile) if found is None else found
+    known = None
+    if found is None:
+        # the coefficients that the findings come from are those of the tests
+        known = cut_lineage(correlations(df, profile))
+        found = findings(df, target, profile, known)
     plan = [(r["seq"], r["test_kind"], r["col_a"], r["col_b"]) for r in chosen_tests(found, profile.frame).collect()]
     last = max([p[0] for p in plan], default=0)
     extra = [(last + i + 1, "chi_square", a, b) for i, (a, b) in enumerate(target_pairs(profile, target))]
-    known = {(k, frozenset((a, b))) for _, k, a, b in plan}
-    plan += [p for p in extra if (p[1], frozenset(p[2:])) not in known]
+    planned = {(k, frozenset((a, b))) for _, k, a, b in plan}
+    plan += [p for p in extra if (p[1], frozenset(p[2:])) not in planned]
 
     def of(kind: str) -> list[Pair]:
         return [(a, b) for _, k, a, b in plan if k == kind]
 
     tests = union_all(
-        [correlation_tests(df, of("correlation")), group_tests(df, of("group_difference")), chi_square_tests(df, of("chi_square"))]
+        [correlation_tests(df, of("correlation"), known), group_tests(df, of("group_difference")), chi_square_tests(df, of("chi_square"))]
     )
     family = F.when(F.col("test_kind") == "pearson_correlation", "correlation").when(
         F.col("test_kind") == "chi_square", "chi_square"

@@ -116,3 +116,26 @@ def test_random_quantiles_agree_with_percentile(spark):
     expected = df.agg(F.percentile("x", F.array(*[F.lit(p) for p in wanted]))).first()[0]
     for gathered in (4_000, 50, 3):
         assert exact_quantiles(df, {"x": wanted}, gathered=gathered)["x"] == pytest.approx(expected, rel=1e-12)
+
+
+def test_quartiles_of_many_columns_take_few_jobs(spark, tables):
+    """Bounds of all columns and statistics are narrowed together: jobs do not grow with the columns."""
+    from tablewright.operators.ordering import exact_quantiles
+
+    df = tables("lineitem").selectExpr(*[f"l_extendedprice * {k + 1} + l_quantity AS c{k}" for k in range(6)])
+    spark.sparkContext.setJobGroup("few-jobs", "quartiles")
+    found = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in df.columns})
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")) <= 20
+    expected = df.selectExpr(*[f"percentile({c}, array(0.25, 0.5, 0.75)) AS {c}" for c in df.columns]).first()
+    assert all(found[c] == pytest.approx(expected[c], rel=1e-12) for c in df.columns)
+
+
+def test_quantiles_at_the_ends_of_the_number_range(spark):
+    from tablewright.operators.ordering import exact_quantiles
+
+    inf, most = float("inf"), 1.7976931348623157e308
+    for values in ([-inf, -most, 0.0, 5e-324, most, inf], [0.0, 5e-324], [most, inf], [None, float("nan"), 2.0]):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        there = sorted(v for v in values if v is not None and v == v)
+        assert exact_quantiles(df, {"x": [0.0, 1.0]}, gathered=5)["x"] == [there[0], there[-1]]
