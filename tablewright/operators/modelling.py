@@ -460,14 +460,15 @@ def together(spark: SparkSession, jobs: list[Callable], at_once: int) -> list:
 def prepared_folds(
     folded: DataFrame, plan: Plan, k: int, classes: list[str], columns_with_gaps: set[str], at_once: int = 4
 ) -> list[DataFrame]:
-    """The vectors of all rows for every held-out fold, written once for all models."""
+    """The vectors of all rows for every held-out fold, written once for all models and all folds with the same encoding."""
     encodings = fold_encodings(folded, plan, k, columns_with_gaps)
-    jobs = [lambda e=e: cut_lineage(encoded(folded, plan, classes, columns_with_gaps, e)) for e in encodings]
+    different = [e for i, e in enumerate(encodings) if e not in encodings[:i]]
+    jobs = [lambda e=e: cut_lineage(encoded(folded, plan, classes, columns_with_gaps, e)) for e in different]
     out = together(folded.sparkSession, jobs, at_once)
     for problem in out:
         if isinstance(problem, Exception):
             raise problem
-    return out
+    return [out[different.index(e)] for e in encodings]
 
 
 def fold_predictions(model: str, vectors: DataFrame, i: int, plan: Plan, classes: list[str], settings: Settings = Settings()) -> DataFrame:

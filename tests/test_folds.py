@@ -41,6 +41,13 @@ def test_vectors_know_only_labels_of_the_training_part(folded):
         assert sum(rows[4]["f"]) == (2 if seen else 0)  # its other label is in that fold alone, too
 
 
+def test_folds_with_one_encoding_share_their_vectors(folded):
+    """Vectors are written once for folds that learn the same fills and labels, and apart for the others."""
+    plan = Plan("y", "regression", ["b"], [], [], "rmse", [])
+    assert len({tuple(sorted(v.inputFiles())) for v in prepared_folds(folded, plan, 3, [], set())}) == 1
+    assert len({tuple(sorted(v.inputFiles())) for v in prepared_folds(folded, PLAN, 3, [], GAPS)}) > 1
+
+
 def test_running_totals(spark):
     counts = spark.createDataFrame([(g, v, v, 1) for g in "ab" for v in range(50)], "g string, v int, x int, y int")
     got = {(r["g"], r["v"]): (r["before_x"], r["before_y"]) for r in running_totals(counts, "g", "v", ["x", "y"]).collect()}
