@@ -231,6 +231,24 @@ def test_sampled_contributions_come_close_to_the_exact_ones(sprouting_heat):
         assert abs(r["contribution"] - exact[r["row"], r["feature"]]) <= 5 * np.std(spread[r["feature"]]) / n**0.5 + 1e-9
 
 
+def test_terms_give_what_the_walk_through_the_model_gives(sprouting_heat, monkeypatch):
+    """The short ways of a linear regression against scoring every changed row."""
+    experiment, line = sprouting_heat
+
+    def both():
+        steps = explanation.shapley_contributions(experiment, line, n_samples=7, n_background=20).collect()
+        drops = explanation.permutation_importance(experiment, line).collect()
+        return {(r["row"], r["feature"]): r for r in steps}, {r["feature"]: r for r in drops}
+
+    short = both()
+    monkeypatch.setattr(explanation, "is_linear", lambda fitted: False)
+    for ours, walked in zip(short, both()):
+        assert ours.keys() == walked.keys()
+        for k, r in walked.items():
+            for name, v in r.asDict().items():
+                assert ours[k][name] == (pytest.approx(v, abs=1e-8) if isinstance(v, float) else v)
+
+
 def test_trees_are_no_sum_of_terms(experiment, explained):
     with pytest.raises(ValueError):
         explanation.linear_contributions(experiment, explained)
