@@ -1,5 +1,7 @@
 """Statistics of all folds at once against one fold at a time."""
 
+import time
+
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -75,3 +77,29 @@ def test_a_table_is_trained_with_the_defaults(spark, tables):
     result = run_experiment(df, "o_totalprice", models=["linear_regression", "decision_tree"])
     assert not result.failures
     assert result.scores.groupBy("model", "metric").count().where("count <> 5").count() == 0
+
+
+def test_few_training_rows_are_not_dealt_to_all_cores(spark, folded):
+    vectors = prepared_folds(folded, PLAN, 3, [], GAPS)[0].repartition(6)
+    cores = spark.sparkContext.defaultParallelism
+    wide = modelling.dealt_for_fit(vectors, "random_forest", PLAN, 60, Settings(rows_per_task=1))
+    assert wide.count() == 60 and wide.rdd.getNumPartitions() == cores
+    one = modelling.dealt_for_fit(vectors, "random_forest", PLAN, 60, Settings())
+    labels = [[r["target"] for r in part] for part in one.rdd.glom().collect()]
+    assert labels == [[float(i) for i in range(60)]]
+
+
+def test_boosting_runs_before_the_long_tasks_of_other_models(spark):
+    log = []
+
+    def job(model, i):
+        log.append(("start", model))
+        time.sleep(0.2)
+        log.append(("end", model))
+        return model, i
+
+    keys = [(m, i) for m in ("random_forest", "gradient_boosting") for i in range(3)]
+    done = modelling.in_phases(spark, {key: lambda key=key: job(*key) for key in keys}, 2)
+    assert done == {key: key for key in keys}
+    assert [m for _, m in log] == ["gradient_boosting"] * 6 + ["random_forest"] * 6
+    assert [what for what, _ in log[:3]] == ["start"] * 3  # all folds of boosting at once
