@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tablewright.operators import explanation, modelling
 from tablewright.operators.profile import Profile
 from tablewright.plans.analyses import dataset_scorecard
+from tablewright.session import cut_lineage
 
 from .health_queries import GRADE_SQL, SCORE_SQL, issues_cte
 from .relations import EVENTS, LABELS, LINEITEM, MESSY, ORDERS, PLANTED, Relation, profile_cte, query
@@ -63,11 +64,11 @@ def data_warnings(spark, sf_dir):
 
 
 def quality_frame(spark, sf_dir):
-    """labels joined to what is known about the documents."""
+    """labels joined to what is known about the documents, written down once: the many scans of an experiment read no text again."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         "doc_id", "lang", "n_chars", (F.length("text") - F.length(F.regexp_replace("text", " ", ""))).alias("n_spaces")
     )
-    return LABELS.read(spark, sf_dir).join(documents, "doc_id").drop("doc_id")
+    return cut_lineage(LABELS.read(spark, sf_dir).join(documents, "doc_id").drop("doc_id"))
 
 
 def quality_experiment(spark, sf_dir) -> modelling.Experiment:
@@ -533,4 +534,5 @@ def scorecard(spark, sf_dir):
 
 @query("scorecard_with_model")
 def scorecard_with_model(spark, sf_dir):
-    return dataset_scorecard(quality_frame(spark, sf_dir), "quality", experiment=quality_experiment(spark, sf_dir))
+    frame = quality_frame(spark, sf_dir)
+    return dataset_scorecard(frame, "quality", experiment=modelling.run_experiment(frame, "quality"))

@@ -40,3 +40,14 @@ def test_contributions_are_drawn_as_often_as_by_default(spark, monkeypatch):
     with pytest.raises(Reached):
         REGISTRY["shapley_adds_up"][0](spark, "/root/testdata/sf0.001")
     assert calls == [{}]
+
+
+def test_the_quality_frame_reads_the_texts_once(spark):
+    folder = "/root/testdata/sf0.001"
+    frame = model_queries.quality_frame(spark, folder)
+    assert not [f for f in frame.inputFiles() if "documents" in f or "labels" in f]
+    labels, documents = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("labels", "documents"))
+    known = {r["doc_id"]: (r["lang"], r["n_chars"], r["text"].count(" ")) for r in documents.where("text IS NOT NULL").collect()}
+    wanted = [(r["quality"], r["toxic"], *known[r["doc_id"]]) for r in labels.collect() if r["doc_id"] in known]
+    got = [(r["quality"], r["toxic"], r["lang"], r["n_chars"], r["n_spaces"]) for r in frame.where("n_spaces IS NOT NULL").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, wanted))
