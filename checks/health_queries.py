@@ -100,8 +100,9 @@ def one_check(name: str, rel: Relation, order: int):
             elif order == 4:
                 found = health.cardinality_issues(p.frame)
             elif order == 5:
-                levels = health.level_summary(df, categories, p.n_rows)
-                found = health.rare_issues(levels, health.rare_examples(df, categories), p.frame)
+                counts = health.label_counts(df, categories)
+                levels = health.level_summary(df, categories, p.n_rows, counts=counts)
+                found = health.rare_issues(levels, health.rare_examples(df, categories, counts=counts), p.frame)
             elif order == 6:
                 found = health.imbalance_issues(p.frame)
             else:

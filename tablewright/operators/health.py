@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import col, group_key, normal_label, pct_of, present
+from ..functions.scalar import KEY_LENGTH, col, group_key, normal_label, pct_of, present
 from ..session import cut_lineage
 from .frequency import duplicate_rows, leading_values, spell_out, union_all, value_counts
 from .profile import Profile, profile_of
@@ -141,23 +141,37 @@ def cardinality_issues(profile: DataFrame, min_levels: int = 50) -> DataFrame:
 LEVELS_SCHEMA = "column string, raw_levels bigint, normal_levels bigint, n_rare bigint, n_small bigint"
 
 
-def level_summary(df: DataFrame, columns: list[str], n_rows: int, max_rare: int = 2, min_share: float = 0.02) -> DataFrame:
-    """Per categorical column: levels, levels after clean-up, rare levels, levels under a share of all rows.
+def label_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, raw, clean, n): rows of each label, written once, with the cleaned label beside it.
 
-    One scan and one shuffle count the labels, with the cleaned label beside each; both sides of the result read those
-    counts. Labels longer than the grouping key are cleaned before they are shortened.
+    One scan and one shuffle count the labels. A label is cleaned after it was counted, once and not in every row; only
+    labels longer than the grouping key are cleaned before, as they are shortened.
     """
-    if not columns:
-        return df.sparkSession.createDataFrame([], LEVELS_SCHEMA)
     text = df.select(*[present(df, c).cast("string").alias(c) for c in columns])
     cells = [
-        F.struct(F.lit(c).alias("column"), group_key(col(c)).alias("raw"), group_key(normal_label(col(c))).alias("clean"))
+        F.struct(
+            F.lit(c).alias("column"), group_key(col(c)).alias("raw"),
+            F.when(F.length(col(c)) > KEY_LENGTH, group_key(normal_label(col(c)))).alias("clean"),
+        )
         for c in columns
     ]
-    counts = cut_lineage(
+    counts = (
         text.select(F.inline(F.array(*cells))).where(F.col("raw").isNotNull())
         .groupBy("column", "raw", "clean").agg(F.count(F.lit(1)).alias("n"))
     )
+    return cut_lineage(counts.withColumn("clean", F.coalesce("clean", group_key(normal_label(F.col("raw"))))))
+
+
+def level_summary(
+    df: DataFrame, columns: list[str], n_rows: int, max_rare: int = 2, min_share: float = 0.02, counts: DataFrame | None = None
+) -> DataFrame:
+    """Per categorical column: levels, levels after clean-up, rare levels, levels under a share of all rows.
+
+    `counts` are the `label_counts` of these columns, if they are known; both sides of the result read them.
+    """
+    if not columns:
+        return df.sparkSession.createDataFrame([], LEVELS_SCHEMA)
+    counts = label_counts(df, columns) if counts is None else counts
     per_column = counts.groupBy("column").agg(
         F.count(F.lit(1)).alias("raw_levels"),
         F.count_if(F.col("n") <= max_rare).alias("n_rare"),
@@ -167,11 +181,12 @@ def level_summary(df: DataFrame, columns: list[str], n_rows: int, max_rare: int
     return per_column.join(F.broadcast(cleaned), "column").select("column", "raw_levels", "normal_levels", "n_rare", "n_small")
 
 
-def rare_examples(df: DataFrame, columns: list[str], max_rare: int = 2, k: int = 5) -> DataFrame:
-    """(column, examples): up to k rare levels per column, most frequent first."""
+def rare_examples(df: DataFrame, columns: list[str], max_rare: int = 2, k: int = 5, counts: DataFrame | None = None) -> DataFrame:
+    """(column, examples): up to k rare levels per column, most frequent first. `counts`: their `label_counts`, if known."""
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, examples array<string>")
-    rare = value_counts(df, columns, "label").where(F.col("n") <= max_rare)
+    counted = value_counts(df, columns, "label") if counts is None else counts.select("column", F.col("raw").alias("value"), "n")
+    rare = counted.where(F.col("n") <= max_rare)
     named = spell_out(df, leading_values(rare, k), columns)
     return named.groupBy("column").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("examples")
@@ -226,7 +241,8 @@ def health_issues(df: DataFrame, profile: Profile | None = None) -> DataFrame:
     """Every issue of the table, most severe first."""
     profile = profile_of(df, profile)
     categories = profile.columns("categorical")
-    levels = level_summary(df, categories, profile.n_rows)
+    counts = label_counts(df, categories) if categories else None
+    levels = level_summary(df, categories, profile.n_rows, counts=counts)
     found = union_all(
         [
             missing_issues(profile.frame),
@@ -234,7 +250,7 @@ def health_issues(df: DataFrame, profile: Profile | None = None) -> DataFrame:
             constant_issues(profile.frame),
             outlier_issues(outlier_table(df, profile)),
             cardinality_issues(profile.frame),
-            rare_issues(levels, rare_examples(df, categories), profile.frame),
+            rare_issues(levels, rare_examples(df, categories, counts=counts), profile.frame),
             imbalance_issues(profile.frame),
             inconsistency_issues(levels, profile.frame),
         ]

@@ -83,3 +83,14 @@ def test_health_change(frame):
     before = frame(x=[1.5, 2.5, 3.5, 4.5], fixed=["k"] * 4)
     change = health.health_change(health.health_issues(before), health.health_issues(before.drop("fixed"))).first()
     assert change["delta"] == pytest.approx(6.0)
+
+
+def test_labels_are_cleaned_once_and_shared(spark):
+    df = loans(spark)
+    counts = health.label_counts(df, ["tool", "damage"])
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and "Exchange" not in plan
+    assert [tuple(r) for r in health.level_summary(df, ["tool"], 63, counts=counts.where("column = 'tool'")).collect()] == [("tool", 6, 3, 0, 0)]
+    long = [" " + "Q" * 90, "q" * 90, "ok", "OK "]
+    found = health.label_counts(spark.createDataFrame([(x,) for x in long], "c string"), ["c"]).collect()
+    assert len({r["raw"] for r in found}) == 4 and len({r["clean"] for r in found}) == 2
