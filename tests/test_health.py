@@ -1,6 +1,7 @@
 import pytest
 
 from tablewright.operators import health
+from tablewright.operators.frequency import duplicate_rows
 
 
 def issues(df):
@@ -94,3 +95,16 @@ def test_labels_are_cleaned_once_and_shared(spark):
     long = [" " + "Q" * 90, "q" * 90, "ok", "OK "]
     found = health.label_counts(spark.createDataFrame([(x,) for x in long], "c string"), ["c"]).collect()
     assert len({r["raw"] for r in found}) == 4 and len({r["clean"] for r in found}) == 2
+
+
+def test_equal_rows_are_found_by_hash_and_compared_whole(spark):
+    rows = [(k, float(k), f"t{k}") for k in range(40)] + [(3, 3.0, "t3"), (0, -0.0, "t0"), (None, 1.0, "x"), (None, 1.0, "x")]
+    found = duplicate_rows(spark.createDataFrame(rows, "a int, b double, c string"))
+    assert tuple(found.first()) == (44, 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    # a missing value does not change the hash, so these two rows share theirs
+    assert tuple(duplicate_rows(spark.createDataFrame([("a", None), (None, "a"), ("b", "c"), ("d", "e"), ("f", "g")], "x string, y string")).first()) == (5, 0)
+    assert tuple(duplicate_rows(spark.createDataFrame([(1,), (2,)], "x int")).first()) == (2, 0)
+    assert tuple(duplicate_rows(spark.createDataFrame([("A",), ("a",), ("b",)], "x string collate UTF8_LCASE")).first()) == (3, 1)
+    assert tuple(duplicate_rows(spark.createDataFrame([], "x int")).first()) == (0, 0)
