@@ -91,6 +91,8 @@ def _correlate(
 # A rank table of up to this many distinct values is broadcast (about 100 bytes each in memory); at most so many tables and values in a job.
 FEW_VALUES = 1_000_000
 TABLES_PER_JOB = 24
+# Up to so many larger rank tables are joined to the rows in turn; more are looked up for all columns in one join, which shuffles cells twice.
+JOINED_IN_TURN = 3
 VALUES_PER_JOB = 2_000_000
 
 EMPTY_PAIRS = "pair int, col_a string, col_b string, n bigint, {} double"
@@ -159,9 +161,9 @@ def spearman(
     """Rank correlation of column pairs, average ranks for ties, over complete pairs.
 
     A column is ranked through its value counts, so ties are never gathered. Ranks of columns
-    with few distinct values (counted first) are broadcast. The other columns are unfolded
-    into (row, column, value), get their ranks in one join by value and are folded back by
-    row. Columns without gaps are ranked once. Beside a partner with gaps a column is ranked over its
+    with few distinct values (counted first) are broadcast. A few other columns get their ranks in
+    a join by value each; more are unfolded into (row, column, value), get their ranks in one join
+    and are folded back by row. Columns without gaps are ranked once. Beside a partner with gaps a column is ranked over its
     rows without those; partners with the same gaps share that ranking (`gap_views`). All rankings of a column
     come from one count and one lookup of its values.
     """
@@ -211,8 +213,13 @@ def spearman(
         held, tables = held + n_values[i], tables + 1
         own = [F.col(f"r{k}").alias(f"rank_{i}_{k}") for k in range(len(kinds[i]))]
         table = ranks.where(F.col("column") == i).select(F.col("value").alias("__value"), *own)
-        frame = frame.join(F.broadcast(table), F.col(f"b{i}") == F.col("__value"), "left").drop("__value")
-    if many:
+        frame = frame.join(F.broadcast(table), F.col(f"b{i}") == F.col("__value"), "left").drop("__value", *([] if used[i] in others else [f"b{i}"]))
+    if len(many) <= JOINED_IN_TURN:
+        for i in many:
+            own = [F.col(f"r{k}").alias(f"rank_{i}_{k}") for k in range(len(kinds[i]))]
+            table = ranks.where(F.col("column") == i).select(F.col("value").alias("__value"), *own)
+            frame = frame.join(table, F.col(f"b{i}") == F.col("__value"), "left").drop("__value", *([] if used[i] in others else [f"b{i}"]))
+    else:
         # the row number must not change when a task runs again
         frame = cut_lineage(frame.withColumn("row", F.monotonically_increasing_id()))
         kept = [f"b{i}" for i in many if used[i] not in others]

@@ -68,6 +68,25 @@ def test_spearman_equals_pandas_with_ties_and_gaps(spark, broadcast, monkeypatch
         assert found[a, b] == pytest.approx(both[a].corr(both[b]), abs=1e-12)
 
 
+@pytest.mark.parametrize("in_turn", [3, 0])
+def test_ranks_of_many_values_are_joined_in_turn_or_by_row(spark, in_turn, monkeypatch):
+    rng = np.random.default_rng(12)
+    data = pd.DataFrame(rng.normal(size=(300, 3)), columns=list("abc"))
+    data["b"] += data["a"]
+    data.loc[:90, "a"] = 1.5
+    data.loc[rng.random(300) < 0.3, "c"] = np.nan
+    written, own = [], patterns.cut_lineage
+    monkeypatch.setattr(patterns, "FEW_VALUES", 10)
+    monkeypatch.setattr(patterns, "JOINED_IN_TURN", in_turn, raising=False)
+    monkeypatch.setattr(patterns, "cut_lineage", lambda df: written.append(df.columns) or own(df))
+    pairs = patterns.all_pairs(list("abc"))
+    found = {(r["col_a"], r["col_b"]): r["spearman_r"] for r in patterns.spearman(spark.createDataFrame(data), pairs).collect()}
+    assert any("row" in columns for columns in written) == (in_turn == 0)
+    for a, b in pairs:
+        both = data[[a, b]].dropna().rank()
+        assert found[a, b] == pytest.approx(both[a].corr(both[b]), abs=1e-12)
+
+
 def test_sixty_columns_with_three_kinds_of_gaps(spark):
     rng = np.random.default_rng(17)
     n, columns = 300, [f"c{i}" for i in range(60)]
