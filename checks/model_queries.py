@@ -66,7 +66,7 @@ def data_warnings(spark, sf_dir):
 def quality_frame(spark, sf_dir):
     """labels joined to what is known about the documents, written down once: the many scans of an experiment read no text again."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        "doc_id", "lang", "n_chars", (F.length("text") - F.length(F.regexp_replace("text", " ", ""))).alias("n_spaces")
+        "doc_id", "lang", "n_chars", (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).alias("n_spaces")
     )
     return cut_lineage(LABELS.read(spark, sf_dir).join(documents, "doc_id").drop("doc_id"))
 
@@ -535,4 +535,5 @@ def scorecard(spark, sf_dir):
 @query("scorecard_with_model")
 def scorecard_with_model(spark, sf_dir):
     frame = quality_frame(spark, sf_dir)
-    return dataset_scorecard(frame, "quality", experiment=modelling.run_experiment(frame, "quality"))
+    profile = Profile.of(frame)
+    return dataset_scorecard(frame, "quality", profile, modelling.run_experiment(frame, "quality", profile))

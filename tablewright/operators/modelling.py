@@ -18,7 +18,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Bucketizer, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -474,6 +474,99 @@ def prepared_folds(
     return [out[different.index(e)] for e in encodings]
 
 
+# ---- training rows that trees cannot tell apart ---------------------------------------------
+
+
+GROUPED = ("decision_tree", "gradient_boosting")  # a forest draws each row on its own, so it keeps them apart
+
+
+@dataclass
+class Groups:
+    """The training rows of a fold by class, flags and bins of the numbers, with how many they are; `cuts` part the bins."""
+
+    frame: DataFrame
+    cuts: list[list[float]]
+    n_train: int
+
+
+def fold_cuts(vectors: DataFrame, k: int, max_bins: int) -> list[list[list[float]]]:
+    """For each fold and number, the values where a bin of its training part begins.
+
+    Up to `max_bins` different values have a bin each. More are dealt by the rows below their middle row, so bins have about equal
+    shares and a value is never split. A cut lies midway between the values beside it.
+    """
+    if "numbers" not in vectors.columns:
+        return [[] for _ in range(k)]
+    rows, values = [f"t{i}" for i in range(k)], [f"d{i}" for i in range(k)]
+    counts = (
+        vectors.select("fold", F.posexplode(vector_to_array("numbers")).alias("place", "value"))
+        .groupBy("place", "value").agg(*[F.count_if(F.col("fold") != i).alias(t) for i, t in enumerate(rows)])
+        .withColumns({d: (F.col(t) > 0).cast("bigint") for t, d in zip(rows, values)})
+    )
+    placed = running_totals(counts, "place", "value", rows + values)
+    sizes = placed.groupBy("place").agg(*[F.sum(c).alias(f"all_{c}") for c in rows + values])  # one row for each number
+
+    def bin_of(i: int) -> Column:
+        dealt = F.ceil((2 * F.col(f"before_t{i}") + F.col(f"t{i}")) * F.lit(max_bins) / (2 * F.col(f"all_t{i}"))) - 1
+        return F.when(F.col(f"t{i}") > 0, F.when(F.col(f"all_d{i}") <= max_bins, F.col(f"before_d{i}")).otherwise(dealt))
+
+    bins = F.array(*[F.struct(F.lit(i).alias("fold"), bin_of(i).cast("bigint").alias("bin")) for i in range(k)])
+    ends = placed.join(F.broadcast(sizes), "place").select("place", "value", F.inline(bins)).where("bin IS NOT NULL")
+    ends = ends.groupBy("place", "fold", "bin").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    found: dict[tuple[int, int], list] = {}
+    for r in ends.orderBy("place", "fold", "bin").collect():  # at most max_bins rows for each number and fold
+        found.setdefault((r["fold"], r["place"]), []).append(r)
+    places = 1 + max((place for _, place in found), default=-1)
+    return [[_midways(found[i, p]) for p in range(places)] for i in range(k)]
+
+
+def _midways(bins: list) -> list[float]:
+    cuts = []
+    for before, after in zip(bins, bins[1:]):
+        middle = before["high"] / 2 + after["low"] / 2
+        cuts.append(middle if before["high"] < middle < math.inf else after["low"])
+    return [c for c in cuts if math.isfinite(c)]
+
+
+def binned(vectors: DataFrame, cuts: list[list[float]]) -> DataFrame:
+    """Add the vector `bins`: for every number of a row the bin it falls into."""
+    if "numbers" not in vectors.columns:
+        return vectors
+    numbers, bins = [f"__number{p}" for p in range(len(cuts))], [f"__bin{p}" for p in range(len(cuts))]
+    ends = [[-math.inf, *(c or [0.0]), math.inf] for c in cuts]  # a constant number has one bin, wherever it is cut
+    apart = vectors.withColumn("__numbers", vector_to_array("numbers"))
+    apart = apart.select(*vectors.columns, *[F.col("__numbers")[p].alias(c) for p, c in enumerate(numbers)])
+    placed = Bucketizer(splitsArray=ends, inputCols=numbers, outputCols=bins, handleInvalid="keep").transform(apart)
+    # a bucket counts as a category unless told otherwise, and trees would split bins regardless of their order
+    ordered = placed.withColumns({c: F.col(c).alias(c, metadata={"ml_attr": {"type": "numeric"}}) for c in bins})
+    return VectorAssembler(inputCols=bins, outputCol="bins").transform(ordered).select(*vectors.columns, "bins")
+
+
+def grouped_folds(prepared: list[DataFrame], k: int, max_bins: int, at_once: int = 4) -> list[Groups]:
+    """The groups of every fold's training rows, written once for the models that take them.
+
+    Trees on at most `max_bins` bins see no more of a row than its group, so a weighted group has the same sums as its rows, while
+    the many passes of a fit grow with the number of groups and not with the rows.
+    """
+    cuts: dict[int, list] = {}
+    for vectors in prepared:
+        if id(vectors) not in cuts:
+            cuts[id(vectors)] = fold_cuts(vectors, k, max_bins)
+
+    def group(i: int) -> Groups:
+        own = cuts[id(prepared[i])][i]
+        train = binned(prepared[i].where(F.col("fold") != i), own)
+        parts = [c for c in ("flags", "bins") if c in train.columns]
+        frame = cut_lineage(train.groupBy("target", *parts).agg(F.count(F.lit(1)).cast("double").alias("weight")))
+        return Groups(frame, own, int(frame.agg(F.sum("weight")).first()[0] or 0))
+
+    out = together(prepared[0].sparkSession, [functools.partial(group, i) for i in range(k)], at_once)
+    for problem in out:
+        if isinstance(problem, Exception):
+            raise problem
+    return out
+
+
 def fit_tasks(n_train: int, cores: int, rows_per_task: int) -> int:
     """How many tasks a pass of a fit gets: every task sends histograms of all nodes, so a few rows are not dealt to all cores."""
     return max(1, min(cores, math.ceil(n_train / rows_per_task)))
@@ -491,18 +584,24 @@ def dealt_for_fit(train: DataFrame, model: str, plan: Plan, n_train: int, settin
 
 
 def fold_predictions(
-    model: str, vectors: DataFrame, i: int, plan: Plan, classes: list[str], settings: Settings = Settings()
+    model: str, vectors: DataFrame, i: int, plan: Plan, classes: list[str], settings: Settings = Settings(), groups: Groups | None = None
 ) -> DataFrame:
-    """(row, fold, label, prediction, scores) of fold i, by a model of the other folds."""
-    rest, held = vectors.where(F.col("fold") != i), vectors.where(F.col("fold") == i)
-    n_train = rest.count()
-    train = dealt_for_fit(rest, model, plan, n_train, settings)
-    parts, stages = [c for c in ("flags", "numbers") if c in vectors.columns], []
+    """(row, fold, label, prediction, scores) of fold i, by a model of the other folds: of their rows or, if given, their groups."""
+    held, stages = vectors.where(F.col("fold") == i), []
+    if groups is None:
+        rest = vectors.where(F.col("fold") != i)
+        n_train = rest.count()
+        train = dealt_for_fit(rest, model, plan, n_train, settings)
+    else:
+        held, n_train = binned(held, groups.cuts), groups.n_train
+        train = dealt_for_fit(groups.frame, model, plan, groups.frame.count(), settings)
+    parts = [c for c in ("flags", "numbers" if groups is None else "bins") if c in train.columns]
     if needs_scaling(model) and "numbers" in parts:
         stages.append(StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True))
         parts[-1] = "scaled"
     stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
-    stages.append(estimator(model, plan, n_train, len(classes), settings))
+    last = estimator(model, plan, n_train, len(classes), settings)
+    stages.append(last if groups is None else last.setWeightCol("weight"))
     fitted = FittedModel(plan, {}, Pipeline(stages=stages).fit(train), classes)
     return cut_lineage(fitted.predict(held).select("row", "fold", "label", "prediction", "scores"))
 
@@ -626,7 +725,8 @@ def run_experiment(
 ) -> Experiment:
     """Cross-validate every candidate on the same folds; a model that fails does not stop the rest.
 
-    All rows are used. Vectors of a fold are written once for all models. The fits of boosting and then those of the other models are
+    All rows are used. Vectors of a fold are written once for all models; of classes, boosting and the single tree take them in groups
+    of rows that no bin tells apart (`grouped_folds`). The fits of boosting and then those of the other models are
     submitted side by side (`in_phases`), so short jobs of one fill the cores that another leaves idle.
     """
     profile = profile_of(df, profile)
@@ -641,10 +741,12 @@ def run_experiment(
     result = Experiment(plan, folded, classes, gaps, k, df.sparkSession.createDataFrame([], SCORES), settings=settings)
     chosen = [c for c in plan.candidates if models is None or c.name in models][:max_models]
     prepared = prepared_folds(folded, plan, k, classes, gaps, settings.at_once)
+    grouped = [c.name for c in chosen if c.name in GROUPED and plan.problem_type != "regression"]
+    groups = grouped_folds(prepared, k, settings.max_bins, settings.at_once) if grouped else []
 
     def job(c: Candidate, i: int):
         started = time.perf_counter()
-        out = fold_predictions(c.name, prepared[i], i, plan, classes, settings)
+        out = fold_predictions(c.name, prepared[i], i, plan, classes, settings, groups[i] if c.name in grouped else None)
         return out, time.perf_counter() - started
 
     cores = df.sparkSession.sparkContext.defaultParallelism

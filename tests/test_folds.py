@@ -1,9 +1,10 @@
 """Statistics of all folds at once against one fold at a time."""
 
+import math
 import time
 
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tablewright.operators import modelling
@@ -103,3 +104,61 @@ def test_boosting_runs_before_the_long_tasks_of_other_models(spark):
     assert done == {key: key for key in keys}
     assert [m for _, m in log] == ["gradient_boosting"] * 6 + ["random_forest"] * 6
     assert [what for what, _ in log[:3]] == ["start"] * 3  # all folds of boosting at once
+
+
+CLASSES = Plan("y", "binary_classification", ["a", "b"], ["c"], [], "accuracy", [])
+
+
+def _classified(spark, copies=1, n_classes=2):
+    rows = [
+        (i + 900 * k, i % 3, str((i * i % 17 + i % 5 > 9) + (i % 23 > 18 and n_classes > 2)), float(i * i % 17), float(i * 7 % 23) / 3, "xyz"[i * i % 3])
+        for i in range(900) for k in range(copies)
+    ]
+    return spark.createDataFrame(rows, "row long, fold int, label string, a double, b double, c string").repartition(3)
+
+
+@pytest.mark.parametrize("model, n_classes", [("decision_tree", 2), ("gradient_boosting", 2), ("decision_tree", 3), ("gradient_boosting", 3)])
+def test_groups_of_rows_predict_like_the_rows(spark, model, n_classes):
+    """Up to 32 values have a bin each, as in Spark's own splits, so both fits have the same sums to choose from."""
+    classes = ["0", "1", "2"][:n_classes]
+    prepared = prepared_folds(_classified(spark, n_classes=n_classes), CLASSES, 3, classes, set())
+    groups = modelling.grouped_folds(prepared, 3, 32)
+    settings = Settings(max_depth=6, boosting_rounds=4)
+    rows, grouped = (
+        {r["row"]: r for r in fold_predictions(model, prepared[1], 1, CLASSES, classes, settings, g).collect()} for g in (None, groups[1])
+    )
+    assert rows.keys() == grouped.keys() and len(rows) == 300
+    assert len({r["prediction"] for r in rows.values()}) > 1
+    for k, r in rows.items():
+        assert r["prediction"] == grouped[k]["prediction"] and r["label"] == grouped[k]["label"]
+        assert r["scores"] == pytest.approx(grouped[k]["scores"], abs=1e-9)
+
+
+def test_groups_grow_with_what_differs_and_not_with_rows(spark):
+    once, often = (
+        modelling.grouped_folds(prepared_folds(_classified(spark, copies), CLASSES, 3, ["0", "1"], set()), 3, 32) for copies in (1, 4)
+    )
+    for i in range(3):
+        assert [g[i].n_train for g in (once, often)] == [600, 2400]
+        weights = [
+            {(r["target"], str(r["flags"]), str(r["bins"])): r["weight"] for r in g[i].frame.collect()} for g in (once, often)
+        ]
+        assert {k: 4 * w for k, w in weights[0].items()} == weights[1] and sum(weights[0].values()) == 600
+
+
+def test_cuts_deal_the_training_part_evenly_and_split_no_value(spark):
+    """Against the rows of every fold: few values, many, one that fills a third of the rows, one only, and infinite ones."""
+    values = [(i % 3, [float(i % 7), float(i) ** 1.5, -5.0 if i % 3 != i % 9 else i / 7.0, 2.5, [-math.inf, 1.0, math.inf][i % 3 - (i % 5 == 0)]]) for i in range(1200)]
+    frame = spark.createDataFrame([(f, v) for f, v in values], "fold int, v array<double>").repartition(4)
+    vectors = frame.select("fold", array_to_vector("v").alias("numbers"))
+    cuts = modelling.fold_cuts(vectors, 3, 32)
+    for i in range(3):
+        train = [v for f, v in values if f != i]
+        few, many, heavy, one, ends = cuts[i]
+        assert few == [k + 0.5 for k in range(6)] and one == [] and all(math.isfinite(c) for c in ends) and len(ends) >= 1
+        sizes = [sum(a <= v[1] < b for v in train) for a, b in zip([-math.inf, *many], [*many, math.inf])]
+        assert len(many) == 31 and sum(sizes) == 800 and max(sizes) - min(sizes) <= 1
+        assert heavy == sorted(set(heavy)) and not {v[2] for v in train} & set(heavy)
+    placed = modelling.binned(vectors, cuts[0]).select(vector_to_array("numbers").alias("n"), vector_to_array("bins").alias("b")).collect()
+    for r in placed:
+        assert r["b"] == [sum(c <= x for c in (own or [0.0])) for own, x in zip(cuts[0], r["n"])]
