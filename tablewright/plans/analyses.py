@@ -132,7 +132,7 @@ RUNNERS = {
     "statistics": significance_tests,
     "feature-lab": feature_suggestions,
     "recommend": recommended_models,
-    "experiment": lambda df, target: score_summary(run_experiment(df, target).scores),
+    "experiment": lambda df, target: score_summary(run_experiment(df, target).complete().scores),
     "explain": lambda df, target: explain_target(df, target).importance,
     "report": dataset_scorecard,
 }

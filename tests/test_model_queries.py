@@ -51,3 +51,30 @@ def test_the_quality_frame_reads_the_texts_once(spark):
     wanted = [(r["quality"], r["toxic"], *known[r["doc_id"]]) for r in labels.collect() if r["doc_id"] in known]
     got = [(r["quality"], r["toxic"], r["lang"], r["n_chars"], r["n_spaces"]) for r in frame.where("n_spaces IS NOT NULL").collect()]
     assert sorted(map(str, got)) == sorted(map(str, wanted))
+
+
+def test_a_model_that_failed_is_no_row_less(spark, monkeypatch):
+    """A query names the model that failed; without the check its rows would be those of an experiment without it."""
+    df = spark.createDataFrame([(i * 1.37 + i % 3, i * i % 37 + 0.5, i % 41 + 0.25) for i in range(80)], "net double, a double, b double")
+    real = modelling.estimator
+
+    def broken(model, *rest):
+        if model in failing:
+            raise RuntimeError("no trees today")
+        return real(model, *rest)
+
+    monkeypatch.setattr(modelling, "estimator", broken)
+    monkeypatch.setattr(model_queries, "PLANTED", type("Given", (), {"read": staticmethod(lambda *a: df)}))
+    failing = ["random_forest"]
+    with pytest.raises(RuntimeError, match="random_forest: no trees today"):
+        model_queries.price_experiment(spark, "", ["linear_regression", "random_forest"])
+    assert modelling.run_experiment(df, "net", models=["linear_regression", "random_forest"]).failures.keys() == {"random_forest"}
+    with pytest.raises(RuntimeError, match="no trees today"):  # nothing was fitted, so there is no empty result either
+        modelling.run_experiment(df, "net", models=["random_forest"])
+
+
+def test_a_failed_job_is_raised_where_all_are_needed(spark):
+    done = []
+    with pytest.raises(ZeroDivisionError):
+        modelling.all_together(spark, [lambda: 1 / 0, lambda: done.append(spark.range(5).count())], 2)
+    assert done == [5]
