@@ -41,13 +41,18 @@ frequent AS (SELECT host, plain, min(doc_id) AS first FROM full_line JOIN hosts
   HAVING count(DISTINCT text) > 100 AND count(DISTINCT text) > 0.1 * documents),
 removed AS (SELECT doc_id, sum(n) AS n_removed_words, count(DISTINCT plain) AS n_removed_lines
   FROM full_line JOIN frequent USING (host, plain) WHERE doc_id > first GROUP BY doc_id),
+shared AS (SELECT host, plain, min(doc_id) AS first FROM full_line GROUP BY host, plain HAVING count(DISTINCT text) > 10),
+shed AS (SELECT doc_id, sum(n) AS n_shared_words, count(DISTINCT plain) AS n_shared_lines
+  FROM full_line JOIN shared USING (host, plain) WHERE doc_id > first GROUP BY doc_id),
 base AS (SELECT doc_id, len(ws)::BIGINT AS n_words, len(array_to_string(ws, ''))::BIGINT AS word_chars,
   len(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_removed_words, 0)::BIGINT AS n_removed_words,
-  coalesce(n_removed_lines, 0)::INT AS n_removed_lines
-  FROM d LEFT JOIN again USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN removed USING (doc_id)),
+  coalesce(n_removed_lines, 0)::INT AS n_removed_lines, coalesce(n_shared_words, 0)::BIGINT AS n_shared_words,
+  coalesce(n_shared_lines, 0)::INT AS n_shared_lines
+  FROM d LEFT JOIN again USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN removed USING (doc_id) LEFT JOIN shed USING (doc_id)),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
-SELECT *, NOT base_failed AND NOT (n_removed_words > 0 AND (n_removed_words > 0.5 * n_words OR n_words - n_removed_words < 20)) AS kept FROM judged"""
+SELECT *, NOT base_failed AND NOT (n_removed_words > 0 AND (n_removed_words > 0.5 * n_words OR n_words - n_removed_words < 20)) AS kept,
+NOT base_failed AND NOT (n_shared_words > 0 AND (n_shared_words > 0.5 * n_words OR n_words - n_shared_words < 20)) AS kept_without_shared FROM judged"""
 
 OP5 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
 win AS (SELECT doc_id, i, md5_number(substr(hx, 2 * i + 1, 800)) AS t FROM (SELECT doc_id, hx, unnest(range(0, len(hx) // 2 - 399)) AS i FROM d)),

@@ -97,6 +97,26 @@ def test_query_counts_the_documents_of_a_host(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(given)
 
 
+def test_query_also_sheds_lines_of_few_documents(spark, tmp_path):
+    """Lines that more than ten documents hold are counted and judged by that limit alone, beside the limits of a host."""
+    import duckdb
+
+    from tablewright.llm import oracles, queries
+
+    folder = "/root/testdata/sf0.01"
+    found = queries.op3_quality_rules(spark, folder)
+    wide = {r["doc_id"]: r for r in quality_rules(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    rows = found.collect()
+    assert sum(r["n_shared_lines"] > 0 for r in rows) > 5 and len(rows) == len(wide)
+    for r in rows:
+        own = wide[r["doc_id"]]
+        assert (r["n_shared_lines"], r["n_shared_words"], r["kept_without_shared"]) == (own["n_removed_lines"], own["n_removed_words"], own["kept"])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    given = con.execute(f"SELECT {', '.join(found.columns)} FROM ({oracles.OP3})").fetchall()
+    assert sorted(map(tuple, rows)) == sorted(given)
+
+
 def test_rows_that_stay_are_not_joined(spark):
     """Untouched rows come through whole and as often as they are there."""
     rows = [(k, " ".join(chr(97 + k % 26) * (k // 26 + 1) + chr(97 + j) for j in range(26)), "a") for k in range(40)] * 2 + [(99, None, None)]
