@@ -5,9 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.feature import OneHotEncoderModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
+from pyspark.ml.feature import StandardScalerModel, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -261,10 +260,12 @@ def _sampled_linear_contributions(
 
     held = np.array([[r[f"t{i}"] for i in range(len(features))] for r in drawn])
 
-    @F.pandas_udf("array<double>")
-    def mean_terms(batch: pd.Series) -> pd.Series:
-        at = np.stack(batch.to_numpy())
-        return pd.Series(list(sum(held[at[:, s]] for s in range(at.shape[1])) / at.shape[1]))
+    @F.arrow_udf("array<double>")
+    def mean_terms(batch: pa.Array) -> pa.Array:
+        at = batch.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), n_samples)
+        means = sum(held[at[:, s]] for s in range(n_samples)) / n_samples
+        ends = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * held.shape[1], pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(means.ravel()))
 
     given = filled(rows, fitted.plan, fitted.fills).withColumn("__given", F.array(*[col(c).cast("string") for c in features]))
     told = with_terms(given, fitted, ["__given"]).withColumn("means", mean_terms(places))
@@ -283,38 +284,39 @@ def is_linear(fitted: FittedModel) -> bool:
 
 
 def with_terms(frame: DataFrame, fitted: FittedModel, keep: list[str] | None = None) -> DataFrame:
-    """(row, prediction, keep, t0, t1, ..): the term of each feature in a linear regression; a feature that it left out has none."""
-    keep = keep or []
-    weights, places = fitted.stages.stages[-1].coefficients.toArray().tolist(), feature_places(fitted)
-
-    def term(feature: str) -> Column:
-        at, width = places.get(feature, (0, 0))
-        if width == 1:
-            return F.col("__vector")[at] * F.lit(weights[at])
-        own = F.zip_with(F.slice("__vector", at + 1, width), F.lit(weights[at : at + width]).cast("array<double>"), lambda x, w: x * w)
-        return F.aggregate(own, F.lit(0.0), lambda total, x: total + x)
-
-    seen = fitted.stages.transform(filled(frame, fitted.plan, fitted.fills))
-    vectors = seen.select("row", "prediction", *keep, vector_to_array(F.col("features")).alias("__vector"))
-    return vectors.select("row", "prediction", *keep, *[term(c).alias(f"t{i}") for i, c in enumerate(fitted.plan.features)])
-
-
-def feature_places(fitted: FittedModel) -> dict[str, tuple[int, int]]:
-    """First place and number of places of each feature in the vectors that a model sees."""
-    places: dict[str, tuple[int, int]] = {}
-    at = 0
+    """(row, prediction, keep, t0, t1, ..): the term of each feature in a linear regression; a feature that it left out has none.
+
+    Terms are expressions of the row's own columns, so no vector is built.
+    """
+    keep, model = keep or [], fitted.stages.stages[-1]
+    terms = linear_terms(fitted)
+    prediction = F.lit(float(model.intercept))
+    for i in range(len(terms)):
+        prediction = prediction + F.col(f"t{i}")
+    told = filled(frame, fitted.plan, fitted.fills).select("row", *keep, *[t.alias(f"t{i}") for i, t in enumerate(terms)])
+    return told.select("row", prediction.alias("prediction"), *keep, *[f"t{i}" for i in range(len(terms))])
+
+
+def linear_terms(fitted: FittedModel) -> list[Column]:
+    """The term of each feature of the plan, from columns whose gaps are filled."""
+    weights, at, terms = fitted.stages.stages[-1].coefficients.toArray().tolist(), 0, {}
+    numbers = []
+    labels = []
     for stage in fitted.stages.stages:
-        if isinstance(stage, OneHotEncoderModel):
-            # the bucket of unseen labels has no place
-            widths = zip(fitted.plan.categorical, (n - 1 for n in stage.categorySizes))
+        if isinstance(stage, StringIndexerModel):
+            labels = list(zip(fitted.plan.categorical, stage.labelsArray))  # the bucket of unseen labels has no place
         elif isinstance(stage, VectorAssembler) and stage.getOutputCol() == "__numbers":
-            widths = ((c, 1) for c in stage.getInputCols())
-        else:
-            continue
-        for feature, width in widths:
-            places[feature] = (at, width)
-            at += width
-    return places
+            numbers = [(c, 0.0, 1.0) for c in stage.getInputCols()]
+        elif isinstance(stage, StandardScalerModel):
+            numbers = [(c, mean, std) for (c, _, _), mean, std in zip(numbers, stage.mean.toArray().tolist(), stage.std.toArray().tolist())]
+    for c, known in labels:
+        own = dict(zip(known, weights[at : at + len(known)]))
+        at += len(known)
+        if own:
+            terms[c] = F.coalesce(F.create_map(*[F.lit(x) for pair in own.items() for x in pair])[col(c)], F.lit(0.0))
+    for (c, mean, std), weight in zip(numbers, weights[at:]):
+        terms[c] = (col(c) - F.lit(mean)) * F.lit(weight / std if std else 0.0)
+    return [terms.get(c, F.lit(0.0)) for c in fitted.plan.features]
 
 
 def linear_contributions(experiment: Experiment, fitted: FittedModel, rows: DataFrame | None = None) -> DataFrame:
@@ -364,7 +366,7 @@ def occlusion_contributions(experiment: Experiment, fitted: FittedModel, rows: D
     """(row, feature, contribution, prediction, baseline): effect of making one value typical.
 
     Each row is unfolded into itself, an all-typical row and one variant per feature, and all
-    variants are scored in one job.
+    variants are scored in one job. In a linear regression the effect is the row's term less that of the typical value, so rows stay whole.
     """
     plan = experiment.plan
     rows = experiment.frame if rows is None else rows
@@ -375,6 +377,17 @@ def occlusion_contributions(experiment: Experiment, fitted: FittedModel, rows: D
     def usual(c: str) -> Column:
         return F.lit(typical.get(c)).cast(kinds[c])
 
+    if is_linear(fitted):
+        own = rows.sparkSession.range(1).select(F.col("id").alias("row"), *[usual(c).alias(c) for c in plan.features])
+        base = with_terms(own, fitted).first()
+        listed = F.array(
+            *[
+                F.struct(F.lit(c).alias("feature"), (F.col(f"t{i}") - F.lit(base[f"t{i}"])).alias("contribution"))
+                for i, c in enumerate(plan.features)
+            ]
+        )
+        return with_terms(rows, fitted).select("row", "prediction", F.lit(base["prediction"]).alias("baseline"), F.inline(listed))
+
     def variant(name: str, replaced: list[str]) -> Column:
         return F.struct(
             F.lit(name).alias("variant"), *[(usual(c) if c in replaced else col(c)).alias(c) for c in plan.features]
