@@ -110,3 +110,22 @@ def test_typical_values_by_terms_and_by_changed_rows(folded, monkeypatch):
     for k, r in walked.items():
         for name in ("contribution", "prediction", "baseline"):
             assert terms[k][name] == pytest.approx(r[name], abs=1e-6)
+
+
+def test_shuffled_terms_by_columns_and_by_changed_rows(folded, monkeypatch):
+    experiment = modelling.Experiment(PLAN, folded, [], GAPS, 3, None)
+    line = explanation.refit(experiment, "linear_regression")
+
+    def unwanted(*args):
+        raise AssertionError("terms need no changed rows")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(explanation, "_shuffled_variants", unwanted)
+        patched.setattr(explanation, "_group_score", unwanted)  # one unfolded row for each feature
+        terms = {r["feature"]: r for r in explanation.permutation_importance(experiment, line, repeats=3).collect()}
+    monkeypatch.setattr(explanation, "is_linear", lambda fitted: False)
+    walked = {r["feature"]: r for r in explanation.permutation_importance(experiment, line, repeats=3).collect()}
+    assert terms.keys() == walked.keys() == set(PLAN.features)
+    for k, r in walked.items():
+        for name in ("importance", "std", "share"):
+            assert terms[k][name] == pytest.approx(r[name], abs=1e-6)
