@@ -129,3 +129,14 @@ def test_shuffled_terms_by_columns_and_by_changed_rows(folded, monkeypatch):
     for k, r in walked.items():
         for name in ("importance", "std", "share"):
             assert terms[k][name] == pytest.approx(r[name], abs=1e-6)
+
+
+def test_terms_are_expressions_and_no_vectors(folded):
+    experiment = modelling.Experiment(PLAN, folded, [], GAPS, 3, None)
+    line = explanation.refit(experiment, "linear_regression")
+    told = explanation.with_terms(folded, line)
+    assert "UDF" not in told._jdf.queryExecution().toString()
+    given = {r["row"]: r["prediction"] for r in line.predict(folded).collect()}
+    for r in told.collect():
+        assert r["prediction"] == pytest.approx(given[r["row"]], abs=1e-6)
+        assert r["t2"] == 0.0  # nothing fills `none`
