@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import math
+import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import StandardScalerModel, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoderModel, StandardScalerModel, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import LinearRegressionModel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import col
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .frequency import leading_values, spell_out, value_counts
 from .modelling import Experiment, FittedModel, Plan, class_scores, filled, fit_model, regression_scores
 from .ordering import exact_quantiles, hash_sample
 
 # Rows per bucket of a shuffle: a bucket is one window partition.
 SHUFFLE_BUCKET_ROWS = 100_000
+# Cells of a tree model that are scored ahead; a table of them goes to every task.
+MOST_CELLS = 1_000_000
 
 
 def refit(experiment: Experiment, model: str) -> FittedModel:
@@ -206,6 +210,7 @@ def shapley_contributions(
     baseline is the mean prediction of the references drawn for the row, so contributions add
     up to prediction minus baseline. All rows and samples are scored in one job, and a task sums up the steps of its rows.
     In a linear regression a step is the row's term less that of the reference in every order, so its steps are not walked one by one.
+    Trees tell rows apart by the cell between their splits only: if these are at most `MOST_CELLS`, each is scored once and the steps look it up.
     """
     plan = experiment.plan
     features = plan.features
@@ -215,13 +220,16 @@ def shapley_contributions(
     n_reference = reference.count()
     if is_linear(fitted):
         return _sampled_linear_contributions(fitted, rows, reference, n_reference, n_samples, seed)
+    cells = tree_cells(fitted, prediction_number(fitted, positive))
+    if cells is not None:
+        return _sampled_cell_contributions(fitted, cells, rows, reference, n_reference, n_samples, seed)
     drawn = (
         rows.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
         .withColumn("place", drawn_place(F.col("sample"), n_reference, seed))
         .join(F.broadcast(reference), "place")
     )
     shuffled = F.array_sort(
-        F.array(*[F.struct(F.xxhash64("row", "sample", F.lit(i), F.lit(seed + 1)).alias("h"), F.lit(i).alias("i")) for i in range(len(features))])
+        F.array(*[F.struct(drawn_order(F.col("sample"), i, seed).alias("h"), F.lit(i).alias("i")) for i in range(len(features))])
     )
     ordered = drawn.withColumn("order", F.transform(shuffled, lambda x: x["i"])).withColumn(
         "step", F.explode(F.sequence(F.lit(0), F.lit(len(features))))
@@ -253,11 +261,138 @@ def shapley_contributions(
     return sums.join(own, "row").select("row", F.inline(F.array(*listed)), "prediction", "baseline")
 
 
+def drawn_order(sample: Column, i: int, seed: int) -> Column:
+    """A (row, sample) reveals its features in the order of these draws."""
+    return F.xxhash64("row", sample, F.lit(i), F.lit(seed + 1))
+
+
 def drawn_place(sample: Column, n_reference: int, seed: int) -> Column:
     """Which reference row a (row, sample) draws."""
     return F.pmod(F.xxhash64("row", sample, F.lit(seed)), F.lit(n_reference)).cast("int")
 
 
+@dataclass
+class Cells:
+    """Where each feature's value lies among the splits of a tree model, and the model's score of every combination.
+
+    `codes` is an expression over filled rows, an array with a place for each feature; a cell's score is at the sum of its codes times `strides`.
+    """
+
+    codes: Column
+    strides: np.ndarray
+    scores: np.ndarray
+
+
+def tree_cells(fitted: FittedModel, number: Column) -> Cells | None:
+    """The cells of a model of trees; None for other models and for trees with more than `MOST_CELLS` of them.
+
+    A number has a place between any two thresholds that the trees split it by, at most a bin each of the fit; a label has its own, and
+    unknown and missing ones share one.
+    """
+    model, plan = fitted.stages.stages[-1], fitted.plan
+    if not hasattr(model, "toDebugString"):
+        return None
+    places = feature_places(fitted)
+    cuts: dict[int, set[float]] = {}
+    for place, value in set(re.findall(r"feature (\d+) <= ([^)]+)\)", model.toDebugString)):
+        cuts.setdefault(int(place), set()).add(float(value))
+    indexer = [s for s in fitted.stages.stages if isinstance(s, StringIndexerModel)]
+    labels = dict(zip(plan.categorical, indexer[0].labelsArray)) if indexer else {}
+    codes, values = [], []
+    for c in plan.features:
+        if c in labels:
+            known = list(labels[c])
+            code = F.coalesce(F.array_position(F.lit(known).cast("array<string>"), col(c)).cast("int"), F.lit(0)) if known else F.lit(0)
+            own = ["?" * (1 + max(map(len, known), default=0)), *known]  # a label that is not known, and not a gap to be filled
+        else:
+            ends = sorted(cuts.get(places[c][0], ())) if c in places else []
+            above = F.size(F.filter(F.lit(ends).cast("array<double>"), lambda end: end < col(c)))
+            code = F.when(col(c).isNull(), len(ends)).otherwise(above) if ends else F.lit(0)
+            own = [*ends, math.inf]  # a threshold belongs to the side below it
+        codes.append(code)
+        values.append(own)
+    sizes = [len(v) for v in values]
+    total = math.prod(sizes)
+    if total > MOST_CELLS:
+        return None
+    strides = np.cumprod([1, *sizes[:-1]]).astype(np.int64)
+    kinds = ["array<string>" if c in labels else "array<double>" for c in plan.features]
+    grid = SparkSession.active().range(total).select(
+        F.col("id").alias("row"),
+        *[
+            F.get(F.lit(v).cast(kind), (F.floor(F.col("id") / F.lit(int(s))) % F.lit(len(v))).cast("int")).alias(c)
+            for c, v, s, kind in zip(plan.features, values, strides, kinds)
+        ],
+    )
+    found = fitted.predict(grid).select("row", number.cast("double").alias("number")).toArrow()
+    scores = np.empty(total)
+    scores[found.column("row").to_numpy()] = found.column("number").to_numpy()
+    return Cells(F.array(*[c.cast("int") for c in codes]), strides, scores)
+
+
+def _walk_of_cells(held: np.ndarray, strides: np.ndarray, scores: np.ndarray, n_samples: int):
+    """A function for `mapInArrow`: the mean step of every feature of a row over its samples."""
+    size = len(strides)
+
+    def walk(batches):
+        for batch in batches:
+            n = batch.num_rows
+            own, at, drawn = (
+                batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c in ("__codes", "__places", "__draws")
+            )
+            gains, baseline = np.zeros((n, size)), np.zeros(n)
+            every = np.arange(n)
+            for s in range(n_samples):
+                other = held[at[:, s]]
+                change = (own - other) * strides
+                cell = other @ strides
+                before = scores[cell]
+                baseline += before
+                order = np.argsort(drawn[:, s * size : (s + 1) * size], axis=1, kind="stable")
+                for step in range(size):
+                    feature = order[:, step]
+                    cell = cell + change[every, feature]
+                    after = scores[cell]
+                    gains[every, feature] += after - before
+                    before = after
+            ends = pa.array(np.arange(n + 1, dtype=np.int32) * size, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("row"), batch.column("__given"), pa.ListArray.from_arrays(ends, pa.array((gains / n_samples).ravel())),
+                    pa.array(scores[own @ strides]), pa.array(baseline / n_samples),
+                ],
+                ["row", "__given", "gains", "prediction", "baseline"],
+            )
+
+    return walk
+
+
+def _sampled_cell_contributions(
+    fitted: FittedModel, cells: Cells, rows: DataFrame, reference: DataFrame, n_reference: int, n_samples: int, seed: int
+) -> DataFrame:
+    """Contributions to a model of few cells: the same draws and orders as a walk through the model, with looked-up scores."""
+    features = fitted.plan.features
+    placed = filled(reference.select("place", "reference.*"), fitted.plan, fitted.fills).select("place", cells.codes.alias("codes"))
+    held = np.array([r["codes"] for r in placed.orderBy("place").collect()], np.int64)  # n_background rows
+    samples = F.sequence(F.lit(0), F.lit(n_samples - 1))
+    draws = F.flatten(F.transform(samples, lambda s: F.array(*[drawn_order(s, i, seed) for i in range(len(features))])))
+    given = filled(spread(rows), fitted.plan, fitted.fills).withColumn("__given", F.array(*[col(c).cast("string") for c in features]))
+    ready = given.select(
+        "row", "__given", cells.codes.alias("__codes"), F.transform(samples, lambda s: drawn_place(s, n_reference, seed)).alias("__places"),
+        draws.alias("__draws"),
+    )
+    kind = dict(rows.dtypes)["row"]
+    told = ready.mapInArrow(
+        _walk_of_cells(held, cells.strides, cells.scores, n_samples),
+        f"row {kind}, __given array<string>, gains array<double>, prediction double, baseline double",
+    )
+    listed = [
+        F.struct(F.lit(c).alias("feature"), F.col("__given")[i].alias("value"), F.col("gains")[i].alias("contribution"))
+        for i, c in enumerate(features)
+    ]
+    return told.select("row", F.inline(F.array(*listed)), "prediction", "baseline")
+
+
 def _sampled_linear_contributions(
     fitted: FittedModel, rows: DataFrame, reference: DataFrame, n_reference: int, n_samples: int, seed: int
 ) -> DataFrame:
@@ -327,6 +462,24 @@ def linear_terms(fitted: FittedModel) -> list[Column]:
     return [terms.get(c, F.lit(0.0)) for c in fitted.plan.features]
 
 
+def feature_places(fitted: FittedModel) -> dict[str, tuple[int, int]]:
+    """First place and number of places of each feature in the vectors that a model sees."""
+    places: dict[str, tuple[int, int]] = {}
+    at = 0
+    for stage in fitted.stages.stages:
+        if isinstance(stage, OneHotEncoderModel):
+            # the bucket of unseen labels has no place
+            widths = zip(fitted.plan.categorical, (n - 1 for n in stage.categorySizes))
+        elif isinstance(stage, VectorAssembler) and stage.getOutputCol() == "__numbers":
+            widths = ((c, 1) for c in stage.getInputCols())
+        else:
+            continue
+        for feature, width in widths:
+            places[feature] = (at, width)
+            at += width
+    return places
+
+
 def linear_contributions(experiment: Experiment, fitted: FittedModel, rows: DataFrame | None = None) -> DataFrame:
     """(row, feature, value, contribution, prediction, baseline) of a linear regression, exact.
 
